@@ -15,3 +15,12 @@ def reasons(rules: list[tuple[str | Column, Column]]) -> Column:
 def code_list(col: str | Column) -> Column:
     """Codes as one comma-separated text, for reports."""
     return F.array_join(col, ",")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    Inside higher-order functions Spark does not share common subexpressions, so an
+    expression used twice would be evaluated twice at every level of nesting.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from assaylake import schemas as S
 from assaylake.functions import jsonvals as J
-from assaylake.functions.reasons import reasons
+from assaylake.functions.reasons import let, reasons
 from assaylake.functions.variants import Doc
 
 RUN_TEXTS = ("request_id", "task_domain", "tier", "harness_version", "prompt_version", "policy_version",
@@ -82,9 +82,9 @@ def decision_reasons(run: Column) -> Column:
         missing = F.array_compact(F.array(*[F.when(~m.present(k), at(f"missing_{k}")) for k in DECISION_KEYS]))
         prob, elig = m.num("selection_probability"), m.items("eligible_models")
         names = F.transform(elig, lambda e: F.when(J.is_kind(e, "string"), F.try_variant_get(e, "$", "string")))
-        bad_elig = (elig.isNull() | (F.size(elig) == 0) | F.exists(names, lambda n: n.isNull() | (F.trim(n) == ""))
-                    | (F.size(F.array_distinct(names)) < F.size(names)))
-        rules = [(at("invalid_selection_probability"), prob.isNull() | (prob <= 0) | (prob > 1)),
+        bad_elig = let(names, lambda ns: ns.isNull() | (F.size(ns) == 0) | F.exists(ns, lambda n: n.isNull() | (F.trim(n) == ""))
+                       | (F.size(F.array_distinct(ns)) < F.size(ns)))
+        rules = [(at("invalid_selection_probability"), let(prob, lambda x: x.isNull() | (x <= 0) | (x > 1))),
                  (at("invalid_eligible_models"), bad_elig)]
         rules += [(at(f"invalid_{k}"), ~m.text(k)) for k in ("decision_id", "selected_provider", "selected_model", "policy_version", "feature_schema_version")]
         rules += [(at(f"invalid_{k}"), ~m.is_(k, "boolean")) for k in ("exploration", "shadow")]
@@ -92,14 +92,14 @@ def decision_reasons(run: Column) -> Column:
         codes = reasons(rules)
         chosen = F.concat_ws("/", m.str("selected_provider"), m.str("selected_model"))
         last = F.when(~F.array_contains(names, chosen), F.array(at("selected_not_eligible"))).otherwise(_none())
-        return (F.when(~J.is_kind(item, "object"), F.array(at("not_object"))).when(F.size(missing) > 0, missing)
-                .when(F.size(codes) > 0, codes).otherwise(last))
+        # shape first, then values, then eligibility: each stage only where the one before found nothing
+        found = let(missing, lambda a: F.when(F.size(a) > 0, a).otherwise(let(codes, lambda b: F.when(F.size(b) > 0, b).otherwise(last))))
+        return F.when(~J.is_kind(item, "object"), F.array(at("not_object"))).otherwise(found)
 
-    codes = F.flatten(F.transform(decisions, shape_codes))
-    live = F.size(F.filter(decisions, lambda e: Doc(e).bool("shadow") == F.lit(False)))
-    return (F.when(decisions.isNull() | (F.size(decisions) == 0), F.array(F.lit("decisions.missing")))
-            .when(F.size(codes) > 0, codes)
-            .when(live != 1, F.array(F.lit("decisions.exactly_one_live_required"))).otherwise(_none()))
+    live = lambda ds: F.size(F.filter(ds, lambda e: Doc(e).bool("shadow") == F.lit(False)))
+    one_live = lambda ds: F.when(live(ds) != 1, F.array(F.lit("decisions.exactly_one_live_required"))).otherwise(_none())
+    codes = lambda ds: let(F.flatten(F.transform(ds, shape_codes)), lambda c: F.when(F.size(c) > 0, c).otherwise(one_live(ds)))
+    return let(decisions, lambda ds: F.when(ds.isNull() | (F.size(ds) == 0), F.array(F.lit("decisions.missing"))).otherwise(codes(ds)))
 
 
 def child_reasons(run: Column) -> Column:
@@ -107,22 +107,24 @@ def child_reasons(run: Column) -> Column:
     d = Doc(run)
     out = []
     for name, required in CHILD_KEYS.items():
-        items = d.items(name)
-        bad = d.present(name) & (items.isNull() | F.exists(items, lambda e: ~J.is_kind(e, "object")))
-
-        def codes(item: Column, i: Column, name=name, required=required) -> Column:
-            m = Doc(item)
-            at = lambda code: F.concat(F.lit(f"{name}["), i.cast("string"), F.lit(f"].{code}"))
-            found = [F.when(~m.present(k), at(f"missing_{k}")) for k in required]
-            if name == "feedback":
-                found.append(F.when(~F.coalesce(m.str("feedback_type").isin(*S.FEEDBACK_TYPES), F.lit(False)), at("unknown_type")))
-            return F.array_compact(F.array(*found))
-
-        out.append(F.when(bad, F.array(F.lit(f"{name}.not_list_of_objects")))
-                   .when(items.isNotNull(), F.flatten(F.transform(items, codes))).otherwise(_none()))
+        out.append(_list_reasons(d, name, required))
     return F.concat(*out)
 
 
+def _list_reasons(d: Doc, name: str, required: tuple[str, ...]) -> Column:
+    def codes(item: Column, i: Column) -> Column:
+        m = Doc(item)
+        at = lambda code: F.concat(F.lit(f"{name}["), i.cast("string"), F.lit(f"].{code}"))
+        found = [F.when(~m.present(k), at(f"missing_{k}")) for k in required]
+        if name == "feedback":
+            found.append(F.when(~F.coalesce(m.str("feedback_type").isin(*S.FEEDBACK_TYPES), F.lit(False)), at("unknown_type")))
+        return F.array_compact(F.array(*found))
+
+    bad = lambda items: d.present(name) & (items.isNull() | F.exists(items, lambda e: ~J.is_kind(e, "object")))
+    return let(d.items(name), lambda items: F.when(bad(items), F.array(F.lit(f"{name}.not_list_of_objects")))
+               .when(items.isNotNull(), F.flatten(F.transform(items, codes))).otherwise(_none()))
+
+
 def field_reasons(run: Column, feature_schema: Column | str) -> Column:
     """Codes of a run's own fields, its routing context and its outcome."""
     d, c, o = Doc(run), Doc(run)["routing_context"], Doc(run)["outcome"]

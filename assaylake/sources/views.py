@@ -253,3 +253,81 @@ def registry(t: Tables) -> DataFrame:
         "m > 0 AS supports_tools", "m <> 1 OR lo > 0 AS supports_structured_output",
         "round(lo * (m + 1) * (m + 1) / 1e9, 9) AS input_price", "round(hi * (m + 1) * (m + 1) / 1e9, 9) AS output_price",
     )
+
+
+def run_documents(t: Tables) -> DataFrame:
+    """Raw run documents as JSON text, 50 to a batch, with faulty ones of every kind.
+
+    Every nested list is a short fixed-length expression of its own order row, so no
+    grouping happens and no document grows with the data.
+    """
+    r = runs(t)
+    ts = "concat(date_format(started_at, 'yyyy-MM-dd'), 'T00:00:00Z')"
+    few = lambda n: f"slice(array(0,1,2,3), 1, cast({n} AS int))"
+    decision = lambda shadow, action, tag: f"""named_struct(
+        'decision_id', concat('d{tag}-', k), 'selected_provider', 'lab',
+        'selected_model', CASE WHEN k % 137 = 17 AND {'true' if tag == 'l' else 'false'} THEN 'm9' ELSE substring_index({action}, '/', -1) END,
+        'policy_version', policy_version,
+        'selection_probability', CASE WHEN k % 109 = 9 AND {'true' if tag == 'l' else 'false'} THEN 0D ELSE {'propensity' if tag == 'l' else '1D'} END,
+        'exploration', explore, 'shadow', {shadow},
+        'eligible_models', CASE WHEN k % 113 = 11 AND {'true' if tag == 'l' else 'false'} THEN cast(array() AS array<string>)
+            WHEN k % 181 = 35 THEN array_append(eligible, 'lab/m7') ELSE eligible END,
+        'feature_schema_version', '{FEATURE_SCHEMA_VERSION}',
+        'created_at', CASE WHEN k % 127 = 13 THEN null ELSE {ts} END)"""
+    doc = f"""to_json(named_struct(
+      'run_id', CASE WHEN k % 191 = 37 THEN 'bad id!' WHEN k % 89 = 1 AND k % 50 <> 0 THEN concat('run-', k - 1) ELSE run_id END,
+      'request_id', concat('req-', k), 'session_id_hash', session_id,
+      'started_at', CASE WHEN k % 167 = 29 THEN 'yesterday' ELSE {ts} END,
+      'task_domain', task_domain, 'tier', CASE WHEN k % 103 = 5 THEN null ELSE tier END,
+      'harness_version', 'h1', 'prompt_version', 'p1', 'policy_version', policy_version,
+      'feature_schema_version', CASE WHEN k % 179 = 33 THEN 'routing-features.v0' ELSE '{FEATURE_SCHEMA_VERSION}' END,
+      'status', 'finished',
+      'routing_context', named_struct(
+        'tier', tier, 'task_domain', task_domain,
+        'estimated_input_tokens', CASE WHEN k % 173 = 31 THEN -1L ELSE tokens END,
+        'context_utilization_ratio', CASE WHEN k % 107 = 7 THEN 1.5D ELSE ratio END,
+        'tool_count', CASE WHEN k % 101 = 3 THEN cast(true AS variant) ELSE cast(tool_count AS variant) END,
+        'requires_structured_output', structured, 'requires_tools', tools, 'requires_memory', memory,
+        'requires_external_data', external, 'conversation_depth', depth, 'retry_number', retry_number,
+        'previous_tool_failure', prev_tool_failure, 'latency_slo_ms', slo),
+      'decisions', CASE WHEN shadow_action IS NULL THEN array({decision('false', 'action', 'l')})
+        ELSE array({decision('false', 'action', 'l')}, {decision('NOT (k % 131 = 15 OR k % 131 = 16)', 'shadow_action', 's')}) END,
+      'attempts', transform({few('k % 4')}, i -> named_struct(
+        'attempt_id', concat('at-', k, '-', i), 'provider', 'lab', 'model', concat('m', (k + i) % 3),
+        'latency_ms', 100D * (1 + (k * 7 + i * 13) % 50), 'estimated_cost', ((k * 3 + i) % 40) / 10000D, 'currency', 'USD',
+        'success', CASE WHEN k % 149 = 21 AND i = 0 THEN null ELSE (k + i) % 5 <> 0 END,
+        'error_type', CASE WHEN (k + i) % 5 = 0 THEN concat('err-', k % 5) END, 'retry_number', i, 'note', 'free text')),
+      'tool_events', CASE WHEN k % 139 = 19 THEN to_variant_object(named_struct('x', 1)) ELSE to_variant_object(transform({few('CASE WHEN tools THEN k % 3 + 1 ELSE 0 END')}, i -> named_struct(
+        'event_id', concat('te-', k, '-', i), 'tool_name', concat('tool-', (k + i) % 7), 'attempt_number', i % 2 + 1,
+        'schema_valid', (k + 2 * i) % 6 <> 0, 'execution_success', (k + i) % 4 <> 0,
+        'error_class', CASE WHEN (k + i) % 4 = 0 THEN concat('terr-', k % 3) END))) END,
+      'validation_events', transform({few('CASE WHEN k % 2 = 0 THEN k % 3 ELSE 0 END')}, i -> named_struct(
+        'event_id', concat('ve-', k, '-', i), 'validator', concat('check-', (k + i) % 3), 'passed', (k + i) % 6 <> 0)),
+      'outcome', named_struct(
+        'completed', CASE WHEN k % 157 = 25 THEN cast('yes' AS variant) ELSE cast(completed AS variant) END,
+        'retry_count', k % 4, 'final_latency_ms', 100D * (k % 90), 'final_cost', (k % 200) / 10000D,
+        'currency', CASE WHEN k % 163 = 27 THEN null ELSE 'USD' END, 'critical_failure', k % 97 = 0),
+      'feedback', transform({few('CASE WHEN k % 5 IN (0, 3) THEN 1 ELSE 0 END')}, i -> named_struct(
+        'feedback_id', concat('f-', k, '-', i), 'feedback_type', CASE WHEN k % 151 = 23 THEN 'shout' ELSE 'edit' END,
+        'sanitized_original_value', CASE WHEN k % 61 = 2 THEN concat('ask user', k, '@example.com now') WHEN k % 67 = 4 THEN 'Authorization: Bearer abc.def-123' ELSE 'plain words' END,
+        'created_at', {ts}))))"""
+    return r.selectExpr("k", "concat('b-', k div 50) AS batch_id", "k % 50 AS idx", f"{doc} AS raw")
+
+
+def batch_envelopes(t: Tables) -> DataFrame:
+    """Batch documents without their runs, some of them faulty."""
+    b = t.orders.groupBy(F.expr("o_orderkey div 50").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    entry = lambda m, bad: f"""named_struct('provider', 'lab', 'model', '{m}', 'max_context_tokens', CASE WHEN {bad} THEN 0L ELSE 32000L END,
+      'supports_tools', true, 'supports_structured_output', true, 'estimated_input_cost_per_token', 1e-6D, 'estimated_output_cost_per_token', 2e-6D)"""
+    doc = f"""to_json(named_struct(
+      'schema', CASE WHEN b % 11 = 1 THEN 'Other' ELSE 'TelemetryBatchV1' END,
+      'schema_version', CASE WHEN b % 13 = 2 THEN '2.0' ELSE '1.1' END,
+      'batch_id', CASE WHEN b % 17 = 3 THEN ' b' ELSE concat('b-', b) END,
+      'generated_at', CASE WHEN b % 19 = 4 THEN 'soon' ELSE '2024-01-02T03:04:05Z' END,
+      'producer', CASE WHEN b % 23 = 5 THEN named_struct('repo', ' ', 'version', '1') ELSE named_struct('repo', 'app', 'version', '1') END,
+      'feature_schema_version', CASE WHEN b % 29 = 6 THEN null ELSE '{FEATURE_SCHEMA_VERSION}' END,
+      'window', CASE WHEN b % 31 = 7 THEN cast('all' AS variant) END,
+      'model_registry', CASE WHEN b % 37 = 8 THEN array() WHEN b % 41 = 9 THEN array({entry('m0', 'false')}, {entry('m0', 'false')})
+         ELSE array({entry('m0', 'b % 43 = 10')}, {entry('m1', 'false')}, {entry('m2', 'false')}) END,
+      'runs', CASE WHEN b % 47 = 11 THEN cast(1 AS variant) ELSE to_variant_object(cast(array() AS array<int>)) END))"""
+    return b.selectExpr("b", "n", f"{doc} AS raw")
