@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assaylake.functions.jsonvals import TOKEN
+from assaylake.functions.reasons import let
+
 # ---- fixed patterns ---------------------------------------------------------------
 PATTERNS = {
     "private_key": r"-----BEGIN (?:[A-Z0-9_-]+ )?PRIVATE KEY-----[\s\S]*?-----END (?:[A-Z0-9_-]+ )?PRIVATE KEY-----",
@@ -81,14 +84,38 @@ def redact(text: Column) -> Column:
     """The text with every finding replaced by its marker."""
     out = F.regexp_replace(text, _CUT, " ")
     for reason, pattern in PATTERNS.items():
-        out = _replace_checked(out, reason) if reason in CHECKED else F.regexp_replace(out, pattern, _marker(reason))
+        if reason in CHECKED:
+            out = _checked(out, reason)
+        else:
+            out = F.regexp_replace(out, pattern, _marker(reason))
     return out
 
 
+def _checked(text: Column, reason: str) -> Column:
+    return let(text, lambda x: _replace_checked(x, reason))
+
+
+# a string that could hold a finding: cheap test before the detectors run (fixed pattern)
+SUSPECT = r"@|Bearer|PRIVATE KEY|eyJ|sk-|AKIA|ghp_|xox|\\|[0-9][^A-Za-z]{0,4}[0-9]"
+
+
 def redact_document(raw_json: Column) -> Column:
-    """Redaction of a JSON document text, credential-named fields included."""
+    """Redaction of a JSON document text: string values only, and credential-named fields.
+
+    Numbers and keys are not text and are left alone; a suspicious string is decoded,
+    scanned and encoded again, so an escaped line break does not hide a finding.
+    """
     named = F.regexp_replace(raw_json, CREDENTIAL_PATTERN, '$1:"[REDACTED:credential_field]"')
-    return redact(named)
+
+    def value(tok: Column) -> Column:
+        decoded = F.try_variant_get(F.try_parse_json(tok), "$", "string")
+        encoded = F.to_json(F.array(redact(decoded)))  # ["..."]
+        return F.regexp_replace(encoded, r"^\[|\]$", "")
+
+    def scan(tokens: Column) -> Column:
+        return F.array_join(F.transform(tokens, lambda tok: F.when(tok.startswith('"') & tok.rlike(SUSPECT), value(tok)).otherwise(tok)), "")
+
+    return F.when(named.rlike(SUSPECT), scan(F.regexp_extract_all(named, F.lit("(" + TOKEN + ")"), F.lit(1)))).otherwise(named)
 
 
 def findings(redacted: Column) -> Column:

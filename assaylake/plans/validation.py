@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from assaylake.functions import jsonvals as J
 from assaylake.functions import privacy as P
-from assaylake.functions.reasons import code_list
+from assaylake.functions.plan import computed_once
+from assaylake.functions.reasons import code_list, let
 from assaylake.operators import grading as G
 from assaylake.operators import unnest as U
 from assaylake.operators import validate as VD
@@ -60,24 +61,25 @@ cte("records", """
  FROM doc_ids d LEFT JOIN (SELECT k, list(DISTINCT code) AS codes FROM doc_reasons GROUP BY k) r ON d.k = r.k LEFT JOIN doc_privacy p ON d.k = p.k""", "doc_ids", "doc_reasons", "doc_privacy")
 cte("accepted", "SELECT r.*, c.b, c.idx FROM runs r JOIN records c ON r.k = c.k WHERE c.status = 'accepted'", "runs", "records")
 
-REG = F.array(F.lit("lab/m0"), F.lit("lab/m1"), F.lit("lab/m2"))
+def registry_array():
+    return F.array(F.lit("lab/m0"), F.lit("lab/m1"), F.lit("lab/m2"))
 
 
 def parsed(t):
-    return V.run_documents(t).withColumn("run", F.try_parse_json("raw"))
+    return computed_once(V.run_documents(t), "run", F.try_parse_json("raw"))
 
 
 def checked(t):
     """Documents with every schema code, registry check and in-batch duplicates."""
-    d = parsed(t).withColumn("reasons", VD.run_reasons(F.col("run"), FEATURE_SCHEMA_VERSION)).withColumn("registry_actions", REG)
-    d = VD.check_actions_in_registry(d)
-    d = d.withColumn("reasons", F.when((F.size("reasons") == 0) & (F.size("unknown_actions") > 0), F.array(F.lit("decisions.model_not_in_registry"))).otherwise(F.col("reasons")))
-    d = d.withColumn("run_id", F.try_variant_get("run", "$.run_id", "string"))
+    d = VD.check_actions_in_registry(parsed(t).withColumn("registry_actions", registry_array()))
+    unknown = F.when(F.size("unknown_actions") > 0, F.array(F.lit("decisions.model_not_in_registry"))).otherwise(F.array().cast("array<string>"))
+    codes = let(VD.run_reasons(F.col("run"), FEATURE_SCHEMA_VERSION), lambda c: F.when(F.size(c) > 0, c).otherwise(unknown))
+    d = computed_once(d, "reasons", codes).withColumn("run_id", F.try_variant_get("run", "$.run_id", "string"))
     return VD.quarantine_duplicate_runs(d)
 
 
 def records(t):
-    d = checked(t).withColumn("_red", P.redact_document(F.col("raw")))
+    d = computed_once(checked(t), "_red", P.redact_document(F.col("raw")))
     return VD.split_accept_quarantine(d, P.reasons_of(F.col("_red")), F.col("_red")).drop("_red")
 
 
@@ -99,30 +101,30 @@ def _exploded(df, col="reasons"):
   CASE WHEN b % 41 = 9 AND b % 37 <> 8 THEN 'batch.duplicate_registry_action' END, CASE WHEN b % 47 = 11 THEN 'batch.runs_not_list' END], lambda c: c IS NOT NULL) AS x
  FROM (SELECT DISTINCT o_orderkey // 50 AS b FROM orders))""")
 def _(t):
-    d = V.batch_envelopes(t).withColumn("reasons", VD.envelope_reasons(F.try_parse_json("raw")))
+    d = computed_once(computed_once(V.batch_envelopes(t), "doc", F.try_parse_json("raw")), "reasons", VD.envelope_reasons(F.col("doc")))
     return d.select("b", code_list("reasons").alias("reasons"), (F.size("reasons") == 0).alias("accepted"))
 
 
 @query("validate_runs", sql("SELECT DISTINCT k, code FROM faults", "faults"))
 def _(t):
-    return _exploded(parsed(t).withColumn("reasons", VD.run_reasons(F.col("run"), FEATURE_SCHEMA_VERSION)))
+    return _exploded(computed_once(parsed(t), "reasons", VD.run_reasons(F.col("run"), FEATURE_SCHEMA_VERSION)))
 
 
 @query("validate_decisions", sql("SELECT DISTINCT k, code FROM decision_faults", "decision_faults"))
 def _(t):
-    return _exploded(parsed(t).withColumn("reasons", VD.decision_reasons(F.col("run"))))
+    return _exploded(computed_once(parsed(t), "reasons", VD.decision_reasons(F.col("run"))))
 
 
 @query("validate_child_events", sql("SELECT DISTINCT k, code FROM child_faults", "child_faults"))
 def _(t):
-    return _exploded(parsed(t).withColumn("reasons", VD.child_reasons(F.col("run"))))
+    return _exploded(computed_once(parsed(t), "reasons", VD.child_reasons(F.col("run"))))
 
 
 @query("check_actions_in_registry", sql("""
  SELECT DISTINCT k, a AS unknown_action FROM (
   SELECT k, 'lab/m9' AS a FROM runs WHERE k % 137 = 17 UNION ALL SELECT k, 'lab/m7' FROM runs WHERE k % 181 = 35 AND (k % 113 <> 11 OR k % 2 = 0))""", "runs"))
 def _(t):
-    return VD.check_actions_in_registry(parsed(t).withColumn("registry_actions", REG)).select("k", F.explode("unknown_actions").alias("unknown_action"))
+    return VD.check_actions_in_registry(parsed(t).withColumn("registry_actions", registry_array())).select("k", F.explode("unknown_actions").alias("unknown_action"))
 
 
 @query("quarantine_duplicate_runs", sql("SELECT k FROM doc_reasons WHERE code = 'run.duplicate_run_id_in_batch'", "doc_reasons"))
@@ -318,7 +320,8 @@ cte("part_faults", """
 
 @query("json_schema_conformance", sql("SELECT k AS p_partkey, v AS violation FROM part_faults", "part_faults"))
 def _(t):
-    d = t.part.selectExpr("p_partkey", f"{PART_JSON} AS doc").withColumn("v", J.parse_strict(F.col("doc")))
+    d = t.part.selectExpr("p_partkey", f"{PART_JSON} AS doc")
+    d = computed_once(d, "v", J.parse_strict(F.col("doc")))
     return d.filter("v IS NOT NULL").select("p_partkey", F.explode(J.schema_violations(F.col("v"), FIXTURE)).alias("violation"))
 
 

@@ -55,7 +55,7 @@ ATTEMPT_TEXT = (
 )
 ATTEMPT_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ATTEMPT_TEXT])
 
-CASE_SCHEMA = T.StructType.fromDDL("""
+CASE_SCHEMA = ("""
  case_id string, family_id string, split string, complexity_level bigint, domain string, language string,
  tags array<string>, messages array<struct<role:string,content:string>>,
  evaluation struct<method:string,reference_answer:string,rubric:array<struct<criterion:string,weight:double>>,critical_failures:array<string>>,
@@ -63,7 +63,7 @@ CASE_SCHEMA = T.StructType.fromDDL("""
  limits struct<max_output_tokens:bigint,max_tool_calls:bigint>
 """)
 
-CATALOG_SCHEMA = T.StructType.fromDDL("""
+CATALOG_SCHEMA = ("""
  id string, name string, context_length bigint, supported_parameters array<string>,
  pricing struct<prompt:string,completion:string>
 """)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.functions.hashing import hash32
+from assaylake.functions.plan import computed_once
 from assaylake.schemas import DOMAINS, FEATURE_SCHEMA_VERSION
 from assaylake.sources.tables import Tables
 
@@ -311,7 +312,7 @@ def run_documents(t: Tables) -> DataFrame:
         'feedback_id', concat('f-', k, '-', i), 'feedback_type', CASE WHEN k % 151 = 23 THEN 'shout' ELSE 'edit' END,
         'sanitized_original_value', CASE WHEN k % 61 = 2 THEN concat('ask user', k, '@example.com now') WHEN k % 67 = 4 THEN 'Authorization: Bearer abc.def-123' ELSE 'plain words' END,
         'created_at', {ts}))))"""
-    return r.selectExpr("k", "concat('b-', k div 50) AS batch_id", "k % 50 AS idx", f"{doc} AS raw")
+    return computed_once(r, "raw", F.expr(doc)).selectExpr("k", "concat('b-', k div 50) AS batch_id", "k % 50 AS idx", "raw")
 
 
 def batch_envelopes(t: Tables) -> DataFrame:
@@ -330,4 +331,4 @@ def batch_envelopes(t: Tables) -> DataFrame:
       'model_registry', CASE WHEN b % 37 = 8 THEN array() WHEN b % 41 = 9 THEN array({entry('m0', 'false')}, {entry('m0', 'false')})
          ELSE array({entry('m0', 'b % 43 = 10')}, {entry('m1', 'false')}, {entry('m2', 'false')}) END,
       'runs', CASE WHEN b % 47 = 11 THEN cast(1 AS variant) ELSE to_variant_object(cast(array() AS array<int>)) END))"""
-    return b.selectExpr("b", "n", f"{doc} AS raw")
+    return computed_once(b, "raw", F.expr(doc))

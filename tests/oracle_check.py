@@ -6,7 +6,9 @@ usage: python tests/oracle_check.py [sf_dir] [name ...]
 from __future__ import annotations
 
 import math
+import os
 import sys
+import threading
 import time
 from pathlib import Path
 
@@ -80,10 +82,14 @@ def main(argv: list[str]) -> int:
     for name, query in queries.items():
         if names and not any(name == n or (n.endswith("*") and name.startswith(n[:-1])) for n in names):
             continue
+        spark.sparkContext.setJobGroup(name, name, interruptOnCancel=True)
+        timer = threading.Timer(float(os.environ.get("QUERY_LIMIT", "60")), spark.sparkContext.cancelJobGroup, [name])
+        timer.start()
         try:
             ok, note = compare(spark, con, name, query, oracles.get(name), folder)
         except Exception as exc:  # report and go on with the next query
             ok, note = False, f"{type(exc).__name__}: {str(exc)[:700]}"
+        timer.cancel()
         print(("ok   " if ok else "FAIL ") + name + ": " + note, flush=True)
         if not ok:
             failed.append(name)
