@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from assaylake.functions.features import OPTIONAL, SPEC
 from assaylake.schemas import DOMAINS, FEATURE_SCHEMA_VERSION
 
 _DOM = "[" + ",".join(f"'{d}'" for d in DOMAINS) + "]"
@@ -181,3 +182,24 @@ cte("registry", """
   m > 0 AS supports_tools, m <> 1 OR lo > 0 AS supports_structured_output,
   round(lo * (m + 1) * (m + 1) / 1e9, 9) AS input_price, round(hi * (m + 1) * (m + 1) / 1e9, 9) AS output_price
  FROM (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part), (SELECT unnest([0,1,2]) AS m)""")
+
+
+def features_sql() -> str:
+    """The same vector as SQL text for the side-by-side check."""
+    def one(s, tr, a):
+        if tr == "constant":
+            return f"{a}::DOUBLE"
+        if tr == "equals":
+            return f"({s} = '{a}')::INT::DOUBLE"
+        if tr == "not_in":
+            return f"({s} NOT IN ({','.join(repr(x) for x in a)}))::INT::DOUBLE"
+        if tr == "bool":
+            return f"({s})::INT::DOUBLE"
+        if tr == "present":
+            return f"({s} IS NOT NULL)::INT::DOUBLE"
+        if tr == "clip01":
+            return f"least(1.0, greatest(0.0, {s}))::DOUBLE"
+        if tr == "capped_ratio":
+            return f"coalesce(least(1.0::DOUBLE, greatest(0.0::DOUBLE, {s}::DOUBLE / {float(a)}::DOUBLE)), 0)::DOUBLE" if s not in OPTIONAL else f"CASE WHEN {s} IS NULL THEN 0::DOUBLE ELSE least(1.0::DOUBLE, {s}::DOUBLE / {float(a)}::DOUBLE) END"
+        return f"least(1.0::DOUBLE, ln(1 + {s}::DOUBLE) / ln({float(a)}::DOUBLE + 1))"
+    return "[" + ", ".join(one(s, tr, a) for _n, s, tr, a in SPEC) + "]"

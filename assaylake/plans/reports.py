@@ -274,34 +274,34 @@ def _(t):
 
 
 # ---- comparison -----------------------------------------------------------------------
-cte("side", "SELECT 's' || (rk % 2) AS side, * FROM graded WHERE rk IN (3, 5, 4, 6)", "graded")
 cte("pairs", """
- WITH l AS (SELECT case_id, count(*) AS n, min(attempt_id) AS a, arg_min(score, attempt_id) FILTER (true) AS score, min(prompt_hash) AS ph, min(method) AS me, min(context_condition) AS cc FROM graded WHERE model = 'm1' AND rk % 2 = 0 GROUP BY 1),
- r AS (SELECT case_id, count(*) AS n, min(score) AS score, min(prompt_hash) AS ph, min(method) AS me, min(context_condition) AS cc FROM graded WHERE model = 'm2' AND rk % 2 = 0 GROUP BY 1)
- SELECT case_id, CASE WHEN l.n > 1 OR r.n > 1 THEN 'duplicate' WHEN l.n IS NULL OR r.n IS NULL THEN 'unmatched' WHEN l.ph <> r.ph OR l.me <> r.me OR l.cc <> r.cc THEN 'condition_mismatch' ELSE 'paired' END AS verdict,
-  CASE WHEN l.n = 1 THEN l1.score END AS left_score, CASE WHEN r.n = 1 THEN r.score END AS right_score, c.family_id, c.domain, c.split, c.complexity_level
- FROM l FULL JOIN r USING (case_id) LEFT JOIN (SELECT case_id, min(score) AS score FROM graded WHERE model = 'm1' AND rk % 2 = 0 GROUP BY 1) l1 USING (case_id) LEFT JOIN cases c USING (case_id)""", "graded", "cases")
+ WITH l AS (SELECT rk // 2 AS pair, case_id, count(*) AS n, min(score) AS score, min(prompt_hash) AS ph, min(method) AS me, min(context_condition) AS cc FROM graded WHERE rk % 2 = 0 GROUP BY ALL),
+ r AS (SELECT rk // 2 AS pair, case_id, count(*) AS n, min(score) AS score, min(prompt_hash) AS ph, min(method) AS me, min(context_condition) AS cc FROM graded WHERE rk % 2 = 1 GROUP BY ALL)
+ SELECT pair, case_id, CASE WHEN l.n > 1 OR r.n > 1 THEN 'duplicate' WHEN l.n IS NULL OR r.n IS NULL THEN 'unmatched' WHEN l.ph <> r.ph OR l.me <> r.me OR l.cc <> r.cc THEN 'condition_mismatch' ELSE 'paired' END AS verdict,
+  l.score AS left_score, r.score AS right_score, c.family_id, c.domain, c.split, c.complexity_level
+ FROM l FULL JOIN r USING (pair, case_id) LEFT JOIN cases c USING (case_id)""", "graded", "cases")
 
 
 def pairs(t):
-    g = graded(t)
-    return C.matched_case_pairs(g.filter("model = 'm1' AND rk % 2 = 0"), g.filter("model = 'm2' AND rk % 2 = 0"),
-                                V.cases(t).select("case_id", "family_id", "domain", "split", "complexity_level"))
+    """Every even run against the next odd one."""
+    g = graded(t).withColumn("pair", F.expr("rk div 2"))
+    return C.matched_case_pairs(g.filter("rk % 2 = 0"), g.filter("rk % 2 = 1"),
+                                V.cases(t).select("case_id", "family_id", "domain", "split", "complexity_level"), ["pair"])
 
 
-@query("matched_case_pairs", sql("SELECT case_id, verdict, CASE WHEN verdict <> 'duplicate' THEN left_score END AS left_score, CASE WHEN verdict <> 'duplicate' THEN right_score END AS right_score FROM pairs", "pairs"))
+@query("matched_case_pairs", sql("SELECT pair, case_id, verdict, CASE WHEN verdict <> 'duplicate' THEN left_score END AS left_score, CASE WHEN verdict <> 'duplicate' THEN right_score END AS right_score FROM pairs", "pairs"))
 def _(t):
     keep = lambda c: F.when(F.col("verdict") != "duplicate", F.col(c)).alias(c)
-    return pairs(t).select("case_id", "verdict", keep("left_score"), keep("right_score"))
+    return pairs(t).select("pair", "case_id", "verdict", keep("left_score"), keep("right_score"))
 
 
 cte("paired", "SELECT *, CASE WHEN left_score IS NOT NULL AND right_score IS NOT NULL THEN left_score END AS l, CASE WHEN left_score IS NOT NULL AND right_score IS NOT NULL THEN right_score END AS r FROM pairs WHERE verdict = 'paired'", "pairs")
 _cmp = lambda d, e: f"SELECT '{d}' AS dimension, {e} AS key, count(*) AS n, count(l) AS scored_pairs, round(avg(l), 6) AS left_mean, round(avg(r), 6) AS right_mean, round(avg(l) - avg(r), 6) AS delta FROM paired GROUP BY ALL"
 
 
-@query("matched_comparison", sql(" UNION ALL ".join([_cmp("all", "'all'"), _cmp("domain", "domain"), _cmp("family_id", "family_id"), _cmp("complexity_level", "complexity_level::VARCHAR"), _cmp("split", "split")]), "paired"))
+@query("matched_comparison", sql(" UNION ALL ".join([_cmp("all", "'all'"), _cmp("domain", "domain"), _cmp("family_id", "family_id"), _cmp("complexity_level", "complexity_level::VARCHAR"), _cmp("split", "split"), _cmp("pair", "pair::VARCHAR")]), "paired"))
 def _(t):
-    return rounded(C.matched_comparison(pairs(t), ["domain", "family_id", "complexity_level", "split"]), "left_mean", "right_mean", "delta")
+    return rounded(C.matched_comparison(pairs(t), ["domain", "family_id", "complexity_level", "split", "pair"]), "left_mean", "right_mean", "delta")
 
 
 @query("regression_report", sql("""
@@ -344,7 +344,7 @@ def _(t):
 @query("shadow_replay_summary", sql("SELECT (SELECT count(*) FROM attempts WHERE line_no = 1) AS recommendation_count, (SELECT count(DISTINCT case_id) FROM attempts) AS observed_cases, false AS application_config_changed", "attempts"))
 def _(t):
     a = V.attempts(t)
-    return a.agg(F.count_if("line_no = 1").alias("recommendation_count"), F.count_distinct("case_id").alias("observed_cases")).withColumn("application_config_changed", F.lit(False))
+    return a.agg(F.count_if(F.col("line_no") == 1).alias("recommendation_count"), F.count_distinct("case_id").alias("observed_cases")).withColumn("application_config_changed", F.lit(False))
 
 
 # ---- rankings and selections --------------------------------------------------------------
