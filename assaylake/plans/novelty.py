@@ -13,6 +13,7 @@ from assaylake.operators import preferences as PR
 from assaylake.operators import rewards as RW
 from assaylake.operators import routing as RT
 from assaylake.operators import unnest as U
+from assaylake.plans import rewards as _rewards  # noqa: F401  (its views are used below)
 from assaylake.plans.catalog import query
 from assaylake.plans.oracle import cte, features_sql, sql
 from assaylake.sources import views as V
@@ -403,15 +404,16 @@ def _(t):
     return r6(M.shadow_disagreement_rate(V.observations(t)), "rate")
 
 
-_ue = """round(CASE WHEN bool_and(coalesce(currency = 'USD', false) AND final_cost IS NOT NULL AND completed IS NOT NULL) THEN sum(final_cost) / nullif(count(*) FILTER (completed), 0) END, 6) AS cost_per_successful_run,
-  round(CASE WHEN bool_and(coalesce(currency = 'USD', false) AND final_cost IS NOT NULL) FILTER (scalar IS NOT NULL) THEN sum(scalar) / nullif(sum(final_cost) FILTER (scalar IS NOT NULL), 0) END, 6) AS reward_per_dollar,
-  round(CASE WHEN bool_and(final_latency_ms IS NOT NULL) FILTER (scalar IS NOT NULL) THEN sum(scalar) / nullif(sum(final_latency_ms) FILTER (scalar IS NOT NULL) / 1000, 0) END, 6) AS reward_per_second, round(avg(scalar), 6) AS mean_reward, count(*) FILTER (completed) AS successes"""
+_ue = """round(CASE WHEN bool_and(coalesce(currency = 'USD', false) AND final_cost IS NOT NULL AND completed IS NOT NULL) THEN sum(final_cost) / nullif(count(*) FILTER (completed), 0) END, 8) AS cost_per_successful_run,
+  round(CASE WHEN bool_and(coalesce(currency = 'USD', false) AND final_cost IS NOT NULL) FILTER (scalar IS NOT NULL) THEN sum(scalar) / nullif(sum(final_cost) FILTER (scalar IS NOT NULL), 0) END, 8) AS reward_per_dollar,
+  round(CASE WHEN bool_and(final_latency_ms IS NOT NULL) FILTER (scalar IS NOT NULL) THEN sum(scalar) / nullif(sum(final_latency_ms) FILTER (scalar IS NOT NULL) / 1000, 0) END, 8) AS reward_per_second, round(avg(scalar), 8) AS mean_reward, count(*) FILTER (completed) AS successes"""
 
 
 @query("unit_economics", sql(f"SELECT session_id, tier, {_ue} FROM rewards GROUP BY ALL", "rewards"))
 def _(t):
     r = RW.reward_run(V.run_facts(t), RW.RewardConfig())
-    return r6(M.unit_economics(r, ["session_id", "tier"]), "cost_per_successful_run", "reward_per_dollar", "reward_per_second", "mean_reward")
+    u = M.unit_economics(r, ["session_id", "tier"])
+    return u.withColumns({c: F.round(c, 8) for c in ("cost_per_successful_run", "reward_per_dollar", "reward_per_second", "mean_reward")})
 
 
 @query("tier_action_coverage", sql("SELECT tier, action AS chosen_action, count(*) AS n FROM runs GROUP BY ALL", "runs"))
@@ -463,7 +465,7 @@ def _(t):
  UNION ALL SELECT 'data_efficiency_ratio', round(approved::DOUBLE / imported_candidates, 6), approved, imported_candidates FROM eff UNION ALL SELECT 'propensity_support_coverage', round(supported_cells::DOUBLE / eligible_cells, 6), supported_cells, eligible_cells FROM psup
  UNION ALL SELECT 'critical_regression_rate', round(critical_failed::DOUBLE / reports, 6), critical_failed, reports FROM crr
  UNION ALL SELECT 'shadow_disagreement', round(avg((shadow_action <> action)::INT), 6), count(*) FILTER (shadow_action <> action), count(*) FROM runs WHERE shadow_action IS NOT NULL
- UNION ALL SELECT unnest(['cost_per_successful_run','reward_per_dollar','reward_per_second','mean_reward']), unnest([cost_per_successful_run, reward_per_dollar, reward_per_second, mean_reward]), NULL, NULL FROM (SELECT {_ue} FROM rewards)""", "fsr", "eff", "psup", "crr", "runs", "rewards"))
+ UNION ALL SELECT unnest(['cost_per_successful_run','reward_per_dollar','reward_per_second','mean_reward']), round(unnest([cost_per_successful_run, reward_per_dollar, reward_per_second, mean_reward]), 6), NULL, NULL FROM (SELECT {_ue} FROM rewards)""", "fsr", "eff", "psup", "crr", "runs", "rewards"))
 def _(t):
     facts = V.run_facts(t)
     return r6(M.metrics_scorecard(facts, V.observations(t), RW.reward_run(facts, RW.RewardConfig()), stored_candidates(t), gate_log(t)), "value")

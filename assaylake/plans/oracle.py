@@ -52,7 +52,7 @@ cte("runs0", f"""
   CASE WHEN o_orderkey % 20 = 0 THEN 'EUR' WHEN o_orderkey % 50 = 7 THEN NULL ELSE 'USD' END AS currency,
   o_orderdate AS started_at,
   date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT * 1099511627776 + o_orderkey AS seq,
-  round((floor(o_totalprice)::BIGINT % 64000) / 64000.0::DOUBLE, 4) AS ratio,
+  ((floor(o_totalprice)::BIGINT % 64000) * 10000 // 64000) / 10000.0::DOUBLE AS ratio,
   'pv-' || (o_orderkey % 3) AS policy_version
  FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
 cte("runs1", f"""

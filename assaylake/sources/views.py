@@ -44,7 +44,7 @@ def runs(t: Tables) -> DataFrame:
             "o_orderdate AS started_at",
             "datediff(o_orderdate, DATE'1970-01-01') * 1099511627776L + o_orderkey AS seq",
         )
-        .withColumn("ratio", F.expr("round(tokens / 64000D, 4)"))
+        .withColumn("ratio", F.expr("(tokens * 10000 div 64000) / 10000D"))
     )
     r = (
         r.withColumn("eligible", F.expr(
