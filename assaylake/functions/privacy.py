@@ -144,7 +144,9 @@ def preference_privacy_hit(text: Column) -> Column:
 
 def signature_hits(text: Column) -> Column:
     """array<struct(signature, fingerprint)> of high-specificity secrets; the match itself is never kept."""
-    return F.concat(*[
-        F.transform(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)),
-                    lambda m, name=name: F.struct(F.lit(name).alias("signature"), F.sha2(m, 256).alias("fingerprint")))
-        for name, p in SIGNATURES.items()])
+    return F.concat(*[_hits(text, name, p) for name, p in SIGNATURES.items()])
+
+
+def _hits(text: Column, name: str, pattern: str) -> Column:
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    return F.transform(found, lambda m: F.struct(F.lit(name).alias("signature"), F.sha2(m, 256).alias("fingerprint")))

@@ -122,10 +122,9 @@ def resample(df: DataFrame, key: str, by: list[str], sums: dict[str, Column], *,
 
 def interval(draw_values: DataFrame, by: list[str], value: Column, lower, upper) -> DataFrame:
     """Order statistics of the usable draws (at most ``draws`` values per group) at given 0-based positions."""
-    v = F.sort_array(F.collect_list(value)).alias("v")
-    g = draw_values.groupBy(*by).agg(v) if by else draw_values.agg(v)
-    n = F.size("v")
-    return g.select(*by, n.alias("usable"), F.get("v", lower(n).cast("int")).alias("lower"), F.get("v", upper(n).cast("int")).alias("upper"))
+    g = draw_values.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_vals"))
+    n = F.size("_vals")
+    return g.select(*by, n.alias("usable"), F.get("_vals", lower(n).cast("int")).alias("lower"), F.get("_vals", upper(n).cast("int")).alias("upper"))
 
 
 def bootstrap_ci(weighted: DataFrame, by: list[str], key: str, *, draws: int, seed: int = 0, exact_hash: bool = False) -> DataFrame:

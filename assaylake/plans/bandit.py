@@ -510,6 +510,6 @@ def _(t):
     rate = lambda rows: rows.groupBy("task_domain").agg(F.avg(F.col("passed").cast("double")).alias("pass_rate"))
     rows = policy_rows(t).filter("split <> 'holdout'")
     regress = C.deterministic_regressions(rate(rows), rate(rows), "task_domain")
-    leaks = LN.leakage_scan(t.documents.filter("source = 'src1'").selectExpr("cast(doc_id AS string) AS text_id", "text"), t.benchmark.selectExpr("cast(item_id AS string) AS target_id", "text AS target"))
+    leaks = LN.leakage_scan(t.documents.selectExpr("cast(doc_id AS string) AS text_id", "text"), t.benchmark.selectExpr("cast(item_id AS string) AS target_id", "text AS target"))
     versions = V.observations(t).filter("NOT shadow AND k % 127 <> 1").select("feature_schema_version").distinct()
     return GT.promotion_gates(val, hold, "observation_id", c, leaks=leaks, feature_versions=versions, current_version=FEATURE_SCHEMA_VERSION, reproduce=rep, core_regressions=regress)

@@ -12,7 +12,7 @@ from assaylake.sources.tables import Tables
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-MODULES = ("rewards", "validation", "reports", "novelty", "bandit")
+MODULES = ("rewards", "validation", "reports", "novelty", "bandit", "texts", "storage")
 
 
 def query(name: str, oracle: str | None = None):

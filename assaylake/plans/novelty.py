@@ -150,9 +150,9 @@ def _(t):
     return nearest(V.runs(t)).select("k", F.round("feature_distance", 6).alias("feature_distance"))
 
 
-@query("novelty_score", sql("SELECT k, round(novelty, 5) AS novelty, (domain_rarity > 0)::INT + (feature_distance > 0)::INT + (new_failure_signature > 0)::INT + (new_tool_combination > 0)::INT + (shadow_disagreement > 0)::INT + (correction_magnitude > 0)::INT + (unusual_cost > 0)::INT + (unusual_latency > 0)::INT + (repeated_recovery > 0)::INT + (context_limit_edge > 0)::INT + (tier_edge > 0)::INT AS reasons FROM nov", "nov"))
+@query("novelty_score", sql("SELECT k, novelty, (domain_rarity > 0)::INT + (feature_distance > 0)::INT + (new_failure_signature > 0)::INT + (new_tool_combination > 0)::INT + (shadow_disagreement > 0)::INT + (correction_magnitude > 0)::INT + (unusual_cost > 0)::INT + (unusual_latency > 0)::INT + (repeated_recovery > 0)::INT + (context_limit_edge > 0)::INT + (tier_edge > 0)::INT AS reasons FROM nov", "nov"))
 def _(t):
-    return scored(t).select("k", F.round("novelty", 5).alias("novelty"), F.size("novelty_reasons").alias("reasons"))
+    return scored(t).select("k", "novelty", F.size("novelty_reasons").alias("reasons"))
 
 
 @query("novelty_history", sql("""
