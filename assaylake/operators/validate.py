@@ -77,7 +77,9 @@ def decision_reasons(run: Column) -> Column:
     decisions = d.items("decisions")
 
     def shape_codes(item: Column, i: Column) -> Column:
-        m = Doc(item)
+        return Doc.bind(item, "$", DECISION_KEYS, lambda m: codes_of(m, i))
+
+    def codes_of(m: Doc, i: Column) -> Column:
         at = lambda code: F.concat(F.lit("decisions["), i.cast("string"), F.lit("]."), F.lit(code))
         missing = F.array_compact(F.array(*[F.when(~m.present(k), at(f"missing_{k}")) for k in DECISION_KEYS]))
         prob, elig = m.num("selection_probability"), m.items("eligible_models")
@@ -94,7 +96,7 @@ def decision_reasons(run: Column) -> Column:
         last = F.when(~F.array_contains(names, chosen), F.array(at("selected_not_eligible"))).otherwise(_none())
         # shape first, then values, then eligibility: each stage only where the one before found nothing
         found = let(missing, lambda a: F.when(F.size(a) > 0, a).otherwise(let(codes, lambda b: F.when(F.size(b) > 0, b).otherwise(last))))
-        return F.when(~J.is_kind(item, "object"), F.array(at("not_object"))).otherwise(found)
+        return F.when(~m.is_object(), F.array(at("not_object"))).otherwise(found)
 
     live = lambda ds: F.size(F.filter(ds, lambda e: Doc(e).bool("shadow") == F.lit(False)))
     one_live = lambda ds: F.when(live(ds) != 1, F.array(F.lit("decisions.exactly_one_live_required"))).otherwise(_none())
@@ -112,54 +114,62 @@ def child_reasons(run: Column) -> Column:
 
 
 def _list_reasons(d: Doc, name: str, required: tuple[str, ...]) -> Column:
-    def codes(item: Column, i: Column) -> Column:
-        m = Doc(item)
+    def codes(m: Doc, i: Column) -> Column:
         at = lambda code: F.concat(F.lit(f"{name}["), i.cast("string"), F.lit(f"].{code}"))
         found = [F.when(~m.present(k), at(f"missing_{k}")) for k in required]
         if name == "feedback":
             found.append(F.when(~F.coalesce(m.str("feedback_type").isin(*S.FEEDBACK_TYPES), F.lit(False)), at("unknown_type")))
         return F.array_compact(F.array(*found))
 
-    bad = lambda items: d.present(name) & (items.isNull() | F.exists(items, lambda e: ~J.is_kind(e, "object")))
-    return let(d.items(name), lambda items: F.when(bad(items), F.array(F.lit(f"{name}.not_list_of_objects")))
-               .when(items.isNotNull(), F.flatten(F.transform(items, codes))).otherwise(_none()))
+    not_objects = F.array(F.lit(f"{name}.not_list_of_objects"))
+    # one array of codes per item; null marks an item that is not an object
+    each = lambda items: F.transform(items, lambda e, i: Doc.bind(e, "$", required, lambda m: F.when(m.is_object(), codes(m, i))))
+    joined = lambda items: let(each(items), lambda cs: F.when(F.exists(cs, lambda c: c.isNull()), not_objects).otherwise(F.flatten(cs)))
+    return let(d.items(name), lambda items: F.when(items.isNotNull(), joined(items)).when(d.present(name), not_objects).otherwise(_none()))
+
+
+RUN_FIELDS = ("run_id", *RUN_TEXTS, "started_at", "completed_at")
 
 
-def field_reasons(run: Column, feature_schema: Column | str) -> Column:
-    """Codes of a run's own fields, its routing context and its outcome."""
-    d, c, o = Doc(run), Doc(run)["routing_context"], Doc(run)["outcome"]
+def run_field_reasons(d: Doc, c: Doc, feature_schema: Column | str) -> Column:
+    """Codes of a run's own fields and its routing context."""
     fs = F.lit(feature_schema) if isinstance(feature_schema, str) else feature_schema
-    has_ctx = d.is_("routing_context", "object")
     rules: list = [("run.invalid_run_id", ~_id_ok(d.str("run_id")))]
     rules += [(f"run.missing_{n}", ~d.text(n)) for n in RUN_TEXTS]
     rules += [
         ("run.feature_schema_mismatch", d.given("feature_schema_version") & ~F.coalesce(d.str("feature_schema_version") == fs, F.lit(False))),
         ("run.invalid_started_at", ~d.timestamp("started_at")),
         ("run.invalid_completed_at", d.given("completed_at") & ~d.timestamp("completed_at")),
-        ("routing_context.missing", ~has_ctx),
+        ("routing_context.missing", ~c.is_object()),
     ]
     for n, kind in CONTEXT_FIELDS.items():
         rules += [(f"routing_context.missing_{n}", ~c.present(n)), (f"routing_context.invalid_{n}", c.present(n) & ~c.is_(n, kind))]
     rules += [(f"routing_context.invalid_{n}", c.given(n) & ~c.is_(n, kind)) for n, kind in CONTEXT_OPTIONAL.items()]
-    rules += [(f"routing_context.negative_{n}", c.is_(n, "integer") & (c.num(n) < 0))
-              for n in ("estimated_input_tokens", "tool_count", "conversation_depth", "retry_number")]
+    rules += [(f"routing_context.negative_{n}", c.num(n) < 0) for n in ("estimated_input_tokens", "tool_count", "conversation_depth", "retry_number")]
     ratio = c.num("context_utilization_ratio")
     same = lambda n: c.str(n).eqNullSafe(d.str(n))
     rules += [("routing_context.ratio_out_of_range", (ratio < 0) | (ratio > 1)),
-              ("routing_context.run_mismatch", has_ctx & ~(same("tier") & same("task_domain")))]
-    out_rules = [("outcome.missing", ~d.is_("outcome", "object"))]
-    out_rules += [(f"outcome.invalid_{n}", o.given(n) & ~o.is_(n, "boolean")) for n in OUTCOME_FLAGS]
-    out_rules += [(f"outcome.invalid_{n}", o.given(n) & (o.num(n).isNull() | (o.num(n) < 0))) for n in ("retry_count", "final_latency_ms")]
+              ("routing_context.run_mismatch", c.is_object() & ~(same("tier") & same("task_domain")))]
+    return reasons(rules)
+
+
+def outcome_reasons(o: Doc) -> Column:
+    rules = [("outcome.missing", ~o.is_object())]
+    rules += [(f"outcome.invalid_{n}", o.given(n) & ~o.is_(n, "boolean")) for n in OUTCOME_FLAGS]
+    rules += [(f"outcome.invalid_{n}", o.given(n) & (o.num(n).isNull() | (o.num(n) < 0))) for n in ("retry_count", "final_latency_ms")]
     cost = o.num("final_cost")
-    out_rules += [("outcome.invalid_final_cost_or_currency", o.given("final_cost") & (cost.isNull() | (cost < 0) | ~o.text("currency")))]
-    return reasons(rules), reasons(out_rules)
+    rules += [("outcome.invalid_final_cost_or_currency", o.given("final_cost") & (cost.isNull() | (cost < 0) | ~o.text("currency")))]
+    return reasons(rules)
 
 
 def run_reasons(run: Column, feature_schema: Column | str) -> Column:
     """Every schema code of a run document, deduplicated in order."""
-    head, tail = field_reasons(run, feature_schema)
-    all_codes = F.array_distinct(F.concat(head, decision_reasons(run), child_reasons(run), tail))
-    return F.when(~J.is_kind(run, "object"), F.array(F.lit("run.not_object"))).otherwise(all_codes)
+    context = (*CONTEXT_FIELDS, *CONTEXT_OPTIONAL)
+    outcome = (*OUTCOME_FLAGS, "retry_count", "final_latency_ms", "final_cost", "currency")
+    head = lambda d: Doc.bind(run, "$.routing_context", context, lambda c: run_field_reasons(d, c, feature_schema))
+    tail = Doc.bind(run, "$.outcome", outcome, outcome_reasons)
+    codes = lambda d: F.array_distinct(F.concat(head(d), decision_reasons(run), child_reasons(run), tail))
+    return Doc.bind(run, "$", RUN_FIELDS, lambda d: F.when(d.is_object(), codes(d)).otherwise(F.array(F.lit("run.not_object"))))
 
 
 def actions_of(run: Column) -> Column:
@@ -179,12 +189,13 @@ def check_actions_in_registry(runs: DataFrame) -> DataFrame:
 def quarantine_duplicate_runs(runs: DataFrame, order: str = "idx") -> DataFrame:
     """Second and later valid runs with one id in a batch get a code.
 
-    The first index per (batch, run id) is a partial aggregate, so one id that holds
-    many rows is never sorted in one task.
+    A window group lies inside one batch document, so its size has the document's bound,
+    and the expensive codes are computed once.
     """
-    first = (runs.filter(F.size("reasons") == 0).groupBy("batch_id", "run_id").agg(F.min(order).alias("_first")))
-    dup = (F.size("reasons") == 0) & (F.col(order) > F.col("_first"))
-    return (runs.join(first, ["batch_id", "run_id"], "left")
+    valid = F.size("reasons") == 0
+    first = F.min(F.when(valid, F.col(order))).over(W.partitionBy("batch_id", "run_id"))
+    dup = valid & (F.col(order) > F.col("_first"))
+    return (runs.withColumn("_first", first)
             .withColumn("reasons", F.when(dup, F.array(F.lit("run.duplicate_run_id_in_batch"))).otherwise(F.col("reasons"))).drop("_first"))
 
 
