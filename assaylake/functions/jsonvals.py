@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assaylake.functions.reasons import let
+
 # JSON tokens: strings, numbers, literals, punctuation (fixed pattern)
 TOKEN = r'"(?:[^"\\]|\\.)*"|-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null|[{}\[\],:]'
 
@@ -21,29 +23,38 @@ def parse_strict(text: Column) -> Column:
     return F.when(one & in_object.isNotNull(), F.try_parse_json(text))
 
 
+def _tag(tok: Column) -> Column:
+    num, is_int = tok.rlike(r"^-?[0-9]"), tok.rlike(r"^-?[0-9]+$")
+    as_int = F.coalesce(tok.try_cast("decimal(38,0)").cast("string"), tok)
+    return (F.when(tok.startswith('"'), F.concat(F.lit('"s'), F.substring(tok, 2, 2147483647)))
+            .when(num & is_int, F.concat(F.lit('"i'), as_int, F.lit('"')))
+            .when(num, F.concat(F.lit('"f'), tok.cast("double").cast("string"), F.lit('"'))).otherwise(tok))
+
+
 def canonical_json(text: Column) -> Column:
-    """Canonical text in which equal means equal in value and in type.
+    """Canonical text in which equal means equal in value and in type; null when not one JSON value.
 
     Numbers become tagged strings (``i`` integer, ``f`` float), string values get the
     tag ``s``; object keys come out sorted and arrays keep their order.
     """
-    def tag(tok: Column) -> Column:
-        num = tok.rlike(r"^-?[0-9]")
-        is_int = tok.rlike(r"^-?[0-9]+$")
-        as_int = F.coalesce(tok.try_cast("decimal(38,0)").cast("string"), tok)
-        return (F.when(num & is_int, F.concat(F.lit('"i'), as_int, F.lit('"')))
-                .when(num, F.concat(F.lit('"f'), tok.cast("double").cast("string"), F.lit('"')))
-                .when(tok.startswith('"'), F.concat(F.lit('"s'), F.substring(tok, 2, 2147483647)))
-                .otherwise(tok))
+    clean = F.regexp_replace(text, TOKEN + r"|\s+", "") == ""  # nothing between the tokens
+    tagged = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(" + TOKEN + ")"), F.lit(1)), _tag), "")
 
-    tokens = F.regexp_extract_all(text, F.lit("(" + TOKEN + ")"), F.lit(1))
-    tagged = F.array_join(F.transform(tokens, tag), "")
-    return F.when(parse_strict(text).isNotNull(), F.to_json(F.try_parse_json(tagged)))
+    def finish(tg: Column) -> Column:
+        in_array = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), tg, F.lit("]"))), "$", "array<variant>")
+        in_object = F.try_parse_json(F.concat(F.lit('{"v":'), tg, F.lit("}")))
+        return let(in_array, lambda a: F.when((F.size(a) == 1) & in_object.isNotNull(), F.to_json(F.get(a, F.lit(0)))))
+
+    return F.when(clean, let(tagged, finish))
 
 
 def json_equal(a: Column, b: Column, tolerance: float = 0.0) -> Column:
     """Type-strict equality of two JSON texts; a tolerance applies to numbers of one type."""
-    ca, cb = canonical_json(a), canonical_json(b)
+    return canonical_equal(canonical_json(a), canonical_json(b), tolerance)
+
+
+def canonical_equal(ca: Column, cb: Column, tolerance: float = 0.0) -> Column:
+    """Equality of two canonical texts."""
     if not tolerance:
         return ca == cb
     ta, tb = (F.regexp_extract_all(c, F.lit("(" + TOKEN + ")"), F.lit(1)) for c in (ca, cb))

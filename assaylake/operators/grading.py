@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from assaylake.functions import jsonvals as J
 from assaylake.functions import text as X
 from assaylake.functions.hashing import content_hash
+from assaylake.functions.plan import computed_once
+from assaylake.functions.reasons import let
 
 
 def _verdict(passed: Column, reason: Column) -> Column:
@@ -17,7 +19,8 @@ def _verdict(passed: Column, reason: Column) -> Column:
 
 
 def _fail(passed: Column, text: str) -> Column:
-    return _verdict(passed, F.when(~passed, text))
+    """Verdict of a condition that is evaluated once per row."""
+    return let(passed, lambda p: _verdict(p, F.when(~p, text)))
 
 
 def _abstain(text: str | Column) -> Column:
@@ -33,20 +36,21 @@ def grade_normalized_text(candidate: Column, reference: Column) -> Column:
 
 
 def grade_exact_json(candidate: Column, reference: Column, tolerance: float = 0.0) -> Column:
-    equal = F.coalesce(J.json_equal(candidate, reference, tolerance), F.lit(False))
-    return (F.when(J.parse_strict(candidate).isNull(), _verdict(F.lit(False), F.lit("candidate output is not valid JSON")))
-            .when(J.parse_strict(reference).isNull(), _abstain("reference answer is not valid JSON"))
-            .otherwise(_fail(equal, "JSON value differs from reference")))
+    def judge(pair: Column) -> Column:
+        return (F.when(pair["c"].isNull(), _verdict(F.lit(False), F.lit("candidate output is not valid JSON")))
+                .when(pair["r"].isNull(), _abstain("reference answer is not valid JSON"))
+                .otherwise(_fail(J.canonical_equal(pair["c"], pair["r"], tolerance), "JSON value differs from reference")))
+
+    return let(F.struct(J.canonical_json(candidate).alias("c"), J.canonical_json(reference).alias("r")), judge)
 
 
 def grade_schema(candidate: Column, schema: dict | None, extra_keys: bool = False) -> Column:
-    v = J.parse_strict(candidate)
+    invalid = _abstain("candidate output is not valid JSON")
     if schema is None:
-        return F.when(v.isNull(), _abstain("candidate output is not valid JSON")).otherwise(_abstain("schema definition is unavailable"))
-    bad = J.schema_violations(v, schema, extra_keys=extra_keys)
-    passed = F.size(bad) == 0
-    return F.when(v.isNull(), _abstain("candidate output is not valid JSON")).otherwise(
-        _verdict(passed, F.when(~passed, F.array_join(bad, "; "))))
+        return F.when(J.parse_strict(candidate).isNull(), invalid).otherwise(_abstain("schema definition is unavailable"))
+    verdict = lambda bad: _verdict(F.size(bad) == 0, F.when(F.size(bad) > 0, F.array_join(bad, "; ")))
+    judge = lambda v: F.when(v.isNull(), invalid).otherwise(let(J.schema_violations(v, schema, extra_keys=extra_keys), verdict))
+    return let(J.parse_strict(candidate), judge)
 
 
 def grade_arithmetic(candidate: Column, expected: Column, tolerance: float = 0.0) -> Column:
@@ -56,12 +60,14 @@ def grade_arithmetic(candidate: Column, expected: Column, tolerance: float = 0.0
 
 
 def grade_required_fields(candidate: Column, required: list[str]) -> Column:
-    v = J.parse_strict(candidate)
-    keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
-    missing = F.array_except(F.array(*[F.lit(r) for r in required]), keys)
-    return (F.when(v.isNull(), _abstain("candidate output is not valid JSON"))
-            .when(~J.is_kind(v, "object"), _verdict(F.lit(False), F.lit("candidate JSON is not an object")))
-            .otherwise(_fail(F.size(missing) == 0, "required fields are missing")))
+    def judge(v: Column) -> Column:
+        fields = F.try_variant_get(v, "$", "map<string,variant>")
+        has_all = lambda f: F.size(F.array_except(F.array(*[F.lit(r) for r in required]), F.map_keys(f))) == 0
+        return F.when(v.isNull(), _abstain("candidate output is not valid JSON")).otherwise(
+            let(fields, lambda f: F.when(f.isNull(), _verdict(F.lit(False), F.lit("candidate JSON is not an object")))
+                .otherwise(_fail(has_all(f), "required fields are missing"))))
+
+    return let(J.parse_strict(candidate), judge)
 
 
 def grade_attempts(attempts: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
@@ -84,7 +90,7 @@ def grade_attempts(attempts: DataFrame, schemas: dict[str, dict] | None = None)
     )
     grader = (F.when(F.col("status") != "success", "attempt_status").when(text.isNull(), "missing_output")
               .when(method.isin("exact_json", "exact_text", "schema", "rubric"), method).otherwise("unsupported_method"))
-    return (attempts.withColumn("_v", verdict).withColumn("grader_id", grader).select("*", "_v.*").drop("_v")
+    return (computed_once(attempts, "_v", verdict).withColumn("grader_id", grader).select("*", "_v.*").drop("_v")
             .withColumn("grade_id", F.concat(F.lit("grade-"), F.substring(content_hash("attempt_id", "grader_id", "failure_reason"), 1, 32))))
 
 
