@@ -107,13 +107,13 @@ cte("p1", f"""
   '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\b', '{_M("pii_email")}', 'g'), '(^|[^a-zA-Z0-9])[A-Z]{{5}}[0-9]{{4}}[A-Z]($|[^a-zA-Z0-9])', '\\1{_M("pii_pan")}\\2', 'g') AS t1 FROM texts""", "texts")
 _luhn = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 1 THEN CASE WHEN substr(d, i, 1)::INT * 2 > 9 THEN substr(d, i, 1)::INT * 2 - 9 ELSE substr(d, i, 1)::INT * 2 END ELSE substr(d, i, 1)::INT END)) % 10 = 0"
 cte("p2", f"""
- SELECT *, list_filter(regexp_extract_all(t1, '(?:^|[^a-zA-Z0-9])((?:[0-9][ -]?){{13,19}})(?:$|[^a-zA-Z0-9])', 1), lambda m: list_aggregate([true], 'bool_and') AND {_luhn.replace('(d)', "(regexp_replace(m, '[^0-9]', '', 'g'))").replace('substr(d,', "substr(regexp_replace(m, '[^0-9]', '', 'g'),")} ) AS cards FROM p1""", "p1")
+ SELECT *, list_filter(regexp_extract_all(t1, '\\b((?:[0-9][ -]?){{12,18}}[0-9])\\b', 1), lambda m: {_luhn.replace('(d)', "(regexp_replace(m, '[^0-9]', '', 'g'))").replace('substr(d,', "substr(regexp_replace(m, '[^0-9]', '', 'g'),")} ) AS cards FROM p1""", "p1")
 cte("p3", f"SELECT *, list_reduce(list_concat([t1], cards), lambda a, m: replace(a, m, '{_M('pii_card')}')) AS t2 FROM p2", "p2")
 cte("p4", """
  SELECT *, list_filter(regexp_extract_all(t2, '(?:^|[^a-zA-Z0-9])((?:\\+[0-9]{1,3}[-.\\s]?)?(?:\\(?[0-9]{2,5}\\)?[-.\\s]?)?[0-9]{2,5}[-.\\s]?[0-9]{3,5})(?:$|[^a-zA-Z0-9])', 1), lambda m: length(regexp_replace(m, '[^0-9]', '', 'g')) >= 10) AS phones FROM p3""", "p3")
 cte("pfind", f"""
  SELECT text_id, source, len(regexp_extract_all(t2, '\\[REDACTED:pii_email\\]')) AS pii_email, len(cards) AS pii_card, len(phones) AS pii_phone,
-  length(text) AS n0, length(list_reduce(list_concat([t2], phones), lambda a, m: replace(a, m, '{_M('pii_phone')}'))) AS n1, len(regexp_extract_all(t2, '\\[REDACTED:(private_key|authorization_header|jwt|secret_token|pii_pan|pii_aadhaar)\\]')) AS others FROM p4""", "p4")
+  length(text) AS n0, length(regexp_replace(list_reduce(list_concat([t2], phones), lambda a, m: replace(a, m, '{_M('pii_phone')}')), '[ -]', '', 'g')) AS n1, len(regexp_extract_all(t2, '\\[REDACTED:(private_key|authorization_header|jwt|secret_token|pii_pan|pii_aadhaar)\\]')) AS others FROM p4""", "p4")
 
 
 def redacted(t):
@@ -128,9 +128,10 @@ def _(t):
     return r.select("text_id", F.when(F.size("reasons") > 0, "rejected").otherwise("clean").alias("status"), F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("privacy_redact", sql("SELECT text_id, n0 AS length_before, n1 AS length_after FROM pfind", "pfind"))
+@query("privacy_redact", sql("SELECT text_id, n0 AS length_before, n1 AS dense_length_after FROM pfind", "pfind"))
 def _(t):
-    return redacted(t).select("text_id", F.length("text").alias("length_before"), F.length("redacted").alias("length_after"))
+    # a detector may take a closing separator with its match; lengths are compared without separators
+    return redacted(t).select("text_id", F.length("text").alias("length_before"), F.length(F.regexp_replace("redacted", "[ -]", "")).alias("dense_length_after"))
 
 
 @query("privacy_findings", sql("""
