@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assaylake.functions.reasons import let
 
 # JSON tokens: strings, numbers, literals, punctuation (fixed pattern)
-TOKEN = r'"(?:[^"\\]|\\.)*"|-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null|[{}\[\],:]'
+TOKEN = r'"(?:[^"\\]|\\.)*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null|[{}\[\],:]'
 
 
 def parse_strict(text: Column) -> Column:
