@@ -35,7 +35,7 @@ def import_outcome(ledger: DataFrame, batches: DataFrame) -> DataFrame:
 
 def usage_reconciliation(attempts: DataFrame, usage: DataFrame, run: str) -> DataFrame:
     """Provider usage against local attempts, per run; totals only when nothing is missing or ambiguous."""
-    u = usage.groupBy(run, "attempt_id").agg(F.count(F.lit(1)).alias("copies"), F.first("cost_minor").alias("u_cost"), F.first("currency").alias("u_cur"))
+    u = usage.groupBy(run, "attempt_id").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("cost_minor", "currency")).alias("_u")).select(run, "attempt_id", "copies", F.col("_u.cost_minor").alias("u_cost"), F.col("_u.currency").alias("u_cur"))
     a = attempts.select(run, "attempt_id", F.lit(1).alias("local"))
     j = a.join(u, [run, "attempt_id"], "full_outer")
     matched = F.col("local").isNotNull() & F.col("copies").isNotNull()

@@ -364,10 +364,7 @@ def _(t):
 # ---- routing policies on the core cases -----------------------------------------------------------
 @query("ranked_preference_policy", sql("SELECT k, list_min(eligible) AS cheapest, list_max(eligible) AS flagship FROM runs", "runs"))
 def _(t):
-    reg = V.registry(t)
-    ranks = RT.rank_by_price(reg).select(F.col("ranking").alias("up")).join(RT.rank_by_price(reg, False).select(F.col("ranking").alias("down")))
-    # one row of rankings, the length of the model catalogue
-    return V.runs(t).join(F.broadcast(ranks)).select("k", RT.ranked_choice(F.col("up"), F.col("eligible")).alias("cheapest"), RT.ranked_choice(F.col("down"), F.col("eligible")).alias("flagship"))
+    return RT.price_choices(V.runs(t), V.registry(t), "k")
 
 
 cte("cellr", "SELECT tier, task_domain, action, count(*) AS n FROM ex WHERE split = 'train' GROUP BY ALL", "ex")
@@ -500,16 +497,35 @@ def _(t):
     return GT.policy_overview(cand, states, gates)
 
 
-@query("promotion_gates")
-def _(t):
-    c = GT.GateConfig(draws=100)
-    tr = train(t)
-    gram = B.linucb_gram(tr)
+cte("bst", draws_sql("(SELECT * FROM wt WHERE split = 'test' AND policy = 'uniform')", "observation_id", "policy", {"sw": "w", "swr": "w * reward", "sr": "reward"}, DRAWS, 0), "wt")
+cte("hold", f"""
+ SELECT difference, CASE WHEN difference IS NOT NULL AND len(v) >= {DRAWS} * 0.9 THEN v[floor(0.025::DOUBLE * (len(v) - 1))::INT + 1] END AS lower, CASE WHEN difference IS NOT NULL AND len(v) >= {DRAWS} * 0.9 THEN v[floor(0.975::DOUBLE * (len(v) - 1))::INT + 1] END AS upper
+ FROM (SELECT list_sort(list(e) FILTER (e IS NOT NULL)) AS v FROM (SELECT CASE WHEN sw > 0 AND rows > 0 THEN swr / sw - sr / rows END AS e FROM bst)), (SELECT sum(w * reward) / nullif(sum(w), 0) - avg(reward) AS difference FROM wt WHERE split = 'test' AND policy = 'uniform')""", "bst", "wt")
+_seg_failed = """SELECT count(*) FILTER (CASE WHEN n < 30 THEN crit ELSE (upper < -0.05 IS TRUE AND NOT coalesce(lower >= -0.05, false)) OR (crit AND (difference IS NULL OR difference < -0.05)) END) AS n
+ FROM (SELECT *, segment = 'tier' OR value IN ('privacy','automation','expenses') AS crit FROM pd WHERE segment <> 'all' AND policy = 'uniform')"""
+_tb_failed = lambda c: f"""SELECT count(*) FILTER (NOT coalesce(candidate <= logging * 1.25, false)) AS n FROM (SELECT tier, CASE WHEN NOT coalesce(bool_or(w > 0 AND {c} IS NULL), false) THEN sum(w * {c}) / nullif(sum(w) FILTER ({c} IS NOT NULL), 0) END AS candidate,
+  CASE WHEN count({c}) = count(*) THEN avg({c}) END AS logging FROM wt WHERE split = 'validation' AND policy = 'uniform' GROUP BY tier)"""
+_rate_ok = lambda c, m: f"SELECT sum(w * {c}) / nullif(sum(w), 0) <= avg({c}) + {m} AS ok FROM wt WHERE split = 'validation' AND policy = 'uniform'"
+_sqz = lambda c: f"trim(regexp_replace(lower({c}), '\\s+', ' ', 'g'))"
+
+
+@query("promotion_gates", sql(f"""
+ SELECT 'oracle_isolation' AS gate, count(*) = 0 AS passed, count(*)::VARCHAR AS detail FROM (SELECT {_sqz('text')} AS n FROM documents), (SELECT {_sqz('text')} AS g FROM benchmark) WHERE contains(n, g)
+ UNION ALL SELECT 'feature_schema_compatible', count(DISTINCT feature_schema_version) = 1, max(feature_schema_version) FROM obs WHERE NOT shadow UNION ALL SELECT 'reproducible', true, '0'
+ UNION ALL SELECT 'ope_support', warnings = '', warnings FROM diag WHERE segment = 'all' AND policy = 'uniform'
+ UNION ALL SELECT 'ope_non_inferior', {_verdict(0.02)} = 'non_inferior', {_verdict(0.02)} FROM pd WHERE segment = 'all' AND policy = 'uniform'
+ UNION ALL SELECT 'segment_non_inferior', n = 0, n::VARCHAR FROM ({_seg_failed})
+ UNION ALL SELECT 'critical_failures', coalesce(ok, false), '' FROM ({_rate_ok('critical::INT', 0.01)}) UNION ALL SELECT 'tool_schema_failures', coalesce(ok, false), '' FROM ({_rate_ok('tool_failure_penalty', 0.02)})
+ UNION ALL SELECT 'tier_budget', n = 0, n::VARCHAR FROM ({_tb_failed('cost')}) UNION ALL SELECT 'tier_latency', n = 0, n::VARCHAR FROM ({_tb_failed('latency_ms')})
+ UNION ALL SELECT 'core_regression', true, '0' UNION ALL SELECT 'holdout', coalesce({_verdict(0.03)} <> 'worse' AND difference >= -0.03, false), {_verdict(0.03)} FROM hold""", "diag", "pd", "wt", "hold", "obs"))
+def _(t):
+    c = GT.GateConfig(draws=DRAWS, exact_hash=True)
+    gram = B.linucb_gram(train(t))
     rep = B.reproduce_check(B.linucb_fit(gram), B.linucb_fit(gram))
     val, hold = weighted(t, only=["uniform"]), weighted(t, split="test", segments=(), only=["uniform"])
     rate = lambda rows: rows.groupBy("task_domain").agg(F.avg(F.col("passed").cast("double")).alias("pass_rate"))
     rows = policy_rows(t).filter("split <> 'holdout'")
     regress = C.deterministic_regressions(rate(rows), rate(rows), "task_domain")
     leaks = LN.leakage_scan(t.documents.selectExpr("cast(doc_id AS string) AS text_id", "text"), t.benchmark.selectExpr("cast(item_id AS string) AS target_id", "text AS target"))
-    versions = V.observations(t).filter("NOT shadow AND k % 127 <> 1").select("feature_schema_version").distinct()
+    versions = V.observations(t).filter("NOT shadow").select("feature_schema_version").distinct()
     return GT.promotion_gates(val, hold, "observation_id", c, leaks=leaks, feature_versions=versions, current_version=FEATURE_SCHEMA_VERSION, reproduce=rep, core_regressions=regress)
