@@ -59,7 +59,7 @@ cte("records", """
   CASE WHEN p.code IS NOT NULL OR r.k IS NOT NULL THEN 'quarantined' ELSE 'accepted' END AS status,
   list_aggregate(list_sort(list_distinct(list_concat(coalesce(r.codes, []), CASE WHEN p.code IS NULL THEN [] ELSE [p.code] END))), 'string_agg', ',') AS reasons
  FROM doc_ids d LEFT JOIN (SELECT k, list(DISTINCT code) AS codes FROM doc_reasons GROUP BY k) r ON d.k = r.k LEFT JOIN doc_privacy p ON d.k = p.k""", "doc_ids", "doc_reasons", "doc_privacy")
-cte("accepted", "SELECT r.*, c.b, c.idx FROM runs r JOIN records c ON r.k = c.k WHERE c.status = 'accepted'", "runs", "records")
+cte("accepted", "SELECT r.*, c.b, c.idx, c.doc_run_id FROM runs r JOIN records c ON r.k = c.k WHERE c.status = 'accepted'", "runs", "records")
 
 def registry_array():
     return F.array(F.lit("lab/m0"), F.lit("lab/m1"), F.lit("lab/m2"))
@@ -162,7 +162,7 @@ def _(t):
 
 
 @query("trajectories", sql("""
- SELECT 'traj-run-' || k AS trajectory_id, tier, task_domain, 'obs-dl-' || k AS routing_context_id, policy_version, completed,
+ SELECT 'traj-' || doc_run_id AS trajectory_id, tier, task_domain, 'obs-dl-' || k AS routing_context_id, policy_version, completed,
   (k % 200) / 10000.0::DOUBLE AS final_cost FROM accepted""", "accepted"))
 def _(t):
     return U.trajectories(accepted(t)).select("trajectory_id", "tier", "task_domain", "routing_context_id", "policy_version", "completed", "final_cost")
