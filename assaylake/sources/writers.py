@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.session import cut_lineage
+
 PREFERENCE_FIELDS = ("pair_id", "prompt_or_context_ref", "chosen", "rejected", "confidence", "reason", "source_run_id", "approval_state")
 
 
@@ -31,7 +33,12 @@ def write_preference_jsonl(pairs: DataFrame, states: DataFrame, path: str) -> No
 
 
 def write_json_documents(records: DataFrame, path: str, field: str, per_document: int = 500) -> None:
-    """Records as JSON documents of bounded size ({field: [...]}), one document per line-free file."""
+    """Records as JSON documents of bounded size ({field: [...]}), one document per file.
+
+    Row numbers are taken over checkpointed files, so a task that runs again after a lost
+    executor numbers the same rows the same way.
+    """
+    records = cut_lineage(records)
     rec = F.struct(*records.columns)
     chunk = F.expr(f"monotonically_increasing_id() div {per_document}")
     docs = records.withColumn("_c", chunk).groupBy("_c").agg(F.collect_list(rec).alias(field)).select(F.to_json(F.struct(field)).alias("value"), "_c")
