@@ -12,7 +12,6 @@ from assaylake.operators import lineage as LN
 from assaylake.operators import ope as O
 from assaylake.operators import rewards as RW
 from assaylake.operators import routing as RT
-from assaylake.operators import selection as SEL
 from assaylake.plans import novelty as NV
 from assaylake.plans import reports as RP
 from assaylake.plans.catalog import query
@@ -385,7 +384,6 @@ def _(t):
     return static_choices(t).select("ck", "tier", "choice")
 
 
-cte("evid", "SELECT case_id, 'lab/' || model AS action, arg_max(passed, (ship_day, attempt_id)) AS passed, arg_max(latency_ms, (ship_day, attempt_id)) AS latency_ms, count(*) AS n FROM (SELECT *, CASE WHEN passed IS NULL THEN NULL ELSE passed END AS pp FROM graded) GROUP BY ALL", "graded")
 cte("evid2", "SELECT * FROM (SELECT case_id, 'lab/' || model AS action, passed, latency_ms, row_number() OVER (PARTITION BY case_id, model ORDER BY ship_day DESC, attempt_id DESC) AS rn FROM graded WHERE ck % 29 <> 0) WHERE rn = 1", "graded")
 cte("prow", """
  SELECT s.ck, 'case-' || s.ck AS case_id, s.tier, s.task_domain, c.split, s.choice AS action, e.case_id IS NOT NULL AS supported, e.passed, e.latency_ms, x.tokens * input_price + 500 * output_price AS estimated_cost

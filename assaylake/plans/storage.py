@@ -9,7 +9,7 @@ from assaylake.operators import ledger as LG
 from assaylake.plans import novelty as NV
 from assaylake.plans import validation as VQ
 from assaylake.plans.catalog import query
-from assaylake.plans.oracle import cte, sql
+from assaylake.plans.oracle import sql
 from assaylake.session import shared_dir
 from assaylake.sources import readers as RD
 from assaylake.sources import views as V

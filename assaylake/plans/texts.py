@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assaylake.functions import jsonvals as J
 from assaylake.functions import privacy as P
 from assaylake.functions import text as X
 from assaylake.functions.hashing import content_hash
