@@ -8,8 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_BASE: dict[str, str] = {}
-
 
 def local_session(app: str = "assaylake", cpus: str = "*", shuffle: int = 8) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
@@ -27,16 +25,19 @@ def local_session(app: str = "assaylake", cpus: str = "*", shuffle: int = 8) ->
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``.
+    """A new folder below the folder that the cluster shares for checkpoints.
 
-    Only where the cluster names no such folder (tests on one machine) is a local
-    folder made, and it becomes the session's checkpoint directory too.
+    That is ``spark.checkpoint.dir``, or else the checkpoint directory set on the SparkContext. A local temporary
+    folder is made only under a ``local`` master; elsewhere executors would not see each other's files.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_BASE.get("dir")
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = _LOCAL_BASE["dir"] = tempfile.mkdtemp(prefix="assaylake-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="assaylake-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
