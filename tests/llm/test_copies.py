@@ -106,7 +106,9 @@ def distance(a, b):
 def changed(r, s, edits):
     s = list(s)
     for _ in range(edits):
-        k = r.randrange(len(s))
+        k = r.randrange(len(s) or 1)
+        if not s:
+            break
         kind = r.randrange(3)
         s[k : k + 1] = [] if kind == 0 else [r.choice("abé ")] if kind == 1 else [s[k], r.choice("abé ")]
     return "".join(s)
@@ -169,7 +171,7 @@ def test_line_dedup_of_repeated_rows(make):
     long = prose(8, 20)
     docs = make([(1, f"{long}\nx"), (1, f"{long}\nx"), (None, long + "!"), (2, long)])
     got = {row["doc_id"]: (row["lines"], row["near"]) for row in lines.repeated_lines(docs).collect()}
-    assert got == {1: ([0], 1), 2: ([0], 1)}
+    assert got == {1: ([0], 1), 2: ([0], 0)}
 
 
 # ---- packing ---------------------------------------------------------------------------------
