@@ -1,7 +1,7 @@
 """Line dedup by a segment-partition edit join.
 
 A line within ``edits`` edits of another holds one of the other's ``edits + 1`` segments unchanged, near its place.
-Lines are filed under (length, segment number, segment) and probe with the substrings that a segment of a shorter
+Lines are filed under (length, segment number, segment) and ask for the substrings that a segment of a shorter
 or equally long line can have moved to. Lines that meet are verified by a banded bit-parallel edit distance.
 
 Of equal lines the first (by document id, then place) stays. A line near one that comes first is dropped
@@ -71,7 +71,8 @@ def _file_lines(batches: Iterator[pa.RecordBatch], edits: int, min_chars: int) -
 
     def plan(n: int):
         filed = [(n, i, p, s, False) for i, (p, s) in enumerate(segments(n, edits))]
-        probes = [(*x, True) for x in probe_places(n, edits, min_chars)]
+        own = {(n, i, p, s) for _, i, p, s, _ in filed}  # filed rows meet each other, so a line need not ask for its own segments
+        probes = [(*x, True) for x in probe_places(n, edits, min_chars) if x not in own]
         return [(4 * p, 4 * (p + s), (length << 8) | i, probe) for length, i, p, s, probe in filed + probes]
 
     for batch in batches:
@@ -111,7 +112,7 @@ def _rows(keys, lines, probes) -> pa.RecordBatch:
 
 
 def _pair_runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key. Emits pairs of an indexed and a probing line, and the lines of full keys (``b`` null)."""
+    """Rows come sorted by key. Emits pairs of a filed and another line, and the lines of full keys (``b`` null)."""
     held_key, held, spilling = None, [], False
 
     def fold(rows):
@@ -122,7 +123,8 @@ def _pair_runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Rec
 
     def pairs(rows: list[tuple[np.ndarray, np.ndarray]], out: list):
         filed, asking = (x for x, _ in fold(rows))
-        if len(filed) and len(asking):
+        if len(filed):
+            asking = np.union1d(filed, asking)
             a, b = np.repeat(filed, len(asking)), np.tile(asking, len(filed))
             keep = a != b
             out.append((np.minimum(a[keep], b[keep]), np.maximum(a[keep], b[keep])))
@@ -138,8 +140,13 @@ def _pair_runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Rec
         probe = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
         starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
         ends = np.concatenate((starts[1:], [len(key)]))
-        keep = (ends - starts > 1) | (starts == 0) | (ends == len(key))
+        edge = (starts == 0) | (ends == len(key))
         found: list = []
+        two = starts[(ends - starts == 2) & ~edge]  # most runs with company
+        two = two[(line[two] != line[two + 1]) & ~(probe[two] & probe[two + 1])]
+        if len(two):
+            found.append((np.minimum(line[two], line[two + 1]), np.maximum(line[two], line[two + 1])))
+        keep = (ends - starts > 2) | edge
         for s, e in zip(starts[keep], ends[keep], strict=True):
             if key[s] != held_key:
                 if held and not spilling:
