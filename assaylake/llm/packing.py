@@ -26,63 +26,68 @@ END_ID = 1
 RANKED = 50_000
 #: Distinct words a worker remembers the ids of.
 REMEMBERED = 400_000
+#: Bytes of text encoded at a time.
+STEP = 1 << 21
 
 
 # ---- tokens ----------------------------------------------------------------------------------
-def token_ids(text: Column, tokenizer_path: str, end_id: int | None = END_ID) -> Column:
-    """Token ids of whole texts (null: empty), then the end id.
+class Encoder:
+    """Ids of whole texts for tokenizers that drop white space and never join across it.
 
-    For tokenizers that drop white space and never join across it: each distinct run between
-    white space is encoded once, and texts are put together from the remembered runs.
+    Each distinct run between white space is encoded once and remembered; texts are put together from the runs.
     """
 
-    @arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def __init__(self, tokenizer_path: str, end_id: int | None = END_ID) -> None:
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer_path)
-        place: dict[str, int] = {}
-        pieces: list[np.ndarray] = []
-        for texts in batches:
-            if len(place) > REMEMBERED:
-                place.clear()
-                pieces.clear()
-            runs = [t.split() for t in texts.cast(pa.binary()).to_pylist()]
-            new = list({w for r in runs for w in r if w not in place})
-            for at in range(0, len(new), 8192):
-                part = new[at : at + 8192]
-                for w, e in zip(part, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    place[w] = len(pieces)
-                    pieces.append(np.array(e.ids, np.int32))
-            if end_id is not None:
-                pieces.append(np.array([end_id], np.int32))
-            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            flat = np.concatenate(pieces) if pieces else np.zeros(0, np.int32)
-            begins = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-            values, offsets = [], [0]
-            for r in runs:
-                at = np.fromiter(map(place.__getitem__, r), np.int64, len(r))
-                if end_id is not None:
-                    at = np.append(at, len(pieces) - 1)
-                n = sizes[at]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ends) else 0
-                values.append(flat[np.repeat(begins[at] - (ends - n), n) + np.arange(total)])
-                offsets.append(offsets[-1] + total)
-            if end_id is not None:
-                pieces.pop()
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values) if values else flat[:0], pa.int32()))
-
-    return encode(F.coalesce(text, F.lit("")))
-
-
-def cut_pieces(df: DataFrame, ids_col: str = "ids", capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece of at most ``capacity`` tokens, with ``piece``, ``start`` and ``length``; empty lists give none."""
-    n = F.size(ids_col)
-    rows = df.filter(n > 0).withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / capacity).cast("int"))))
-    rows = rows.withColumn("start", F.col("piece").cast("long") * capacity)
-    rows = rows.withColumn(ids_col, F.when(n <= capacity, F.col(ids_col)).otherwise(F.slice(ids_col, (F.col("start") + 1).cast("int"), F.lit(capacity))))
-    return rows.withColumn("length", F.size(ids_col).cast("long"))
+        self.tokenizer, self.end = Tokenizer.from_file(tokenizer_path), [] if end_id is None else [end_id]
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.flat, self.sizes = np.array(self.end, np.int32), np.array([len(self.end)], np.int64)  # entry 0 ends a text
+
+    def learn(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
+            self.place.update(zip(part, range(len(self.sizes), len(self.sizes) + len(part)), strict=True))
+            self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))))
+            self.flat = np.concatenate((self.flat, np.fromiter((i for x in ids for i in x), np.int32)))
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(self.place) > REMEMBERED:
+            self.forget()
+        runs = [t.split() for t in texts]
+        self.learn(list({w for r in runs for w in r if w not in self.place}))
+        begins = np.cumsum(self.sizes) - self.sizes
+        out = []
+        for r in runs:
+            at = np.zeros(len(r) + 1, np.int64)
+            at[:-1] = np.fromiter(map(self.place.__getitem__, r), np.int64, len(r))
+            n = self.sizes[at]
+            ends = np.cumsum(n)
+            out.append(self.flat[np.repeat(begins[at] - (ends - n), n) + np.arange(ends[-1])])
+        return out
+
+
+def _pieces(tokenizer_path: str, end_id: int | None, capacity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(tokenizer_path, end_id)
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            ends = np.cumsum([len(t.as_buffer()) for t in texts])
+            cuts = np.flatnonzero(np.diff(ends // STEP, prepend=-1))  # about STEP bytes of text at a time
+            for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True):
+                rows, piece, start, parts = [], [], [], []
+                for i, ids in enumerate(encoder.encode(texts.slice(a, b - a).to_pylist()), int(a)):
+                    for at in range(0, len(ids), capacity):
+                        rows.append(i), piece.append(at // capacity), start.append(at), parts.append(ids[at : at + capacity])
+                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), lists, pa.array(sizes)], ["doc_id", "piece", "start", "ids", "length"])
+
+    return run
 
 
 def ids_crc32(ids: Column) -> Column:
@@ -224,8 +229,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     Null and empty texts are one piece with the end id. Only texts longer than the capacity are cut; the
     last piece holds the rest. Repeated rows are packed again; an empty table gives no pieces.
     """
-    ids = docs.select(F.col(id_col).alias("doc_id"), token_ids(whole_text(text_col), tokenizer_path, end_id).alias("ids"))
-    return frozen(cut_pieces(ids, "ids", capacity), "pieces")
+    rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return frozen(rows.mapInArrow(_pieces(tokenizer_path, end_id, capacity), f"doc_id {kind}, piece int, start long, ids array<int>, length long"), "pieces")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, **kw) -> DataFrame:
