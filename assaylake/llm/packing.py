@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,62 +27,103 @@ END_ID = 1
 #: Pieces of one length that one task ranks; lengths with more are split by a hash.
 RANKED = 50_000
 #: Distinct words a worker remembers the ids of.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 #: Bytes of text encoded at a time.
-STEP = 1 << 21
+STEP = 1 << 20
 
 
 # ---- tokens ----------------------------------------------------------------------------------
+class Places(dict):
+    """Numbers words in the order they come up."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
-    """Ids of whole texts for tokenizers that drop white space and never join across it.
+    """Ids of whole texts for tokenizers that lower-case, drop white space and never join across it.
 
-    Each distinct run between white space is encoded once and remembered; texts are put together from the runs.
+    Texts are put together from the runs between white space, each encoded once. Up to ``REMEMBERED`` runs stay for
+    later texts. A run that ends in one mark after a letter a-z is the run without it and the mark.
     """
 
-    def __init__(self, tokenizer_path: str, end_id: int | None = END_ID) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, tokenizer_path: str) -> None:
+        import os
 
-        self.tokenizer, self.end = Tokenizer.from_file(tokenizer_path), [] if end_id is None else [end_id]
-        self.forget()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
 
-    def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.flat, self.sizes = np.array(self.end, np.int32), np.array([len(self.end)], np.int64)  # entry 0 ends a text
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.places = Places()
+        self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def ids_of(self, words: list[str]) -> list[list[int]]:
+        """Words of lower-case letters alone are one unit to the tokenizer: they go in one text and are told apart by their ends."""
+        plain = [i for i, w in enumerate(words) if w.isalpha() and w == w.lower()]
+        ids = self.tokenizer.encode(" ".join([words[i] for i in plain]), add_special_tokens=False).ids
+        cuts = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+        if len(cuts) != len(plain):
+            plain, cuts = [], []
+        out: list = [None] * len(words)
+        for i, a, b in zip(plain, [0, *cuts[:-1]], cuts, strict=False):
+            out[i] = ids[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
 
     def learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            self.place.update(zip(part, range(len(self.sizes), len(self.sizes) + len(part)), strict=True))
-            self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))))
-            self.flat = np.concatenate((self.flat, np.fromiter((i for x in ids for i in x), np.int32)))
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.place) > REMEMBERED:
-            self.forget()
-        runs = [t.split() for t in texts]
-        self.learn(list({w for r in runs for w in r if w not in self.place}))
+        stem_of = {w: w[:-1] for w in words if w[-1:] in MARKS and b"a" <= w[-2:-1] <= b"z"}
+        units = list({*(stem_of.get(w, w) for w in words), *(w[-1:] for w in stem_of)})
+        ids = {}
+        for at in range(0, len(units), 1000):
+            part = units[at : at + 1000]
+            ids.update(zip(part, self.ids_of([u.decode() for u in part]), strict=True))
+        found = [ids[stem_of[w]] + ids[w[-1:]] if w in stem_of else ids[w] for w in words]
+        self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, found), np.int64, len(found))))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), np.int32)))
+
+    def encode(self, texts: list[bytes], end_id: int | None) -> list[np.ndarray]:
+        # a special token is not to arise from lower-casing
+        runs = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        known = len(self.places)
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(runs)), np.int64, sum(map(len, runs)))
+        self.learn(list(islice(reversed(self.places), len(self.places) - known))[::-1])
         begins = np.cumsum(self.sizes) - self.sizes
-        out = []
-        for r in runs:
-            at = np.zeros(len(r) + 1, np.int64)
-            at[:-1] = np.fromiter(map(self.place.__getitem__, r), np.int64, len(r))
-            n = self.sizes[at]
-            ends = np.cumsum(n)
-            out.append(self.flat[np.repeat(begins[at] - (ends - n), n) + np.arange(ends[-1])])
+        n = self.sizes[at]
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(begins[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        stops = np.concatenate(([0], ends))[np.cumsum([len(r) for r in runs])]
+        out = [part if end_id is None else np.append(part, np.int32(end_id)) for part in np.split(ids, stops[:-1])]
+        if len(self.places) > REMEMBERED:
+            while len(self.places) > max(known, REMEMBERED):
+                self.places.popitem()
+            kept = len(self.places)
+            self.flat, self.sizes = self.flat[: int(self.sizes[:kept].sum())], self.sizes[:kept]
         return out
 
 
+@lru_cache(maxsize=2)
+def _encoder(tokenizer_path: str) -> Encoder:
+    """A worker process keeps its encoder from task to task."""
+    return Encoder(tokenizer_path)
+
+
 def _pieces(tokenizer_path: str, end_id: int | None, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, end_id)
+        encoder = _encoder(tokenizer_path)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             ends = np.cumsum([len(t.as_buffer()) for t in texts])
             cuts = np.flatnonzero(np.diff(ends // STEP, prepend=-1))  # about STEP bytes of text at a time
             for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True):
                 rows, piece, start, parts = [], [], [], []
-                for i, ids in enumerate(encoder.encode(texts.slice(a, b - a).to_pylist()), int(a)):
+                for i, ids in enumerate(encoder.encode(texts.slice(a, b - a).to_pylist(), end_id), int(a)):
                     for at in range(0, len(ids), capacity):
                         rows.append(i), piece.append(at // capacity), start.append(at), parts.append(ids[at : at + capacity])
                 sizes = np.fromiter(map(len, parts), np.int64, len(parts))
