@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.functions.hashing import hash32
 from assaylake.functions.reasons import reasons
 
-# Cumulative Poisson(1) probabilities (fixed values): P(X <= n) for n = 0..8
-POISSON_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-               0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402)
+# Cumulative Poisson(1) probabilities until the tail is below what 32 bits resolve
+POISSON_CDF = tuple(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(13)))
 
 
 def with_segments(examples: DataFrame, segments: list[str]) -> DataFrame:

@@ -384,7 +384,7 @@ def _(t):
     return static_choices(t).select("ck", "tier", "choice")
 
 
-cte("evid2", "SELECT * FROM (SELECT case_id, 'lab/' || model AS action, passed, latency_ms, row_number() OVER (PARTITION BY case_id, model ORDER BY ship_day DESC, attempt_id DESC) AS rn FROM graded WHERE ck % 29 <> 0) WHERE rn = 1", "graded")
+cte("evid2", "SELECT * FROM (SELECT case_id, 'lab/' || model AS action, passed, latency_ms, row_number() OVER (PARTITION BY case_id, model ORDER BY ship_day DESC, attempt_id DESC) AS rn FROM graded) WHERE rn = 1", "graded")
 cte("prow", """
  SELECT s.ck, 'case-' || s.ck AS case_id, s.tier, s.task_domain, c.split, s.choice AS action, e.case_id IS NOT NULL AS supported, e.passed, e.latency_ms, x.tokens * input_price + 500 * output_price AS estimated_cost
  FROM static_choice s JOIN cases c USING (ck) LEFT JOIN evid2 e ON e.case_id = 'case-' || s.ck AND e.action = s.choice JOIN (SELECT DISTINCT ck, tokens FROM ctx) x USING (ck) JOIN registry g ON g.action = s.choice""", "static_choice", "cases", "evid2", "ctx", "registry")
@@ -392,7 +392,7 @@ cte("prow", """
 
 def evidence(t):
     from assaylake.operators import report as R
-    g = RP.graded(t).filter("ck % 29 <> 0").withColumn("action", F.concat(F.lit("lab/"), "model"))
+    g = RP.graded(t).withColumn("action", F.concat(F.lit("lab/"), "model"))
     return R.latest_per_case(g, ["case_id", "action"], ["ship_day", "attempt_id"]).select("case_id", "action", "passed", "latency_ms", F.lit(True).alias("supported"))
 
 

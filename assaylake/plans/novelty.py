@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaylake.functions import features as FT
+from assaylake.functions.prefix import positions
 from assaylake.functions.reasons import code_list
 from assaylake.operators import lifecycle as L
 from assaylake.operators import metrics as M
@@ -289,12 +290,11 @@ def _(t):
     return t.events.filter((F.col("event_type") == "error") & (F.col("user_id") < 20)).orderBy("event_id").select("event_id", "event_type", "user_id")
 
 
-@query("review_queue_order", sql("SELECT candidate_id, state, row_number() OVER (ORDER BY (state <> 'VALIDATED')::INT, novelty DESC, candidate_id) AS position FROM (SELECT 'cand-' || k AS candidate_id, state, (k % 100) / 100.0 AS novelty FROM (SELECT o_orderkey AS k FROM orders) JOIN lstate ON entity_id = 'cand-' || k) ORDER BY position LIMIT 300", "lstate"))
+@query("review_queue_order", sql("SELECT candidate_id, state, row_number() OVER (ORDER BY (state <> 'VALIDATED')::INT, novelty DESC, candidate_id) AS position FROM (SELECT 'cand-' || k AS candidate_id, state, (k % 100) / 100.0 AS novelty FROM (SELECT o_orderkey AS k FROM orders) JOIN lstate ON entity_id = 'cand-' || k)", "lstate"))
 def _(t):
     e = t.orders.selectExpr("concat('cand-', o_orderkey) AS candidate_id", "(o_orderkey % 100) / 100D AS novelty")
-    q = L.filter_by_state(e, transitions(t), "candidate_id").orderBy((F.col("state") != "VALIDATED").cast("int"), F.col("novelty").desc(), "candidate_id").limit(300)
-    # the page shown to reviewers has 300 rows; its positions are numbered after the top-k
-    return q.select("candidate_id", "state", F.expr("row_number() OVER (ORDER BY cast(state <> 'VALIDATED' AS int), novelty DESC, candidate_id)").alias("position"))
+    q = L.filter_by_state(e, transitions(t), "candidate_id").withColumn("waiting", (F.col("state") != "VALIDATED").cast("int"))
+    return positions(q, "position", "waiting", F.col("novelty").desc(), "candidate_id").select("candidate_id", "state", "position")
 
 
 CURATION = [(f"approve:{r}", "VALIDATED", r) for r in ("REGRESSION", "HOLDOUT")] + [("reject", s, "REJECTED") for s in ("NEW", "VALIDATED", "APPROVED")]

@@ -79,9 +79,9 @@ def _(t):
 @query("cost_per_verified_success", sql("""
  SELECT g.eval_run_id, count(*) FILTER (passed AND ck % 4 = 0 AND tax_ok) AS verified_success_count,
   round(CASE WHEN count(cost) = count(*) AND count(DISTINCT currency) = 1 AND count(currency) = count(*) AND count(*) FILTER (passed AND ck % 4 = 0) > 0 THEN sum(cost) / count(*) FILTER (passed AND ck % 4 = 0) END, 6) AS cost_per_verified_success
- FROM (SELECT *, coalesce(cost_minor, 0) AS cost, true AS tax_ok FROM graded) g GROUP BY 1""", "graded"))
+ FROM (SELECT *, cost_minor AS cost, true AS tax_ok FROM graded) g GROUP BY 1""", "graded"))
 def _(t):
-    return rounded(R.cost_per_verified_success(graded(t).fillna(0, subset=["cost_minor"]), ["eval_run_id"]), "cost_per_verified_success")
+    return rounded(R.cost_per_verified_success(graded(t), ["eval_run_id"]), "cost_per_verified_success")
 
 
 @query("suite_profile", sql("""
@@ -317,12 +317,12 @@ def _(t):
 
 @query("deterministic_regressions", sql("""
  SELECT b.family_id, round(b.p, 6) AS baseline_rate, round(c.p, 6) AS candidate_rate, CASE WHEN c.p IS NULL THEN 'no_decided_outcomes' ELSE 'below_baseline' END AS finding
- FROM (SELECT family_id, avg(passed::INT) AS p FROM graded WHERE model = 'm0' GROUP BY 1) b LEFT JOIN (SELECT family_id, avg(passed::INT) AS p FROM graded WHERE model = 'm1' AND rk % 4 = 0 GROUP BY 1) c USING (family_id)
+ FROM (SELECT family_id, avg(passed::INT) AS p FROM graded WHERE model = 'm0' GROUP BY 1) b LEFT JOIN (SELECT family_id, avg(passed::INT) AS p FROM graded WHERE model = 'm1' GROUP BY 1) c USING (family_id)
  WHERE b.p IS NOT NULL AND (c.p IS NULL OR c.p < b.p - 0.01 - 1e-12)""", "graded"))
 def _(t):
     g = graded(t)
     rate = lambda cond: g.filter(cond).groupBy("family_id").agg(F.avg(F.col("passed").cast("double")).alias("pass_rate"))
-    return rounded(C.deterministic_regressions(rate("model = 'm1' AND rk % 4 = 0"), rate("model = 'm0'"), "family_id", 0.01), "baseline_rate", "candidate_rate")
+    return rounded(C.deterministic_regressions(rate("model = 'm1'"), rate("model = 'm0'"), "family_id", 0.01), "baseline_rate", "candidate_rate")
 
 
 @query("draft_recommendations", sql("""
