@@ -1,5 +1,7 @@
 """Every registered query against its SQL on DuckDB, over whole tables at the smallest scale."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -16,7 +18,8 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert set(QUERIES) - set(ORACLES) <= ROWS_ONLY
+    plain = {n for n in QUERIES if not re.match(r"op\d+_|pipeline$", n)}  # those are held against brute force in their own folder
+    assert plain - set(ORACLES) <= ROWS_ONLY
 
 
 def test_entry_has_rows(spark):
