@@ -141,12 +141,21 @@ def _(t):
     return LG.budget_ledger_rollup(r, caps, "run").drop("max_cost_minor")
 
 
-@query("budget_admission_replay", """
- SELECT run, o_orderkey, n < 40 AND coalesce(c, 0) + cost <= 6000000 AS admitted FROM (SELECT *, count(*) OVER w AS n, sum(cost) OVER w AS c FROM (SELECT 'run-' || (o_custkey % 200) AS run, o_orderkey, floor(o_totalprice)::BIGINT AS cost FROM orders)
- WINDOW w AS (PARTITION BY run ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
+_REQUEST = {
+    "cost_minor": "CASE WHEN o_orderkey % 13 <> 0 THEN cast(floor(o_totalprice) AS bigint) END", "released": "o_orderkey % 5 = 0",
+    "max_requests": "CASE WHEN o_custkey % 7 <> 0 THEN 6 END", "max_cost_minor": "CASE WHEN o_custkey % 200 <> 11 THEN cast(600000 AS bigint) END",
+}
+
+
+@query("budget_admission_replay", f"""
+ WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY o_orderkey) AS i FROM (SELECT 'run-' || (o_custkey % 200) || '-' || (o_custkey % 7) AS run, o_orderkey, {", ".join(f"{e} AS {n}" for n, e in _REQUEST.items())} FROM orders)),
+ f AS (SELECT run, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS c, CAST(NULL AS BIGINT) AS o_orderkey, FALSE AS admitted FROM r GROUP BY run UNION ALL
+  SELECT run, i, n + CASE WHEN ok AND NOT released THEN 1 ELSE 0 END, c + CASE WHEN ok AND NOT released THEN coalesce(cost_minor, 0) ELSE 0 END, o_orderkey, ok FROM (
+   SELECT r.run, r.i, f.n, f.c, r.o_orderkey, r.released, r.cost_minor, (max_requests IS NULL OR f.n < max_requests) AND (max_cost_minor IS NULL OR coalesce(f.c + cost_minor <= max_cost_minor, FALSE)) AS ok FROM f JOIN r ON r.run = f.run AND r.i = f.i + 1))
+ SELECT run, o_orderkey, admitted FROM f WHERE i > 0""")
 def _(t):
-    r = t.orders.selectExpr("concat('run-', o_custkey % 200) AS run", "o_orderkey", "cast(floor(o_totalprice) AS bigint) AS cost_minor", "40 AS max_requests", "6000000L AS max_cost_minor")
-    return LG.budget_admission_replay(r, "run", "o_orderkey").select("run", "o_orderkey", "admitted")
+    r = t.orders.selectExpr("concat('run-', o_custkey % 200, '-', o_custkey % 7) AS run", "o_orderkey", *[f"{e} AS {n}" for n, e in _REQUEST.items()])
+    return LG.budget_admission_replay(r, "run", "o_orderkey", F.col("released")).select("run", "o_orderkey", "admitted")
 
 
 # ---- streams: run until the input is used up, then read the result ------------------------------

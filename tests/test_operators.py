@@ -279,3 +279,24 @@ def test_attempt_files_in_every_format(spark, tmp_path):
     (tmp_path / "bad" / "x.json").write_text("{oops")
     with pytest.raises(Exception, match="cannot parse import"):
         RD.read_attempts(spark, f"{tmp_path}/bad", "json").collect()
+
+
+def test_refused_requests_use_nothing(spark):
+    from assaylake.operators.ledger import budget_admission_replay
+
+    rows = [("a", 1, 60, None, 100), ("a", 2, 50, None, 100), ("a", 3, 40, None, 100), ("a", 4, 0, None, 100), ("b", 5, 10**9, 1, None), ("b", 6, 1, 1, None),
+            ("c", 7, None, 3, 100), ("c", 8, 1, 3, 100), ("d", 9, None, None, None), ("e", 10, 1, 0, None)]
+    df = spark.createDataFrame(rows, "run string, at long, cost_minor long, max_requests int, max_cost_minor long")
+    got = {r["at"]: r["admitted"] for r in budget_admission_replay(df, "run", "at").collect()}
+    assert got == {1: True, 2: False, 3: True, 4: True, 5: True, 6: False, 7: False, 8: True, 9: True, 10: False}
+    freed = {r["at"]: r["admitted"] for r in budget_admission_replay(df, "run", "at", F.col("at").isin(1, 5)).collect()}
+    assert freed == got | {2: True, 6: True, 3: True}
+    # alternating sizes: many rounds, against a plain fold
+    costs = [1 if i % 2 == 0 else 40 - i // 2 for i in range(60)]
+    df = spark.createDataFrame([("x", i, c, None, 40) for i, c in enumerate(costs)], df.schema)
+    used, want = 0, {}
+    for i, c in enumerate(costs):
+        want[i] = used + c <= 40
+        used += c if want[i] else 0
+    assert {r["at"]: r["admitted"] for r in budget_admission_replay(df.limit(12), "run", "at").collect()} == {i: want[i] for i in range(12)}
+    assert budget_admission_replay(df.limit(0), "run", "at").count() == 0
