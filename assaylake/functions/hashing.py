@@ -20,9 +20,9 @@ def content_hash(*cols: Column | str) -> Column:
     return F.sha2(canonical(*cols), 256)
 
 
-def hash32(text: Column) -> Column:
-    """First 8 hex digits of SHA-256 as an integer; the same number in any SQL engine."""
-    return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint")
+def hash32(text: Column, at: int = 1) -> Column:
+    """Eight hex digits of SHA-256 (the first, or from place ``at``) as an integer; the same number in any SQL engine."""
+    return F.conv(F.substring(F.sha2(text, 256), at, 8), 16, 10).cast("bigint")
 
 
 def digest_aggs(row_hash32: Column) -> list[Column]:

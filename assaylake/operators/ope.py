@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaylake.functions.hashing import hash32
 from assaylake.functions.reasons import reasons
 
 # Cumulative Poisson(1) probabilities until the tail is below what 32 bits resolve
 POISSON_CDF = tuple(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(13)))
+#: Draws are numbers below this prime; x -> x**5 permutes them and its steps stay within 63 bits.
+PRIME = (1 << 31) - 1
+#: Rows whose draws are held as one matrix, and sums a task holds before it hands them on.
+ROWS_AT_ONCE = 1024
+HELD_SUMS = 8_000_000
 
 
 def with_segments(examples: DataFrame, segments: list[str]) -> DataFrame:
@@ -99,27 +108,64 @@ def direct_method(weighted: DataFrame, model: DataFrame, by: list[str], key: str
 
 
 # ---- bootstrap -----------------------------------------------------------------------------
-def poisson_weight(key: Column, b: Column, seed: int, exact_hash: bool) -> Column:
-    """Poisson(1) resampling weight of a row in draw b, from a hash of (seed, b, key)."""
-    text = F.concat_ws("|", F.lit(str(seed)), b.cast("string"), key)
-    u = hash32(text) / 4294967296.0 if exact_hash else F.pmod(F.xxhash64(text), F.lit(4294967296)) / 4294967296.0
-    out = F.lit(len(POISSON_CDF))
-    for n, cut in reversed(list(enumerate(POISSON_CDF))):
-        out = F.when(u < cut, n).otherwise(out)
-    return out
-
-
-def resample(df: DataFrame, key: str, by: list[str], sums: dict[str, Column], *, draws: int, seed: int = 0, exact_hash: bool = False) -> DataFrame:
+def poisson_weights(first: np.ndarray, second: np.ndarray, draws: int) -> np.ndarray:
+    """Poisson(1) weights, a row per pair of hashes and a column per draw b: first + b * second, to the fifth power modulo the prime."""
+    x = (first[:, None] + np.arange(1, draws + 1) * second[:, None]) % PRIME
+    square = x * x % PRIME
+    return np.searchsorted(POISSON_CDF, square * square % PRIME * x % PRIME / PRIME, side="right")
+
+
+def _draw_sums(by: int, sums: int, draws: int, schema: T.StructType):
+    """Per task: the resampled sums of each group. Columns come as group columns, two hashes, values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
+
+        def emit() -> pa.RecordBatch:
+            block = np.stack(list(held.values()))  # groups, rows and sums, draws
+            labels = [pa.array([g[i] for g in held], t).take(pa.array(np.repeat(np.arange(len(held)), draws))) for i, t in enumerate(types)]
+            numbers = [pa.array(np.tile(np.arange(1, draws + 1, dtype=np.int32), len(held))), pa.array(block[:, 0].ravel().astype(np.int64))]
+            return pa.RecordBatch.from_arrays([*labels, *numbers, *[pa.array(block[:, 1 + j].ravel()) for j in range(sums)]], schema.names)
+
+        for batch in batches:
+            types = [batch.column(i).type for i in range(by)]
+            number: dict[tuple, int] = {}
+            code = np.fromiter((number.setdefault(g, len(number)) for g in zip(*[batch.column(i).to_pylist() for i in range(by)], strict=True)), np.int64, batch.num_rows)
+            groups = list(number)
+            first, second = (batch.column(by + k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            values = [batch.column(by + 2 + j).fill_null(0.0).to_numpy(zero_copy_only=False) for j in range(sums)]
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = slice(at, at + ROWS_AT_ONCE)
+                keys, which = np.unique((first[part] << 32) | second[part], return_inverse=True)  # a key's rows share its draws
+                order = np.argsort(code[part], kind="stable")
+                mine = code[part][order]
+                starts = np.flatnonzero(np.diff(mine, prepend=-1))
+                weight = poisson_weights(keys >> 32, keys & 0xFFFFFFFF, draws).astype(np.float64)[which[order]]
+                added = np.stack([np.add.reduceat(weight, starts, axis=0), *[np.add.reduceat(weight * v[part][order][:, None], starts, axis=0) for v in values]], axis=1)
+                for g, more in zip(mine[starts].tolist(), added, strict=True):
+                    held[groups[g]] = held[groups[g]] + more if groups[g] in held else more
+                if len(held) * draws * (1 + sums) > HELD_SUMS:
+                    yield emit()
+                    held.clear()
+        if held:
+            yield emit()
+
+    return run
+
+
+def resample(df: DataFrame, key: str, by: list[str], sums: dict[str, Column], *, draws: int, seed: int = 0) -> DataFrame:
     """Resampled sums per group and draw, one row per (group, draw).
 
-    Rows fan out to their draws inside a task and are summed there before the shuffle, so
-    what is exchanged is draws x groups rows per task however many rows there are.
+    A row's draws follow from two hashes of (seed, key); they are made as a matrix and summed per group inside
+    the task, so what is exchanged is draws x groups rows per task however many rows there are. Rows of one key
+    have the same draws in every group. A null value adds nothing to its sum; an empty table gives no rows.
     """
-    cols = {n: c for n, c in sums.items()}
-    base = df.select(*by, key, *[c.alias(n) for n, c in cols.items()])
-    fan = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b"))
-    fan = fan.withColumn("_m", poisson_weight(F.col(key), F.col("b"), seed, exact_hash))
-    return fan.groupBy(*by, "b").agg(F.sum("_m").alias("rows"), *[F.sum(F.col("_m") * F.col(n)).alias(n) for n in cols])
+    text = F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))
+    base = df.select(*by, (hash32(text) % PRIME).alias("_first"), (hash32(text, 9) % PRIME).alias("_second"), *[c.cast("double").alias(n) for n, c in sums.items()])
+    schema = T.StructType([T.StructField(n, base.schema[n].dataType) for n in by] + [T.StructField("b", T.IntegerType()), T.StructField("rows", T.LongType())] + [T.StructField(n, T.DoubleType()) for n in sums])
+    partial = base.mapInArrow(_draw_sums(len(by), len(sums), draws, schema), schema)
+    return partial.groupBy(*by, "b").agg(F.sum("rows").alias("rows"), *[F.sum(n).alias(n) for n in sums])
 
 
 def interval(draw_values: DataFrame, by: list[str], value: Column, lower, upper) -> DataFrame:
@@ -129,27 +175,27 @@ def interval(draw_values: DataFrame, by: list[str], value: Column, lower, upper)
     return g.select(*by, n.alias("usable"), F.get("_vals", lower(n).cast("int")).alias("lower"), F.get("_vals", upper(n).cast("int")).alias("upper"))
 
 
-def bootstrap_ci(weighted: DataFrame, by: list[str], key: str, *, draws: int, seed: int = 0, exact_hash: bool = False) -> DataFrame:
+def bootstrap_ci(weighted: DataFrame, by: list[str], key: str, *, draws: int = 500, seed: int = 0) -> DataFrame:
     """95% interval of the self-normalised estimate; draws without weight are left out."""
-    d = resample(weighted, key, by, {"sw": F.col("w"), "swr": F.col("w") * F.col("reward")}, draws=draws, seed=seed, exact_hash=exact_hash)
+    d = resample(weighted, key, by, {"sw": F.col("w"), "swr": F.col("w") * F.col("reward")}, draws=draws, seed=seed)
     est = F.when(F.col("sw") > 0, F.col("swr") / F.col("sw"))
     return interval(d, by, est, lambda n: F.floor((n - 1) * 0.025), lambda n: F.floor((n - 1) * 0.975))
 
 
-def on_policy_value(examples: DataFrame, by: list[str], key: str, *, draws: int, seed: int = 0, exact_hash: bool = False) -> DataFrame:
+def on_policy_value(examples: DataFrame, by: list[str], key: str, *, draws: int = 500, seed: int = 0) -> DataFrame:
     """Mean logged reward with its interval."""
     m = examples.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("reward").alias("value"))
-    d = resample(examples, key, by, {"sr": F.col("reward")}, draws=draws, seed=seed, exact_hash=exact_hash)
+    d = resample(examples, key, by, {"sr": F.col("reward")}, draws=draws, seed=seed)
     ci = interval(d, by, F.when(F.col("rows") > 0, F.col("sr") / F.col("rows")), lambda n: F.floor((n - 1) * 0.025), lambda n: F.floor((n - 1) * 0.975))
     return m.join(ci, by)
 
 
-def paired_difference(weighted: DataFrame, by: list[str], key: str, *, margin: float, draws: int = 400, seed: int = 0, confidence: float = 0.95, exact_hash: bool = False) -> DataFrame:
+def paired_difference(weighted: DataFrame, by: list[str], key: str, *, margin: float, draws: int = 400, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """Policy minus logging on the same draws, with a verdict; too few usable draws are inconclusive."""
     w, r = F.col("w"), F.col("reward")
     point = weighted.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("_w"), (F.sum(w * r)).alias("_wr"), F.avg(r).alias("_m"))
     point = point.withColumn("difference", F.when(F.col("_w") > 0, F.col("_wr") / F.col("_w") - F.col("_m")))
-    d = resample(weighted, key, by, {"sw": w, "swr": w * r, "sr": r}, draws=draws, seed=seed, exact_hash=exact_hash)
+    d = resample(weighted, key, by, {"sw": w, "swr": w * r, "sr": r}, draws=draws, seed=seed)
     tail = (1.0 - confidence) / 2.0
     est = F.when((F.col("sw") > 0) & (F.col("rows") > 0), F.col("swr") / F.col("sw") - F.col("sr") / F.col("rows"))
     ci = interval(d, by, est, lambda n: F.floor(tail * (n - 1)), lambda n: F.floor((1 - tail) * (n - 1)))
@@ -160,21 +206,21 @@ def paired_difference(weighted: DataFrame, by: list[str], key: str, *, margin: f
                     F.when(lower >= -margin, "non_inferior").when(upper < -margin, "worse").otherwise("inconclusive").alias("verdict"))
 
 
-def paired_non_inferiority(pairs: DataFrame, by: list[str], key: str, *, margin: float, draws: int = 1000, seed: int = 0, confidence: float = 0.95, exact_hash: bool = False) -> DataFrame:
+def paired_non_inferiority(pairs: DataFrame, by: list[str], key: str, *, margin: float, draws: int = 1000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """Bootstrap of the mean per-item difference (column ``diff``)."""
     m = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean_difference"))
-    d = resample(pairs, key, by, {"sd": F.col("diff")}, draws=draws, seed=seed, exact_hash=exact_hash)
+    d = resample(pairs, key, by, {"sd": F.col("diff")}, draws=draws, seed=seed)
     low = int((1 - confidence) / 2 * draws)
     ci = interval(d, by, F.when(F.col("rows") > 0, F.col("sd") / F.col("rows")), lambda n: F.least(F.lit(low), n - 1), lambda n: n - 1)
     return m.join(ci, by).select(*by, "n", "mean_difference", F.col("lower").alias("lower_bound"), (F.col("lower") >= -margin).alias("non_inferior"))
 
 
-def cluster_bootstrap_diff(pairs: DataFrame, by: list[str], family: str, *, draws: int = 1000, seed: int = 17, exact_hash: bool = False) -> DataFrame:
+def cluster_bootstrap_diff(pairs: DataFrame, by: list[str], family: str, *, draws: int = 1000, seed: int = 17) -> DataFrame:
     """Families are resampled, not rows: rows are averaged per family before anything else."""
     both = pairs.filter(F.col("left_score").isNotNull() & F.col("right_score").isNotNull())
     fam = both.groupBy(*by, family).agg(F.avg(F.col("left_score") - F.col("right_score")).alias("d"))
     m = fam.groupBy(*by).agg(F.count(F.lit(1)).alias("families"), F.avg("d").alias("estimate"))
-    r = resample(fam, family, by, {"sd": F.col("d")}, draws=draws, seed=seed, exact_hash=exact_hash)
+    r = resample(fam, family, by, {"sd": F.col("d")}, draws=draws, seed=seed)
     ci = interval(r, by, F.when(F.col("rows") > 0, F.col("sd") / F.col("rows")), lambda n: F.least(F.lit(int(draws * 0.025)), n - 1), lambda n: F.least(F.lit(int(draws * 0.975)), n - 1))
     j = m.join(ci, by)
     two = F.col("families") >= 2

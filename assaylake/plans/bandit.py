@@ -19,7 +19,7 @@ from assaylake.plans.oracle import cte, features_sql, h32, sql
 from assaylake.schemas import FEATURE_SCHEMA_VERSION
 from assaylake.sources import views as V
 
-DRAWS = 30
+DRAWS, PAIRED_DRAWS, ITEM_DRAWS = 500, 400, 1000
 SEED = 7
 
 cte("joined", f"""
@@ -238,21 +238,25 @@ def _(t):
     return w.groupBy("policy", "tier").agg(lack("cost").alias("cost_unknown"), lack("latency_ms").alias("latency_unknown"))
 
 
-@query("ope_dm")
+_rhat = lambda a: f"CASE WHEN {a} IN ('lab/m0','lab/m1','lab/m2') THEN (substr({a}, 6)::INT + 1) * dot ELSE 0 END"
+cte("direct", f"""
+ SELECT policy, segment, value, avg(dm) AS dm, avg(dm + w * (reward - {_rhat('action')})) AS dr FROM (
+  SELECT *, CASE policy WHEN 'uniform' THEN list_sum(list_transform(eligible_actions, lambda a: {_rhat('a')})) / len(eligible_actions) WHEN 'cheapest' THEN {_rhat('list_min(eligible_actions)')} ELSE {_rhat('list_max(eligible_actions)')} END AS dm
+  FROM (SELECT *, list_sum(list_transform(range(1, 35), lambda i: i / 1000.0::DOUBLE * features[i])) AS dot FROM wseg WHERE split = 'validation')) GROUP BY ALL""", "wseg")
+
+
+@query("ope_dm", sql("SELECT policy, segment, value, round(dm, 6) AS dm FROM direct", "direct"))
 def _(t):
     return _direct(t).select("policy", "segment", "value", F.round("dm", 6).alias("dm"))
 
 
-@query("ope_dr")
+@query("ope_dr", sql("SELECT policy, segment, value, round(dr, 6) AS dr FROM direct", "direct"))
 def _(t):
     return _direct(t).select("policy", "segment", "value", F.round("dr", 6).alias("dr"))
 
 
 def _direct(t):
-    w = weighted(t)
-    own = O.with_segments(B.examples_for(examples(t), "validation"), [])
-    model = B.linucb_fit(B.linucb_gram(own, weighted=False), lam=1.0)
-    return O.direct_method(w, model, ["policy", "segment", "value"])
+    return O.direct_method(weighted(t), given_model(t), ["policy", "segment", "value"])
 
 
 _pois = "CASE " + " ".join(f"WHEN u < {c!r}::DOUBLE THEN {n}" for n, c in enumerate(O.POISSON_CDF)) + f" ELSE {len(O.POISSON_CDF)} END"
@@ -260,7 +264,10 @@ _pois = "CASE " + " ".join(f"WHEN u < {c!r}::DOUBLE THEN {n}" for n, c in enumer
 
 def draws_sql(source, key, by, sums, draws, seed):
     cols = ", ".join(f"sum(m * ({e})) AS {n}" for n, e in sums.items())
-    return f"""SELECT {by}, b, sum(m) AS rows, {cols} FROM (SELECT *, {_pois} AS m FROM (SELECT *, {h32(f"'{seed}|' || b || '|' || " + key)} / 4294967296.0::DOUBLE AS u FROM {source}, (SELECT unnest(range(1, {draws + 1})) AS b))) GROUP BY ALL"""
+    half = lambda at: f"('0x' || substr(sha256('{seed}|' || {key}), {at}, 8))::BIGINT % {O.PRIME}"
+    return f"""SELECT {by}, b, sum(m) AS rows, {cols} FROM (SELECT *, {_pois} AS m FROM (
+  SELECT *, (rs_first + b * rs_second) % {O.PRIME} AS rs_1, rs_1 * rs_1 % {O.PRIME} AS rs_2, (rs_2 * rs_2 % {O.PRIME}) * rs_1 % {O.PRIME} AS rs_5, rs_5::DOUBLE / {O.PRIME}.0::DOUBLE AS u
+  FROM (SELECT *, {half(1)} AS rs_first, {half(9)} AS rs_second FROM {source}), (SELECT unnest(range(1, {draws + 1})) AS b))) GROUP BY ALL"""
 
 
 cte("bs", draws_sql("(SELECT * FROM wseg WHERE split = 'validation')", "observation_id", "policy, segment, value", {"sw": "w", "swr": "w * reward", "sr": "reward"}, DRAWS, 0), "wseg")
@@ -270,7 +277,7 @@ _ci = lambda est: f"""SELECT policy, segment, value, len(v) AS usable, round(v[f
 
 @query("bootstrap_ci", sql(_ci("CASE WHEN sw > 0 THEN swr / sw END"), "bs"))
 def _(t):
-    return r6(O.bootstrap_ci(weighted(t), ["policy", "segment", "value"], "observation_id", draws=DRAWS, exact_hash=True), "lower", "upper")
+    return r6(O.bootstrap_ci(weighted(t), ["policy", "segment", "value"], "observation_id", draws=DRAWS), "lower", "upper")
 
 
 @query("on_policy_value", sql(f"""
@@ -278,21 +285,21 @@ def _(t):
  JOIN (SELECT segment, value, count(*) AS n, avg(reward) AS v FROM wseg WHERE split = 'validation' AND policy = 'uniform' GROUP BY ALL) m USING (segment, value) WHERE c.policy = 'uniform'""", "bs", "wseg"))
 def _(t):
     ex = O.with_segments(B.examples_for(examples(t), "validation"), ["task_domain", "tier"]).withColumnRenamed("value", "v")
-    o = O.on_policy_value(ex, ["segment", "v"], "observation_id", draws=DRAWS, exact_hash=True)
+    o = O.on_policy_value(ex, ["segment", "v"], "observation_id", draws=DRAWS)
     return r6(o.withColumnRenamed("value", "mean_value").withColumnRenamed("v", "value"), "mean_value", "lower", "upper").select("segment", "value", "n", "mean_value", "usable", "lower", "upper")
 
 
 cte("pd", f"""
  SELECT d.policy, d.segment, d.value, n, difference, CASE WHEN ok THEN lo END AS lower, CASE WHEN ok THEN hi END AS upper FROM (
-  SELECT c.policy, c.segment, c.value, p.n, p.difference, p.difference IS NOT NULL AND len(v) >= {DRAWS} * 0.9 AS ok, v[floor(0.025::DOUBLE * (len(v) - 1))::INT + 1] AS lo, v[floor(0.975::DOUBLE * (len(v) - 1))::INT + 1] AS hi
-  FROM (SELECT policy, segment, value, list_sort(list(e) FILTER (e IS NOT NULL)) AS v FROM (SELECT *, CASE WHEN sw > 0 AND rows > 0 THEN swr / sw - sr / rows END AS e FROM bs) GROUP BY ALL) c
+  SELECT c.policy, c.segment, c.value, p.n, p.difference, p.difference IS NOT NULL AND len(v) >= {PAIRED_DRAWS} * 0.9 AS ok, v[floor(0.025::DOUBLE * (len(v) - 1))::INT + 1] AS lo, v[floor(0.975::DOUBLE * (len(v) - 1))::INT + 1] AS hi
+  FROM (SELECT policy, segment, value, list_sort(list(e) FILTER (e IS NOT NULL)) AS v FROM (SELECT *, CASE WHEN sw > 0 AND rows > 0 THEN swr / sw - sr / rows END AS e FROM bs WHERE b <= {PAIRED_DRAWS}) GROUP BY ALL) c
   JOIN (SELECT policy, segment, value, count(*) AS n, sum(w * reward) / nullif(sum(w), 0) - avg(reward) AS difference FROM wseg WHERE split = 'validation' GROUP BY ALL) p USING (policy, segment, value)) d""", "bs", "wseg")
 _verdict = lambda m: f"CASE WHEN lower >= -{m} THEN 'non_inferior' WHEN upper < -{m} THEN 'worse' ELSE 'inconclusive' END"
 
 
 @query("paired_difference", sql(f"SELECT policy, segment, value, n, round(difference, 6) AS difference, round(lower, 6) AS lower, round(upper, 6) AS upper, {_verdict(0.02)} AS verdict FROM pd", "pd"))
 def _(t):
-    return r6(O.paired_difference(weighted(t), ["policy", "segment", "value"], "observation_id", margin=0.02, draws=DRAWS, exact_hash=True), "difference", "lower", "upper")
+    return r6(O.paired_difference(weighted(t), ["policy", "segment", "value"], "observation_id", margin=0.02, draws=PAIRED_DRAWS), "difference", "lower", "upper")
 
 
 @query("segment_gates", sql(f"""
@@ -300,7 +307,7 @@ def _(t):
   CASE WHEN n < 30 THEN crit ELSE upper < -0.05 IS TRUE AND NOT coalesce(lower >= -0.05, false) OR (crit AND (difference IS NULL OR difference < -0.05)) END AS failed
  FROM (SELECT *, segment = 'tier' OR value IN ('privacy','automation','expenses') AS crit FROM pd WHERE segment <> 'all' AND policy = 'cheapest')""", "pd"))
 def _(t):
-    g = GT.segment_gates(weighted(t, only=["cheapest"]), "observation_id", GT.GateConfig(draws=DRAWS, exact_hash=True))
+    g = GT.segment_gates(weighted(t, only=["cheapest"]), "observation_id", GT.GateConfig(draws=PAIRED_DRAWS))
     return g.select(F.lit("cheapest").alias("policy"), "segment", "value", "n", "status", "failed")
 
 
@@ -338,26 +345,26 @@ def _(t):
 
 
 cte("cfam", "SELECT pair, family_id, avg(l - r) AS d FROM paired WHERE l IS NOT NULL AND r IS NOT NULL GROUP BY ALL", "paired")
-cte("cbs", draws_sql("cfam", "family_id", "pair", {"sd": "d"}, 40, 17), "cfam")
+cte("cbs", draws_sql("cfam", "family_id", "pair", {"sd": "d"}, ITEM_DRAWS, 17), "cfam")
 
 
 @query("cluster_bootstrap_diff", sql("""
- SELECT pair, families, round(estimate, 6) AS estimate, CASE WHEN families >= 2 THEN round(v[least(1, len(v) - 1) + 1], 6) END AS lower, CASE WHEN families >= 2 THEN round(v[least(39, len(v) - 1) + 1], 6) END AS upper
+ SELECT pair, families, round(estimate, 6) AS estimate, CASE WHEN families >= 2 THEN round(v[least(25, len(v) - 1) + 1], 6) END AS lower, CASE WHEN families >= 2 THEN round(v[least(975, len(v) - 1) + 1], 6) END AS upper
  FROM (SELECT pair, count(*) AS families, avg(d) AS estimate FROM cfam GROUP BY 1) JOIN (SELECT pair, list_sort(list(sd / rows) FILTER (rows > 0)) AS v FROM cbs GROUP BY 1) USING (pair)""", "cfam", "cbs"))
 def _(t):
     p = RP.pairs(t).filter("verdict = 'paired'")
-    return r6(O.cluster_bootstrap_diff(p, ["pair"], "family_id", draws=40, exact_hash=True), "estimate", "lower", "upper")
+    return r6(O.cluster_bootstrap_diff(p, ["pair"], "family_id", draws=ITEM_DRAWS), "estimate", "lower", "upper")
 
 
-cte("pni", draws_sql("(SELECT * FROM paired WHERE l IS NOT NULL AND r IS NOT NULL)", "case_id", "pair", {"sd": "l - r"}, 40, 0), "paired")
+cte("pni", draws_sql("(SELECT * FROM paired WHERE l IS NOT NULL AND r IS NOT NULL)", "case_id", "pair", {"sd": "l - r"}, ITEM_DRAWS, 0), "paired")
 
 
 @query("paired_non_inferiority", sql("""
- SELECT pair, n, round(md, 6) AS mean_difference, round(v[least(1, len(v) - 1) + 1], 6) AS lower_bound, v[least(1, len(v) - 1) + 1] >= -0.05 AS non_inferior
+ SELECT pair, n, round(md, 6) AS mean_difference, round(v[least(25, len(v) - 1) + 1], 6) AS lower_bound, v[least(25, len(v) - 1) + 1] >= -0.05 AS non_inferior
  FROM (SELECT pair, count(*) AS n, avg(l - r) AS md FROM paired WHERE l IS NOT NULL AND r IS NOT NULL GROUP BY 1) JOIN (SELECT pair, list_sort(list(sd / rows) FILTER (rows > 0)) AS v FROM pni GROUP BY 1) USING (pair)""", "paired", "pni"))
 def _(t):
     p = RP.pairs(t).filter("verdict = 'paired' AND left_score IS NOT NULL AND right_score IS NOT NULL").withColumn("diff", F.col("left_score") - F.col("right_score"))
-    return r6(O.paired_non_inferiority(p, ["pair"], "case_id", margin=0.05, draws=40, exact_hash=True), "mean_difference", "lower_bound")
+    return r6(O.paired_non_inferiority(p, ["pair"], "case_id", margin=0.05, draws=ITEM_DRAWS), "mean_difference", "lower_bound")
 
 
 # ---- routing policies on the core cases -----------------------------------------------------------
@@ -495,9 +502,9 @@ def _(t):
     return GT.policy_overview(cand, states, gates)
 
 
-cte("bst", draws_sql("(SELECT * FROM wt WHERE split = 'test' AND policy = 'uniform')", "observation_id", "policy", {"sw": "w", "swr": "w * reward", "sr": "reward"}, DRAWS, 0), "wt")
+cte("bst", draws_sql("(SELECT * FROM wt WHERE split = 'test' AND policy = 'uniform')", "observation_id", "policy", {"sw": "w", "swr": "w * reward", "sr": "reward"}, PAIRED_DRAWS, 0), "wt")
 cte("hold", f"""
- SELECT difference, CASE WHEN difference IS NOT NULL AND len(v) >= {DRAWS} * 0.9 THEN v[floor(0.025::DOUBLE * (len(v) - 1))::INT + 1] END AS lower, CASE WHEN difference IS NOT NULL AND len(v) >= {DRAWS} * 0.9 THEN v[floor(0.975::DOUBLE * (len(v) - 1))::INT + 1] END AS upper
+ SELECT difference, CASE WHEN difference IS NOT NULL AND len(v) >= {PAIRED_DRAWS} * 0.9 THEN v[floor(0.025::DOUBLE * (len(v) - 1))::INT + 1] END AS lower, CASE WHEN difference IS NOT NULL AND len(v) >= {PAIRED_DRAWS} * 0.9 THEN v[floor(0.975::DOUBLE * (len(v) - 1))::INT + 1] END AS upper
  FROM (SELECT list_sort(list(e) FILTER (e IS NOT NULL)) AS v FROM (SELECT CASE WHEN sw > 0 AND rows > 0 THEN swr / sw - sr / rows END AS e FROM bst)), (SELECT sum(w * reward) / nullif(sum(w), 0) - avg(reward) AS difference FROM wt WHERE split = 'test' AND policy = 'uniform')""", "bst", "wt")
 _seg_failed = """SELECT count(*) FILTER (CASE WHEN n < 30 THEN crit ELSE (upper < -0.05 IS TRUE AND NOT coalesce(lower >= -0.05, false)) OR (crit AND (difference IS NULL OR difference < -0.05)) END) AS n
  FROM (SELECT *, segment = 'tier' OR value IN ('privacy','automation','expenses') AS crit FROM pd WHERE segment <> 'all' AND policy = 'uniform')"""
@@ -517,7 +524,7 @@ _sqz = lambda c: f"trim(regexp_replace(lower({c}), '\\s+', ' ', 'g'))"
  UNION ALL SELECT 'tier_budget', n = 0, n::VARCHAR FROM ({_tb_failed('cost')}) UNION ALL SELECT 'tier_latency', n = 0, n::VARCHAR FROM ({_tb_failed('latency_ms')})
  UNION ALL SELECT 'core_regression', true, '0' UNION ALL SELECT 'holdout', coalesce({_verdict(0.03)} <> 'worse' AND difference >= -0.03, false), {_verdict(0.03)} FROM hold""", "diag", "pd", "wt", "hold", "obs"))
 def _(t):
-    c = GT.GateConfig(draws=DRAWS, exact_hash=True)
+    c = GT.GateConfig(draws=PAIRED_DRAWS)
     gram = B.linucb_gram(train(t))
     rep = B.reproduce_check(B.linucb_fit(gram), B.linucb_fit(gram))
     val, hold = weighted(t, only=["uniform"]), weighted(t, split="test", segments=(), only=["uniform"])

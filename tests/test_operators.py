@@ -1,5 +1,6 @@
 """Operators on small hand-made or random rows, against expected values or brute force."""
 
+import hashlib
 import math
 import random
 import re
@@ -215,6 +216,31 @@ def test_paired_difference_tells_good_from_bad(spark):
     assert v["none"]["verdict"] == "inconclusive" and v["none"]["difference"] is None
 
 
+def test_resampled_sums_equal_plain_python(spark):
+    rows = [(None if i % 50 == 0 else f"g{i % 3}", f"k{i % 40}", float(i % 7), None if i % 11 == 0 else 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, k string, x double, y double")
+    sums = {"sx": F.col("x"), "sy": F.col("y")}
+    got = {(r["g"], r["b"]): (r["rows"], r["sx"], r["sy"]) for r in O.resample(df.repartition(5), "k", ["g"], sums, draws=20, seed=3).collect()}
+    want = {}
+    for g, k, x, y in rows:
+        d = hashlib.sha256(f"3|{k}".encode()).hexdigest()
+        for b in range(1, 21):
+            u = pow(int(d[:8], 16) % O.PRIME + b * (int(d[8:16], 16) % O.PRIME), 5, O.PRIME) / O.PRIME
+            m = sum(c <= u for c in O.POISSON_CDF)
+            a = want.setdefault((g, b), [0, 0.0, 0.0])
+            a[0], a[1], a[2] = a[0] + m, a[1] + m * x, a[2] + m * (y or 0.0)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(tuple(v)) for k, v in want.items())
+    assert O.resample(df.limit(0), "k", ["g"], sums, draws=20).count() == 0
+
+
+def test_draws_are_poisson_and_unrelated():
+    first, second = np.random.default_rng(1).integers(0, O.PRIME, (2, 4000))
+    w = O.poisson_weights(first, second, 200).astype(float)
+    assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)
+    between = np.corrcoef(w.T) - np.eye(200)
+    assert np.abs(between).max() < 0.1 and between.std() == pytest.approx(4000 ** -0.5, rel=0.1)
+
+
 def test_few_noisy_rows_are_inconclusive_and_draws_repeat(spark):
     df = logged(spark, 12, lambda a, i: (i * 7 % 10) / 10)
     p = {"uniform": B.uniform_policy(), "good": B.ranked_policy(["good"])}
