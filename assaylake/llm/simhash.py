@@ -225,5 +225,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gone = per_id.filter("NOT stays").select(F.col("doc_id").alias("decided_id"))
     repeated = per_id.filter("stays AND n > 1").select(F.col("doc_id").alias("decided_id"))
     same = F.col(id_col) == F.col("decided_id")
-    once = docs.join(gone.unionByName(repeated), same, "left_anti")
+    once = docs.join(gone.unionByName(repeated).hint("merge"), same, "left_anti")
+    if repeated.isEmpty():  # texts are dealt out once
+        return once
     return once.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([id_col]))
