@@ -319,5 +319,5 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = F.split(F.col(f"`{text_col}`"), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("decided_lines"))
     text = F.when(F.col("decided_lines").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
-    joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("decided_id")), "left")
+    joined = docs.join(gone.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("decided_id")), "left")
     return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
