@@ -121,6 +121,20 @@ def test_probabilities_are_normalised_and_better_than_counts(spark):
     assert prob[3, 5, 4] > 0.6 > prob[3, 5, 6]
 
 
+def test_model_learns_from_all_texts(make, monkeypatch):
+    docs = make([prose(i, 80) for i in range(60)])
+    _, totals = lm.count_corpus(docs)
+    quarters = [lm.fit(docs, totals, shard_tokens=200, full_rounds=1) for _ in range(2)]
+    assert quarters[0].trained == totals.tokens and lm.fit(docs, totals).trained == lm.ROUNDS * totals.tokens
+    assert np.array_equal(quarters[0].norm, quarters[1].norm)  # means in a fixed order
+    # texts are not drawn by their share of the corpus
+    huge = lm.Totals(1 << 40, totals.types, totals.ends, totals.cut, totals.known)
+    assert lm.fit(docs, huge, shard_tokens=1 << 36).trained == totals.tokens
+    # classes follow the vocabulary
+    monkeypatch.setattr(lm, "CLASSES", 5)
+    assert [len(lm.fit(docs, lm.Totals(totals.tokens, v, totals.ends, totals.cut, totals.known)).classes) for v in (16, 400)] == [6, 30]
+
+
 def test_no_training_rows(make):
     ids = [i for i in range(200) if held(i, 7) == 2][:3]
     got = result(lm.score(make([(i, "some words") for i in ids])))
