@@ -25,6 +25,8 @@ EDITS = 2
 MIN_CHARS = 40
 #: Rows under one key that are paired at once; fuller keys are split by letter parities.
 BUCKET = 64
+#: Lines of a split full key that a task compares with as many others; larger groups are compared block by block, each two blocks in a group of their own.
+BLOCK = 4096
 #: Lines with a candidate that are looked up by broadcast; more are joined by a shuffle.
 BROADCAST_LINES = 2_000_000
 #: Different lines that a task remembers to have filed.
@@ -217,11 +219,14 @@ def within(a: str, b: str, edits: int) -> bool:
 
 
 def parity(line: str) -> int:
-    """Which of 64 letter classes occur an odd number of times; an edit changes two bits at most."""
+    """Which of 64 letter classes occur an odd number of times; an edit changes two bits at most.
+
+    A multiplicative hash spreads neighbouring code points evenly over the bits, so letters and digits fall in every piece.
+    """
     bits = 0
     for c in set(line):
         if line.count(c) & 1:
-            bits ^= 1 << (ord(c) & 63)
+            bits ^= 1 << ((ord(c) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 58)
     return bits
 
 
@@ -247,26 +252,39 @@ def _by_parity(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Rec
 
 
 def _first_near(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (key, piece, place). Emits each line that has an earlier near one under the key."""
-    held, texts, marks, used = None, [], np.zeros(64, np.uint64), 0
+    """Rows come sorted by (key, piece, low, high, place). Emits each line that has an earlier near one in the same two blocks of the key."""
+    held, texts, marks, blocks, used = None, [], np.zeros(64, np.uint64), np.zeros(64, np.int64), 0
     for batch in batches:
         h1, h2 = [], []
         mark = batch.column("mark").to_numpy(zero_copy_only=False).view(np.uint64)
-        cols = [batch.column(c).to_pylist() for c in ("key", "piece", "h1", "h2", "text")]
-        for i, (key, piece, x, y, text) in enumerate(zip(*cols, strict=True)):
-            if (key, piece) != held:
-                held, texts, marks, used = (key, piece), [], np.zeros(64, np.uint64), 0
-            close = np.flatnonzero(np.bitwise_count(marks[:used] ^ mark[i]) <= 2 * edits)
-            if any(texts[j] != text and within(texts[j], text, edits) for j in close):
+        cols = [batch.column(c).to_pylist() for c in ("key", "piece", "low", "high", "block", "h1", "h2", "text")]
+        for i, (key, piece, low, high, block, x, y, text) in enumerate(zip(*cols, strict=True)):
+            if (key, piece, low, high) != held:
+                held, texts, marks, blocks, used = (key, piece, low, high), [], np.zeros(64, np.uint64), np.zeros(64, np.int64), 0
+            close = np.bitwise_count(marks[:used] ^ mark[i]) <= 2 * edits
+            if low != high:  # the lines of one block meet where it is paired with itself
+                close &= blocks[:used] != block
+            if any(texts[j] != text and within(texts[j], text, edits) for j in np.flatnonzero(close)):
                 h1.append(x), h2.append(y)
             if used == len(marks):
-                marks = np.concatenate((marks, np.zeros(used, np.uint64)))
-            marks[used] = mark[i]
+                marks, blocks = np.concatenate((marks, np.zeros(used, np.uint64))), np.concatenate((blocks, np.zeros(used, np.int64)))
+            marks[used], blocks[used] = mark[i], block
             used += 1
             texts.append(text)
         yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["h1", "h2"])
 
 
+def _in_blocks(split: DataFrame, limit: int) -> DataFrame:
+    """Adds ``block, low, high``: groups of over ``limit`` lines are cut into blocks, and each line goes to its block's pair with every block."""
+    large = frozen(split.groupBy("key", "piece").count().filter(F.col("count") > limit).select("key", "piece", F.ceil(F.col("count") / limit).alias("blocks")), "line-groups")
+    if large.isEmpty():
+        return split.select("*", *[F.lit(0).cast("long").alias(c) for c in ("block", "low", "high")])
+    n = F.coalesce("blocks", F.lit(1).cast("long"))
+    rows = split.join(large, ["key", "piece"], "left").withColumn("block", F.pmod(F.xxhash64("h1", "h2"), n))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    return rows.select(*split.columns, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
 # ---- the operator ----------------------------------------------------------------------------
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, line_no, line, h1, h2)`` of every line with a character that is not stripped; two hashes name a line."""
@@ -291,8 +309,10 @@ def near_later(docs: DataFrame, first: DataFrame, id_col: str, text_col: str, ed
     near = both.filter(_near(edits)("a_text", "b_text")).select(F.explode(F.array(
         *[F.when(F.col(f"{y}_place") < F.col(f"{x}_place"), F.struct(F.col(f"{x}_h1").alias("h1"), F.col(f"{x}_h2").alias("h2"))) for x, y in (("a", "b"), ("b", "a"))])).alias("l")).filter("l IS NOT NULL").select("l.h1", "l.h2")
     crowd = full.join(texts, F.col("a") == F.col("h1")).select("key", "h1", "h2", "text", "place")
+    crowd = frozen(crowd, "line-crowd")
     split = crowd.mapInArrow(lambda it: _by_parity(it, edits), f"key long, piece long, h1 long, h2 long, text string, mark long, place {crowd.schema['place'].dataType.simpleString()}")
-    more = split.repartition("key", "piece").sortWithinPartitions("key", "piece", "place").drop("place").mapInArrow(lambda it: _first_near(it, edits), "h1 long, h2 long")
+    group = ["key", "piece", "low", "high"]
+    more = _in_blocks(split, BLOCK).repartition(*group).sortWithinPartitions(*group, "place").drop("place").mapInArrow(lambda it: _first_near(it, edits), "h1 long, h2 long")
     return near.unionByName(more).distinct()
 
 

@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -167,6 +168,30 @@ def test_line_dedup(make, monkeypatch, bucket):
     assert lines.drop_lines(docs).columns == docs.columns and lines.drop_lines(docs.limit(0)).count() == 0
 
 
+def test_full_keys_split(spark, make, monkeypatch):
+    orders = [f"the order with number {i * 7919 % 100_000} was shipped to the customer on day {i % 97}" for i in range(400)]
+    kind = "key long, h1 long, h2 long, text string, place long"
+    full = spark.createDataFrame([(1, i, i, t, i) for i, t in enumerate(orders)], kind)
+    split = full.mapInArrow(lambda it: lines._by_parity(it, 2), "key long, piece long, h1 long, h2 long, text string, mark long, place long")
+    sizes = split.groupBy("piece").count().collect()
+    assert all(sum(r["piece"] >> 48 == k for r in sizes) > 1 for k in range(5))
+    # no group of two blocks holds much more than two limits, and every two lines of a group meet
+    groups = defaultdict(set)
+    for r in lines._in_blocks(split, 20).collect():
+        groups[r["piece"], r["low"], r["high"]].add(r["h1"])
+    assert max(map(len, groups.values())) < 80
+    meet = {(piece, *pair) for (piece, _, _), g in groups.items() for pair in combinations(sorted(g), 2)}
+    whole = defaultdict(set)
+    for r in split.collect():
+        whole[r["piece"]].add(r["h1"])
+    assert meet == {(piece, *pair) for piece, g in whole.items() for pair in combinations(sorted(g), 2)}
+    monkeypatch.setattr(lines, "BUCKET", 2)
+    monkeypatch.setattr(lines, "BLOCK", 6)
+    docs = make(orders[:120])
+    got = {row["doc_id"]: row["lines"] for row in lines.repeated_lines(docs).collect()}
+    assert got == plain_line_dedup(list(enumerate(orders[:120])), 2, lines.MIN_CHARS) and got
+
+
 def test_line_dedup_of_repeated_rows(make):
     long = prose(8, 20)
     docs = make([(1, f"{long}\nx"), (1, f"{long}\nx"), (None, long + "!"), (2, long)])
