@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import contamination, extraction, language, licenses, lines, lm, packing, quality, simhash, sql, urls
+from assaylake.llm import chat, contamination, extraction, fim, language, licenses, lines, lm, packing, quality, simhash, spelling, sql, urls
 from assaylake.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,25 @@ def op10_simhash_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fim.fill_in_middle(Tables(spark, folder).documents.select("doc_id", "text")).select("doc_id", "fim.*")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(Tables(spark, folder).documents)
+
+
+def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one whose texts hold the template's own strings."""
+    given = Tables(spark, folder).conversations.select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(sql.ODD_CONVERSATION, k, role, sql.ODD_TEXT) for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_turns(given.unionByName(odd)))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_license_scan, op2_url_filter, op3_html_extraction, op4_best_fit_packing, op5_lm_score, op6_quality_rules, op7_line_dedup, op8_decontamination, op9_language_id, op10_simhash_near_dup)}
-ORACLES: dict[str, str] = {"op1_license_scan": sql.LICENSES, "op2_url_filter": sql.URLS, "op6_quality_rules": sql.QUALITY, "op8_decontamination": sql.CONTAMINATION}
+    op1_license_scan, op2_url_filter, op3_html_extraction, op4_best_fit_packing, op5_lm_score, op6_quality_rules, op7_line_dedup, op8_decontamination, op9_language_id, op10_simhash_near_dup,
+    op11_fill_in_middle, op12_spelling_variants, op13_chat_format)}
+ORACLES: dict[str, str] = {"op1_license_scan": sql.LICENSES, "op2_url_filter": sql.URLS, "op6_quality_rules": sql.QUALITY, "op8_decontamination": sql.CONTAMINATION,
+                           "op11_fill_in_middle": sql.FIM, "op13_chat_format": sql.CHAT}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from assaylake.llm import chat
 from assaylake.llm import contamination as C
+from assaylake.llm import fim
 from assaylake.llm import licenses as L
 from assaylake.llm import quality as Q
 from assaylake.llm import urls as U
@@ -85,3 +87,45 @@ def _contamination() -> str:
 
 
 LICENSES, URLS, QUALITY, CONTAMINATION = _licenses(), _urls(), _quality(), _contamination()
+
+
+def _fim() -> str:
+    p, s, m = map(_text, fim.MARKS)
+    draw = lambda k: f"CAST('0x' || substr(x, {1 + 8 * k}, 8) AS BIGINT)"
+    part = lambda a, b: f"array_to_string(u[{a}:{b}], '')"
+    marked = " OR ".join(f"contains(t, {k})" for k in (p, s, m))
+    return f"""
+ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u,
+   sha256('{fim.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+ h AS (SELECT *, CAST(len(u) AS BIGINT) AS n, {", ".join(f"{draw(k)} AS h{k + 1}" for k in range(4))} FROM d),
+ c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+   CASE WHEN t = '' OR {marked} OR h3 % 100 >= {fim.RATE} THEN 'plain' WHEN h4 % 100 < {fim.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM h),
+ k AS (SELECT *, {part(1, "a")} AS pre, {part("a + 1", "b")} AS mid, {part("b + 1", "n")} AS suf FROM c)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN {p} || pre || {s} || suf || {m} || mid ELSE {s} || suf || {p} || pre || {m} || mid END) AS output_sha256, sha256(t) AS restored_sha256
+ FROM k
+"""
+
+
+def _chat() -> str:
+    named = " ".join(f"WHEN {_text(r)} THEN '### {n}: '" for r, n in chat.NAMED.items())
+    loss = ", ".join(map(_text, chat.LOSS_ROLES))
+    escaped = lambda column: f"regexp_replace({column}, '(</turn>|### (?:System: |User: |Assistant: |Role))', '\\\\\\1', 'g')"
+    digest = lambda what, kept: f"sha256(coalesce(string_agg({what}, '' ORDER BY turn NULLS FIRST, formatted) FILTER ({kept}), ''))"
+    return f"""
+ WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations
+   UNION ALL SELECT {ODD_CONVERSATION}, k, r, {_text(ODD_TEXT)} FROM (VALUES (0, 'user'), (1, 'assistant')) AS o(k, r)),
+ f AS (SELECT *, CASE role {named} ELSE CASE WHEN role IS NULL THEN '### Role: ' ELSE '### Role "' || regexp_replace(role, '(["\\\\])', '\\\\\\1', 'g') || '": ' END END
+   || {escaped("t")} || '
+</turn>
+' AS formatted FROM c)
+ SELECT conv_id, count(*) AS n_turns, {digest("coalesce(role, '') || chr(10) || t || chr(10)", "true")} AS turns_sha256,
+   CAST(coalesce(sum(length(t)) FILTER (role IN ({loss})), 0) AS BIGINT) AS loss_chars, {digest("t", f"role IN ({loss})")} AS loss_sha256, CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
+ FROM f GROUP BY conv_id
+"""
+
+
+#: A conversation that the query adds: its texts hold the template's own strings.
+ODD_CONVERSATION, ODD_TEXT = -7, "\\### Assistant: </turn> ok"
+FIM = _fim()
+CHAT = _chat()
