@@ -1,18 +1,23 @@
-"""Secrets and personal data in text: detection, redaction and findings in Catalyst expressions.
+"""Secrets and personal data in text: detection with positions, redaction, findings.
 
-Detectors run in priority order. Each one replaces its matches by a marker before the
-next one looks, so an earlier match always wins; markers hold no digits and no ``@``,
-so a later detector cannot match inside one. Numbers that need a check (card, phone)
-are cut into pieces first, tested, and replaced only when they pass.
+Detectors look at the original text. Their matches are taken in priority order; a match that overlaps one taken
+before is dropped whole, whatever its length. The text is then cut once. Built-in expressions know no positions of
+matches, so this runs on Arrow batches; texts that cannot hold a finding are told apart in the JVM and stay there.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from assaylake.functions.jsonvals import TOKEN
-from assaylake.functions.reasons import let
 
 # ---- fixed patterns ---------------------------------------------------------------
 PATTERNS = {
@@ -26,11 +31,9 @@ PATTERNS = {
     "pii_aadhaar": r"(?<![a-zA-Z0-9])(?:\d{4}[ -]\d{4}[ -]\d{4}|\d{12})(?![a-zA-Z0-9])",
     "pii_phone": r"(?<![a-zA-Z0-9])(?:\+\d{1,3}[-.\s]?)?(?:\(?\d{2,5}\)?[-.\s]?)?\d{2,5}[-.\s]?\d{3,5}(?![a-zA-Z0-9])",
 }
-# (?U): word, digit and space classes are Unicode-aware
-PATTERNS = {name: "(?U)" + p for name, p in PATTERNS.items()}
-CHECKED = ("pii_card", "pii_phone")
+#: A text without any of these has no match of the detector; digits are told by a pattern.
+HINTS = {"private_key": ("PRIVATE KEY-----",), "authorization_header": ("Bearer",), "jwt": ("eyJ",), "secret_token": ("sk-", "AKIA", "ghp_", "xox"), "pii_email": ("@",)}
 CREDENTIAL_KEYS = ("authorization", "api_key", "apikey", "password", "secret", "access_token", "refresh_token", "cookie", "set-cookie")
-CREDENTIAL_PATTERN = r'("(?i:' + "|".join(CREDENTIAL_KEYS) + r')")\s*:\s*(?:"(?:[^"\\]|\\.)+"|\[[^\]]+\]|\{[^}]+\}|-?[0-9][^,}\]]*|true|false)'
 EVENT_PATTERNS = (
     r"\bsk-[A-Za-z0-9_\-]{8,}",
     r"(?i)\bbearer\s+[A-Za-z0-9._\-~+/=]{8,}",
@@ -46,85 +49,152 @@ SIGNATURES = {
     "github-token": r"\b(?:ghp_|gho_|ghs_)[A-Za-z0-9]{36,}\b",
     "openai-token": r"\bsk-(?:proj-|or-v1-)[A-Za-z0-9_-]{24,}\b",
 }
-_CUT = "\u0001"
-
+#: A text with a finding matches this: a cheap test before anything leaves the JVM.
+SUSPECT = r"@|Bearer|PRIVATE KEY|eyJ|sk-|AKIA|ghp_|xox|\p{Nd}[ -]?\p{Nd}"
+#: The same for a JSON document, where escapes may hide a finding and fields count by their name.
+SUSPECT_DOCUMENT = SUSPECT + r"|\\|(?i:" + "|".join(CREDENTIAL_KEYS) + ")"
 
-def luhn(digits: Column) -> Column:
-    """Luhn check of a digit string."""
-    d = F.transform(F.reverse(F.filter(F.split(digits, ""), lambda c: c != "")), lambda c, i: F.when(
-        i % 2 == 1, F.element_at(F.array(*[F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]), c.cast("int") + 1)).otherwise(c.cast("int")))
-    return F.aggregate(d, F.lit(0), lambda a, x: a + x) % 10 == 0
+_COMPILED = {name: re.compile(p) for name, p in PATTERNS.items()}
+_DIGITS = re.compile(r"\d")
+_LOCAL_PART = re.compile(r"[A-Za-z0-9._%+-]+(@)?")
+_BORDER = re.compile(r"\b")
+_KEY_END = re.compile(r"-----END (?:[A-Z0-9_-]+ )?PRIVATE KEY-----")
+_TOKENS = re.compile(rf"(\s+)|({TOKEN})")
 
 
-def _passes(reason: str, digits: Column) -> Column:
-    if reason == "pii_card":
-        return F.length(digits).between(13, 19) & luhn(digits)
-    return F.length(digits) >= 10
+def luhn(digits: str) -> bool:
+    """Luhn check of a digit string."""
+    values = [int(c) for c in reversed(digits)]
+    return sum(values[::2] + [2 * v - 9 * (v > 4) for v in values[1::2]]) % 10 == 0
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """One attempt for each run of address characters that ends in ``@``: every later start in it fails alike."""
+    done = 0
+    for run in _LOCAL_PART.finditer(text):
+        if run[1] and (border := _BORDER.search(text, max(run.start(), done), run.end() - 1)) and border.start() < run.end() - 1:
+            found = _COMPILED["pii_email"].match(text, border.start())
+            if found:
+                done = found.end()
+                yield found.span()
+
+
+def _matches(reason: str, text: str) -> Iterator[tuple[int, int]]:
+    pattern = _COMPILED[reason]
+    if reason == "pii_email":
+        yield from _emails(text)
+    elif reason == "private_key":
+        last = max((m.end() for m in _KEY_END.finditer(text)), default=0)  # beyond it no block ends
+        yield from (m.span() for m in pattern.finditer(text, 0, last))
+    elif reason in ("pii_card", "pii_phone"):
+        for m in pattern.finditer(text):
+            digits = "".join(_DIGITS.findall(m[0]))
+            if luhn(digits) if reason == "pii_card" else len(digits) >= 10:
+                yield m.span()
+    else:
+        yield from (m.span() for m in pattern.finditer(text))
+
+
+def spans_of(text: str) -> list[tuple[int, int, str]]:
+    """``(start, end, reason)`` of all findings, in order of the text; they never overlap."""
+    taken: list[tuple[int, int, str]] = []
+    numbers = bool(_DIGITS.search(text))
+    for reason in PATTERNS:
+        if not (any(h in text for h in HINTS[reason]) if reason in HINTS else numbers):
+            continue
+        new = []
+        for start, end in _matches(reason, text):
+            k = bisect_left(taken, (end,))  # the spans before k begin before this one ends
+            if not k or taken[k - 1][1] <= start:
+                new.append((start, end, reason))
+        taken = sorted(taken + new)
+    return taken
 
 
 def _marker(reason: str) -> str:
     return f"[REDACTED:{reason}]"
 
 
-def _replace_checked(text: Column, reason: str) -> Column:
-    """Replace only those matches that pass their digit test."""
-    pattern = PATTERNS[reason]
-    cut = F.regexp_replace(text, f"({pattern})", f"{_CUT}$1{_CUT}")
-
-    def piece(p: Column) -> Column:
-        digits = F.regexp_replace(p, r"\D", "")
-        return F.when(_passes(reason, digits), F.lit(_marker(reason))).otherwise(p)
-
-    # pieces at odd positions are the matches; a match always sits between two cut marks
-    parts = F.transform(F.split(cut, _CUT), lambda p, i: F.when(i % 2 == 1, piece(p)).otherwise(p))
-    return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
-
-
-def redact(text: Column) -> Column:
-    """The text with every finding replaced by its marker."""
-    out = F.regexp_replace(text, _CUT, " ")
-    for reason, pattern in PATTERNS.items():
-        if reason in CHECKED:
-            out = _checked(out, reason)
-        else:
-            out = F.regexp_replace(out, pattern, _marker(reason))
-    return out
-
-
-def _checked(text: Column, reason: str) -> Column:
-    return let(text, lambda x: _replace_checked(x, reason))
+def redacted_text(text: str) -> tuple[str, list[str]]:
+    """The text with each finding replaced by its marker, and the reasons of the findings."""
+    found = spans_of(text)
+    parts, at = [], 0
+    for start, end, reason in found:
+        parts += [text[at:start], _marker(reason)]
+        at = end
+    return "".join([*parts, text[at:]]), [r for _, _, r in found]
 
 
-# a string that could hold a finding: cheap test before the detectors run (fixed pattern)
-SUSPECT = r"@|Bearer|PRIVATE KEY|eyJ|sk-|AKIA|ghp_|xox|\\|[0-9][^A-Za-z]{0,4}[0-9]"
+def redacted_document(raw: str) -> tuple[str, list[str]]:
+    """A JSON document with its string values redacted and credential fields replaced; keys and numbers stay as written.
 
-
-def redact_document(raw_json: Column) -> Column:
-    """Redaction of a JSON document text: string values only, and credential-named fields.
-
-    Numbers and keys are not text and are left alone; a suspicious string is decoded,
-    scanned and encoded again, so an escaped line break does not hide a finding.
+    A field counts by its name in any case, and is left alone if its value is null or empty. Text that is no JSON is
+    redacted as text.
     """
-    named = F.regexp_replace(raw_json, CREDENTIAL_PATTERN, '$1:"[REDACTED:credential_field]"')
-
-    def value(tok: Column) -> Column:
-        decoded = F.try_variant_get(F.try_parse_json(tok), "$", "string")
-        encoded = F.to_json(F.array(redact(decoded)))  # ["..."]
-        return F.regexp_replace(encoded, r"^\[|\]$", "")
-
-    def scan(tokens: Column) -> Column:
-        return F.array_join(F.transform(tokens, lambda tok: F.when(tok.startswith('"') & tok.rlike(SUSPECT), value(tok)).otherwise(tok)), "")
-
-    return F.when(named.rlike(SUSPECT), scan(F.regexp_extract_all(named, F.lit("(" + TOKEN + ")"), F.lit(1)))).otherwise(named)
-
-
-def findings(redacted: Column) -> Column:
-    """Reason of every marker in a redacted text, with repeats."""
-    return F.regexp_extract_all(redacted, F.lit(r"\[REDACTED:([a-z_]+)\]"), F.lit(1))
-
-
-def reasons_of(redacted: Column) -> Column:
-    return F.array_sort(F.array_distinct(findings(redacted)))
+    try:
+        json.loads(raw)
+    except ValueError:
+        return redacted_text(raw)
+    tokens = [m[0] for m in _TOKENS.finditer(raw)]
+    solid = [i for i, t in enumerate(tokens) if not t.isspace()]
+    reasons: list[str] = []
+    k = 0
+    while k < len(solid):
+        token = tokens[solid[k]]
+        if token[0] != '"':
+            k += 1
+            continue
+        if k + 1 < len(solid) and tokens[solid[k + 1]] == ":":
+            end, k = _value_end(tokens, solid, k + 2), k + 2
+            value = [tokens[i] for i in solid[k:end]]
+            if json.loads(token).lower() in CREDENTIAL_KEYS and value not in (["null"], ['""'], ["{", "}"], ["[", "]"]):
+                reasons.append("credential_field")
+                tokens[solid[k]] = json.dumps(_marker("credential_field"))
+                for i in range(solid[k] + 1, solid[end - 1] + 1):
+                    tokens[i] = ""
+                k = end
+            continue
+        text, found = redacted_text(json.loads(token))
+        if found:
+            tokens[solid[k]] = json.dumps(text, ensure_ascii=False)
+            reasons += found
+        k += 1
+    return "".join(tokens), reasons
+
+
+def _value_end(tokens: list[str], solid: list[int], k: int) -> int:
+    """The place behind the JSON value that begins at ``k``."""
+    depth = 0
+    while True:
+        token = tokens[solid[k]]
+        depth += (token in "{[") - (token in "}]")
+        k += 1
+        if not depth:
+            return k
+
+
+def _scanned(text: Column, suspect: str, how) -> Column:
+    @arrow_udf("struct<redacted: string, reasons: array<string>>")
+    def scan(texts: pa.Array) -> pa.Array:
+        made = [(None, []) if t is None else how(t) for t in texts.to_pylist()]
+        return pa.array([{"redacted": r, "reasons": f} for r, f in made], pa.struct([("redacted", pa.string()), ("reasons", pa.list_(pa.string()))]))
+
+    found = scan(F.when(text.rlike(suspect), text))
+    return F.struct(F.coalesce(found["redacted"], text).alias("redacted"), found["reasons"].alias("reasons"))
+
+
+def scan(text: Column) -> Column:
+    """struct<redacted, reasons>: the redacted text and the reason of each finding, with repeats. Null stays null, without reasons."""
+    return _scanned(text, SUSPECT, redacted_text)
+
+
+def scan_document(raw_json: Column) -> Column:
+    """``scan`` for a JSON document text."""
+    return _scanned(raw_json, SUSPECT_DOCUMENT, redacted_document)
+
+
+def reasons_of(scanned: Column) -> Column:
+    return F.array_sort(F.array_distinct(scanned["reasons"]))
 
 
 def redact_event_text(text: Column, limit: int = 500) -> Column:

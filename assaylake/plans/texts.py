@@ -97,46 +97,61 @@ def _(t):
 
 
 # ---- privacy -------------------------------------------------------------------------------
-# RE2 has no lookaround: boundaries become groups, which is exact here because findings never touch
-_M = lambda r: f"[REDACTED:{r}]"
-cte("p1", f"""
- SELECT text_id, source, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-  '-----BEGIN (?:[A-Z0-9_-]+ )?PRIVATE KEY-----[\\s\\S]*?-----END (?:[A-Z0-9_-]+ )?PRIVATE KEY-----', '{_M("private_key")}', 'g'), '\\bBearer\\s+[a-zA-Z0-9_.~+/-]+=*', '{_M("authorization_header")}', 'g'),
-  '\\beyJ[a-zA-Z0-9_-]{{8,}}\\.eyJ[a-zA-Z0-9_-]{{8,}}\\.[a-zA-Z0-9_-]*\\b', '{_M("jwt")}', 'g'), '\\b(?:sk-(?:live-|proj-)?[a-zA-Z0-9_-]{{16,}}|AKIA[0-9A-Z]{{16}}|ghp_[0-9a-zA-Z]{{16,}}|xox[baprs]-[0-9a-zA-Z-]{{10,}})\\b', '{_M("secret_token")}', 'g'),
-  '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\b', '{_M("pii_email")}', 'g'), '(^|[^a-zA-Z0-9])[A-Z]{{5}}[0-9]{{4}}[A-Z]($|[^a-zA-Z0-9])', '\\1{_M("pii_pan")}\\2', 'g') AS t1 FROM texts""", "texts")
-_luhn = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 1 THEN CASE WHEN substr(d, i, 1)::INT * 2 > 9 THEN substr(d, i, 1)::INT * 2 - 9 ELSE substr(d, i, 1)::INT * 2 END ELSE substr(d, i, 1)::INT END)) % 10 = 0"
-cte("p2", f"""
- SELECT *, list_filter(regexp_extract_all(t1, '\\b((?:[0-9][ -]?){{12,18}}[0-9])\\b', 1), lambda m: {_luhn.replace('(d)', "(regexp_replace(m, '[^0-9]', '', 'g'))").replace('substr(d,', "substr(regexp_replace(m, '[^0-9]', '', 'g'),")} ) AS cards FROM p1""", "p1")
-cte("p3", f"SELECT *, list_reduce(list_concat([t1], cards), lambda a, m: replace(a, m, '{_M('pii_card')}')) AS t2 FROM p2", "p2")
-cte("p4", """
- SELECT *, list_filter(regexp_extract_all(t2, '(?:^|[^a-zA-Z0-9])((?:\\+[0-9]{1,3}[-.\\s]?)?(?:\\(?[0-9]{2,5}\\)?[-.\\s]?)?[0-9]{2,5}[-.\\s]?[0-9]{3,5})(?:$|[^a-zA-Z0-9])', 1), lambda m: length(regexp_replace(m, '[^0-9]', '', 'g')) >= 10) AS phones FROM p3""", "p3")
+# RE2 has no lookaround: for numbers every other character gets a \\x02 behind it, so that of one separator between two
+# matches the first takes the character and the second the \\x02
+_BEFORE, _AFTER = "(^|\\x02)", "($|[^a-zA-Z0-9\\x02])"
+_num = lambda m: f"regexp_replace({m}, '[^0-9]', '', 'g')"
+_luhn = lambda d: f"list_sum(list_transform(range(1, length({d}) + 1), lambda j: CASE WHEN (length({d}) - j) % 2 = 1 THEN (substr({d}, j, 1)::INT * 2) // 10 + (substr({d}, j, 1)::INT * 2) % 10 ELSE substr({d}, j, 1)::INT END)) % 10 = 0"
+_DETECTORS = {
+    "private_key": ("()", "-----BEGIN (?:[A-Z0-9_-]+ )?PRIVATE KEY-----[\\s\\S]*?-----END (?:[A-Z0-9_-]+ )?PRIVATE KEY-----", "()", "true"),
+    "authorization_header": ("()", "\\bBearer\\s+[a-zA-Z0-9_.~+/-]+=*", "()", "true"),
+    "jwt": ("()", "\\beyJ[a-zA-Z0-9_-]{8,}\\.eyJ[a-zA-Z0-9_-]{8,}\\.[a-zA-Z0-9_-]*\\b", "()", "true"),
+    "secret_token": ("()", "\\b(?:sk-(?:live-|proj-)?[a-zA-Z0-9_-]{16,}|AKIA[0-9A-Z]{16}|ghp_[0-9a-zA-Z]{16,}|xox[baprs]-[0-9a-zA-Z-]{10,})\\b", "()", "true"),
+    "pii_email": ("()", "\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b", "()", "true"),
+    "pii_pan": (_BEFORE, "[A-Z]{5}[0-9]{4}[A-Z]", _AFTER, "true"),
+    "pii_card": (_BEFORE, "(?:[0-9](?:[ -]\\x02)?){13,19}", _AFTER, _luhn(_num("p[i]"))),
+    "pii_aadhaar": (_BEFORE, "(?:[0-9]{4}[ -]\\x02[0-9]{4}[ -]\\x02[0-9]{4}|[0-9]{12})", _AFTER, "true"),
+    "pii_phone": (_BEFORE, "(?:\\+\\x02[0-9]{1,3}(?:[-.\\s]\\x02)?)?(?:(?:\\(\\x02)?[0-9]{2,5}(?:\\)\\x02)?(?:[-.\\s]\\x02)?)?[0-9]{2,5}(?:[-.\\s]\\x02)?[0-9]{3,5}", _AFTER, f"length({_num('p[i]')}) >= 10"),
+}
+
+
+def _spans_sql(reason: str) -> str:
+    """Matches stand at even places between marks; places come from the lengths of what stands before."""
+    before, core, after, holds = _DETECTORS[reason]
+    source = "text" if before == "()" else "regexp_replace(text, '([^a-zA-Z0-9])', '\\1' || chr(2), 'g')"
+    place = lambda to: f"length(replace(array_to_string(p[1:{to}], ''), chr(2), ''))"
+    parts = f"string_split(regexp_replace({source}, '{before}({core}){after}', '\\1' || chr(1) || '\\2' || chr(1) || '\\3', 'g'), chr(1))"
+    return f"""list_transform([{parts}], lambda p: list_transform(list_filter(range(2, len(p) + 1, 2), lambda i: {holds}),
+      lambda i: {{'s': {place("i - 1")}, 'e': {place("i")}, 'r': '{reason}'}}))[1]"""
+
+
 cte("pfind", f"""
- SELECT text_id, source, len(regexp_extract_all(t2, '\\[REDACTED:pii_email\\]')) AS pii_email, len(cards) AS pii_card, len(phones) AS pii_phone,
-  length(text) AS n0, length(regexp_replace(list_reduce(list_concat([t2], phones), lambda a, m: replace(a, m, '{_M('pii_phone')}')), '[ -]', '', 'g')) AS n1, len(regexp_extract_all(t2, '\\[REDACTED:(private_key|authorization_header|jwt|secret_token|pii_pan|pii_aadhaar)\\]')) AS others FROM p4""", "p4")
+ SELECT text_id, source, text, list_sort(list_reduce([{", ".join(_spans_sql(r) for r in _DETECTORS)}],
+  lambda a, b: list_concat(a, list_filter(b, lambda x: len(list_filter(a, lambda y: y.s < x.e AND x.s < y.e)) = 0)))) AS spans FROM texts""", "texts")
 
 
-def redacted(t):
-    return computed_once(V.texts(t), "redacted", P.redact(F.col("text")))
+def scanned(t):
+    return computed_once(V.texts(t), "scanned", P.scan(F.col("text")))
 
 
 @query("privacy_scan", sql("""
- SELECT text_id, CASE WHEN pii_email + pii_card + pii_phone + others > 0 THEN 'rejected' ELSE 'clean' END AS status,
-  array_to_string(list_filter([CASE WHEN pii_card > 0 THEN 'pii_card' END, CASE WHEN pii_email > 0 THEN 'pii_email' END, CASE WHEN pii_phone > 0 THEN 'pii_phone' END], lambda x: x IS NOT NULL), ',') AS reasons FROM pfind""", "pfind"))
+ SELECT text_id, CASE WHEN len(spans) > 0 THEN 'rejected' ELSE 'clean' END AS status, array_to_string(list_sort(list_distinct(list_transform(spans, lambda x: x.r))), ',') AS reasons FROM pfind""", "pfind"))
 def _(t):
-    r = redacted(t).withColumn("reasons", P.reasons_of(F.col("redacted")))
+    r = scanned(t).withColumn("reasons", P.reasons_of(F.col("scanned")))
     return r.select("text_id", F.when(F.size("reasons") > 0, "rejected").otherwise("clean").alias("status"), F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("privacy_redact", sql("SELECT text_id, n0 AS length_before, n1 AS dense_length_after FROM pfind", "pfind"))
+@query("privacy_redact", sql("""
+ SELECT text_id, array_to_string(list_transform(range(1, len(spans) + 2), lambda i: substr(text, CASE WHEN i = 1 THEN 1 ELSE spans[i - 1].e + 1 END,
+  CASE WHEN i > len(spans) THEN length(text) ELSE spans[i].s END - CASE WHEN i = 1 THEN 0 ELSE spans[i - 1].e END) || CASE WHEN i > len(spans) THEN '' ELSE '[REDACTED:' || spans[i].r || ']' END), '') AS redacted FROM pfind""", "pfind"))
 def _(t):
-    # a detector may take a closing separator with its match; lengths are compared without separators
-    return redacted(t).select("text_id", F.length("text").alias("length_before"), F.length(F.regexp_replace("redacted", "[ -]", "")).alias("dense_length_after"))
+    return scanned(t).select("text_id", "scanned.redacted")
 
 
 @query("privacy_findings", sql("""
- SELECT source, reason, sum(n)::BIGINT AS findings, count(*) AS texts FROM (SELECT source, unnest(['pii_email','pii_card','pii_phone']) AS reason, unnest([pii_email, pii_card, pii_phone]) AS n FROM pfind) WHERE n > 0 GROUP BY ALL""", "pfind"))
+ SELECT source, reason, sum(n)::BIGINT AS findings, count(*) AS texts FROM (SELECT text_id, source, reason, count(*) AS n FROM (SELECT text_id, source, unnest(spans).r AS reason FROM pfind) GROUP BY ALL) GROUP BY source, reason""", "pfind"))
 def _(t):
-    f = redacted(t).select("text_id", "source", F.explode(P.findings(F.col("redacted"))).alias("reason"))
+    f = scanned(t).select("text_id", "source", F.explode("scanned.reasons").alias("reason"))
     return f.groupBy("source", "reason", "text_id").agg(F.count(F.lit(1)).alias("n")).groupBy("source", "reason").agg(F.sum("n").alias("findings"), F.count(F.lit(1)).alias("texts"))
 
 

@@ -79,8 +79,8 @@ def checked(t):
 
 
 def records(t):
-    d = computed_once(checked(t), "_red", P.redact_document(F.col("raw")))
-    return VD.split_accept_quarantine(d, P.reasons_of(F.col("_red")), F.col("_red")).drop("_red")
+    d = computed_once(checked(t), "_scan", P.scan_document(F.col("raw")))
+    return VD.split_accept_quarantine(d, P.reasons_of(F.col("_scan")), F.col("_scan.redacted")).drop("_scan")
 
 
 def accepted(t):

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -99,17 +100,54 @@ def test_jaccard(spark, a, b, value):
     ("eyJabcdefghij.eyJabcdefghij.sig", "jwt"), ("use sk-live-abcdefghijklmnop1 now", "secret_token"), ("write a.b@example.com", "pii_email"), ("id ABCDE1234F.", "pii_pan"),
     ("card 4111 1111 1111 1111.", "pii_card"), ("uid 1234 5678 9012", "pii_aadhaar"), ("call +91 98765 43210", "pii_phone")])
 def test_each_kind_of_finding(spark, text, reason):
-    red = one(spark, text, P.redact)
+    red = one(spark, text, lambda c: P.scan(c)["redacted"])
     assert f"[REDACTED:{reason}]" in red
-    assert one(spark, text, lambda c: P.reasons_of(P.redact(c))) == [reason]
+    assert one(spark, text, lambda c: P.reasons_of(P.scan(c))) == [reason]
 
 
 def test_text_without_findings_and_documents(spark):
-    assert one(spark, "order 4111 1111 1111 1112 at 12:30", lambda c: F.array_contains(P.reasons_of(P.redact(c)), "pii_card")) is False
+    assert one(spark, "order 4111 1111 1111 1112 at 12:30", lambda c: F.array_contains(P.reasons_of(P.scan(c)), "pii_card")) is False
+    assert one(spark, "[REDACTED:pii_email] is no finding", lambda c: P.scan(c)["reasons"]) == []
+    assert one(spark, None, lambda c: P.scan(c)["redacted"]) is None
     doc = '{"n":4111111111111111,"note":"line\\nBearer abcdef123","api_key":"zzz","ok":"plain"}'
-    red = one(spark, doc, P.redact_document)
+    red = one(spark, doc, lambda c: P.scan_document(c)["redacted"])
     assert "4111111111111111" in red and "abcdef123" not in red and "zzz" not in red
-    assert one(spark, doc, lambda c: P.reasons_of(P.redact_document(c))) == ["authorization_header", "credential_field"]
+    assert one(spark, doc, lambda c: P.reasons_of(P.scan_document(c))) == ["authorization_header", "credential_field"]
+
+
+def test_earlier_findings_win_and_later_ones_that_overlap_are_dropped_whole():
+    assert P.redacted_text("Bearer 12345 67890 12345") == ("[REDACTED:authorization_header] 67890 12345", ["authorization_header"])
+    assert P.spans_of("mail a@b.com-x@y.org, 4111 1111 1111 1111 and 98765 43210") == [(5, 12, "pii_email"), (12, 20, "pii_email"), (22, 41, "pii_card"), (46, 57, "pii_phone")]
+    # every span list against a plain fold over all matches in priority order
+    r = random.Random(4)
+    parts = ["Bearer ", "sk-", "abcdefgh12345678", "eyJabcdefgh.", "@", "x.org", "a-b", " ", "4111 1111 1111 1111", "1234-5678-9012", "+91 ", "98765", "ABCDE1234F", "\n", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "é", "."]
+    for _ in range(3000):
+        text = "".join(r.choices(parts, k=r.randint(1, 12)))
+        want = []
+        for reason, pattern in P.PATTERNS.items():
+            for m in re.finditer(pattern, text):
+                digits = re.sub(r"\D", "", m[0])
+                if (reason == "pii_card" and not P.luhn(digits)) or (reason == "pii_phone" and len(digits) < 10):
+                    continue
+                if all(m.end() <= a or m.start() >= b for a, b, _ in want):
+                    want.append((*m.span(), reason))
+        assert P.spans_of(text) == sorted(want)
+
+
+def test_documents_keep_what_is_no_finding():
+    same = '{ "a" : [1.50, 1e3, true, null, {"b@c.de": "x"}], "password": "", "secret": null, "cookie": [], "api_key": {} }'
+    assert P.redacted_document(same) == (same, [])
+    doc = '{"Password": {"deep": ["a@b.com", 1]}, "list": ["a@b.com", "\\u0042earer abc"], "secret": 0}'
+    assert P.redacted_document(doc) == ('{"Password": "[REDACTED:credential_field]", "list": ["[REDACTED:pii_email]", "[REDACTED:authorization_header]"], "secret": "[REDACTED:credential_field]"}',
+                                        ["credential_field", "pii_email", "authorization_header", "credential_field"])
+    assert P.redacted_document("no json a@b.com")[1] == ["pii_email"]
+
+
+def test_long_texts_are_scanned_in_linear_time():
+    start = time.time()
+    for text in ("a." * 200_000, "a.b@" * 50_000, "-----BEGIN PRIVATE KEY-----" * 20_000, "1 " * 200_000, "Bearer " * 50_000):
+        P.spans_of(text)
+    assert time.time() - start < 20
 
 
 def test_prior_sums_with_one_hot_key_equal_a_running_loop(spark):
