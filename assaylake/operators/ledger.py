@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from assaylake.functions.prefix import prior_sums
-from assaylake.session import cut_lineage
+from pyspark.sql import types as T
 
 
 def classify_append(existing: DataFrame, incoming: DataFrame, key: str, content: str) -> DataFrame:
@@ -66,38 +67,34 @@ def budget_ledger_rollup(reservations: DataFrame, caps: DataFrame, run: str) ->
     return g.join(caps, run).withColumn("remaining_minor", F.col("max_cost_minor") - F.col("used_minor")).withColumn("overrun", F.col("used_minor") > F.col("max_cost_minor"))
 
 
-def _fits(count: Column, cost: Column) -> Column:
-    """Whether a request fits its run's headroom after ``count`` requests of ``cost`` in all."""
-    slots, room, own = F.col("_slots"), F.col("_room"), F.col("cost_minor")
-    return F.coalesce(count < slots, F.lit(True)) & (room.isNull() | F.coalesce(cost + own <= room, F.lit(False)))
-
-
 def budget_admission_replay(requests: DataFrame, run: str, order: str, released: Column | None = None) -> DataFrame:
     """In reservation order, whether each request fits its run's caps beside those admitted before it.
 
     A refused request uses nothing, so a later smaller one may fit. A null cap is no cap; under a cost cap an unknown
     cost is refused. ``released`` requests are judged but use nothing. Columns needed: cost_minor (not negative),
-    max_requests, max_cost_minor; ``run`` is not null and ``order`` a unique integer.
+    max_requests, max_cost_minor; rows of equal ``order`` are judged by cost, unknown costs first.
 
-    Each round admits a run's open requests up to the first that does not fit, by bucketed sums, and refuses all later
-    ones that the remaining headroom cannot hold. It ends with no open request; every round admits some of each open run.
+    Every verdict depends on the one before, so a run is one chain: its rows are sorted by Spark (spilling if need be)
+    and streamed through Arrow batches with two numbers as state. Memory does not depend on the length of a run.
     """
-    zero = F.lit(0).cast("long")
     gone = F.coalesce(released, F.lit(False)) if released is not None else F.lit(False)
-    rows = requests.withColumns({"_slots": F.col("max_requests").cast("long"), "_room": F.col("max_cost_minor").cast("long"), "_gone": gone})
-    rows = cut_lineage(rows.withColumn("_open", _fits(zero, zero)))
-    verdict = lambda df, admitted: df.select(*requests.columns, F.lit(admitted).alias("admitted"))
-    done = verdict(rows.filter("NOT _open"), False)
-    rows = rows.filter("_open")
-    while not rows.isEmpty():
-        used = lambda c: F.when(F.col("_gone"), zero).otherwise(c)
-        p = prior_sums(rows, [run], order, {"_n": used(F.lit(1).cast("long")), "_c": used(F.coalesce(F.col("cost_minor").cast("long"), zero))})
-        p = cut_lineage(p)
-        breach = p.filter(~_fits(F.col("_n"), F.col("_c"))).groupBy(run).agg(F.min(F.struct(F.col(order).alias("at"), F.col("_n").alias("n"), F.col("_c").alias("c"))).alias("_breach"))
-        p = p.join(breach, run, "left")
-        before = F.coalesce(F.col(order) < F.col("_breach.at"), F.lit(True))
-        rest = p.filter(~before).withColumns({"_slots": F.col("_slots") - F.col("_breach.n"), "_room": F.col("_room") - F.col("_breach.c")})
-        rest = cut_lineage(rest.withColumn("_open", _fits(zero, zero)).drop("_n", "_c", "_breach"))
-        done = done.unionByName(verdict(p.filter(before), True)).unionByName(verdict(rest.filter("NOT _open"), False))
-        rows = rest.filter("_open")
-    return done
+    rows = requests.select("*", F.struct(F.col(run).alias("run"), F.col("cost_minor").cast("long").alias("cost"), F.col("max_requests").cast("long").alias("slots"),
+                                         F.col("max_cost_minor").cast("long").alias("room"), gone.alias("gone")).alias("_asked"))
+    names = [*requests.columns, "admitted"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, used = None, 0, 0
+        for batch in batches:
+            admitted = []
+            for asked in batch.column(len(names) - 1).to_pylist():
+                if asked["run"] != held:
+                    held, count, used = asked["run"], 0, 0
+                cost, slots, room = asked["cost"], asked["slots"], asked["room"]
+                fits = (slots is None or count < slots) and (room is None or (cost is not None and used + cost <= room))
+                if fits and not asked["gone"]:
+                    count, used = count + 1, used + (cost or 0)
+                admitted.append(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(admitted, pa.bool_())], names)
+
+    out = T.StructType([*requests.schema.fields, T.StructField("admitted", T.BooleanType())])
+    return rows.repartition(run).sortWithinPartitions(run, order, "cost_minor").mapInArrow(fold, out)

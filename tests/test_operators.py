@@ -355,12 +355,23 @@ def test_refused_requests_use_nothing(spark):
     assert got == {1: True, 2: False, 3: True, 4: True, 5: True, 6: False, 7: False, 8: True, 9: True, 10: False}
     freed = {r["at"]: r["admitted"] for r in budget_admission_replay(df, "run", "at", F.col("at").isin(1, 5)).collect()}
     assert freed == got | {2: True, 6: True, 3: True}
-    # alternating sizes: many rounds, against a plain fold
+    # alternating sizes, against a plain fold
     costs = [1 if i % 2 == 0 else 40 - i // 2 for i in range(60)]
     df = spark.createDataFrame([("x", i, c, None, 40) for i, c in enumerate(costs)], df.schema)
     used, want = 0, {}
     for i, c in enumerate(costs):
         want[i] = used + c <= 40
         used += c if want[i] else 0
-    assert {r["at"]: r["admitted"] for r in budget_admission_replay(df.limit(12), "run", "at").collect()} == {i: want[i] for i in range(12)}
+    assert {r["at"]: r["admitted"] for r in budget_admission_replay(df, "run", "at").collect()} == want
+    r = random.Random(6)
+    caps = {k: (r.choice([None, 0, 5, 40]), r.choice([None, 0, 60, 900])) for k in range(12)}
+    rows = [(f"r{k}", i, r.choice([None, 0, 1, r.randint(2, 80)]), *caps[k], r.random() < 0.1) for i, k in enumerate(r.choices(range(12), weights=[30, *[1] * 11], k=3000))]
+    df = spark.createDataFrame(rows, "run string, at long, cost_minor long, max_requests int, max_cost_minor long, gone boolean").repartition(5)
+    state, want = {}, {}
+    for run, at, cost, slots, room, gone in rows:
+        n, used = state.get(run, (0, 0))
+        want[at] = (slots is None or n < slots) and (room is None or (cost is not None and used + cost <= room))
+        if want[at] and not gone:
+            state[run] = n + 1, used + (cost or 0)
+    assert {x["at"]: x["admitted"] for x in budget_admission_replay(df, "run", "at", F.col("gone")).collect()} == want
     assert budget_admission_replay(df.limit(0), "run", "at").count() == 0
