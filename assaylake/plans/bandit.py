@@ -17,6 +17,7 @@ from assaylake.plans import reports as RP
 from assaylake.plans.catalog import query
 from assaylake.plans.oracle import cte, features_sql, h32, sql
 from assaylake.schemas import FEATURE_SCHEMA_VERSION
+from assaylake.session import shared_dir
 from assaylake.sources import views as V
 
 DRAWS, PAIRED_DRAWS, ITEM_DRAWS = 500, 400, 1000
@@ -25,7 +26,7 @@ SEED = 7
 cte("joined", f"""
  SELECT o.*, r.has_reward, reward_schema, scalar, excluded_reason, cost_usd, latency, success, critical, tool_failure_penalty, {features_sql()} AS features
  FROM obs o LEFT JOIN (SELECT run_id, true AS has_reward, CASE WHEN k % 131 = 1 THEN 'reward.v0' ELSE 'reward.v1' END AS reward_schema, scalar, excluded_reason, CASE WHEN currency = 'USD' THEN final_cost END AS cost_usd,
-  final_latency_ms AS latency, task_completed AS success, critical_failure AS critical, tool_failure_penalty FROM rewards WHERE k % 139 <> 1) r USING (run_id)""", "obs", "rewards")
+  final_latency_ms AS latency, task_completed AS success, critical_failure AS critical, tool_failure_penalty FROM rewards) r USING (run_id)""", "obs", "rewards")
 cte("excl", f"""
  SELECT *, CASE WHEN shadow THEN 'shadow_decision_not_executed' WHEN obs_propensity <= 0 OR obs_propensity > 1 THEN 'invalid_propensity' WHEN obs_propensity < 0.05 THEN 'below_min_propensity'
   WHEN NOT list_contains(eligible_actions, chosen_action) THEN 'action_not_eligible' WHEN feature_schema_version <> '{FEATURE_SCHEMA_VERSION}' THEN 'feature_schema_mismatch' WHEN has_reward IS NULL THEN 'no_reward'
@@ -38,7 +39,7 @@ cte("ex", """
 
 def joined(t):
     facts = V.run_facts(t)
-    r = RW.reward_run(facts, RW.RewardConfig()).filter("k % 139 <> 1").selectExpr(
+    r = RW.reward_run(facts, RW.RewardConfig()).selectExpr(
         "run_id", "CASE WHEN k % 131 = 1 THEN 'reward.v0' ELSE schema_version END AS reward_schema", "scalar", "excluded_reason", "CASE WHEN currency = 'USD' THEN final_cost END AS cost_usd",
         "final_latency_ms AS latency", "task_completed AS success", "critical_failure AS critical", "tool_failure_penalty")
     return B.observation_reward_join(V.observations(t).withColumn("features", FT.routing_features()), r)
@@ -149,12 +150,23 @@ def _(t):
     return r6(B.train_metrics(train(t)), "mean_reward")
 
 
-@query("reproduce_check", sql("SELECT true AS reproducible, 0 AS unmatched, count(DISTINCT action) AS actions FROM ex WHERE split = 'train'", "ex"))
-def _(t):
+def stored_model(t, fit):
+    """A fitted model, written to the shared folder and read back."""
+    path = shared_dir(t.spark, "model")
+    fit.write.parquet(path)
+    return t.spark.read.schema(fit.schema).parquet(path)
+
+
+def reproduced(t):
+    """The stored model against one fitted anew from the dataset in another partitioning."""
     tr = train(t)
-    stored, refit = B.linucb_fit(B.linucb_gram(tr)), B.linucb_fit(B.linucb_gram(tr.repartition(5)))
-    n = tr.agg(F.count_distinct("action").alias("actions"))
-    return B.reproduce_check(stored, refit).join(n).select("reproducible", "unmatched", "actions")
+    return B.reproduce_check(stored_model(t, B.linucb_fit(B.linucb_gram(tr))), B.linucb_fit(B.linucb_gram(tr.repartition(5))))
+
+
+@query("reproduce_check", sql("SELECT true AS reproducible, true AS checksum_match, 0 AS max_abs_diff, 0 AS unmatched, count(DISTINCT action) AS actions FROM ex WHERE split = 'train'", "ex"))
+def _(t):
+    n = train(t).agg(F.count_distinct("action").alias("actions"))
+    return reproduced(t).join(n).select("reproducible", "checksum_match", "max_abs_diff", "unmatched", "actions")
 
 
 # ---- off-policy evaluation on the validation split ----------------------------------------------
@@ -502,35 +514,48 @@ def _(t):
     return GT.policy_overview(cand, states, gates)
 
 
-cte("bst", draws_sql("(SELECT * FROM wt WHERE split = 'test' AND policy = 'uniform')", "observation_id", "policy", {"sw": "w", "swr": "w * reward", "sr": "reward"}, PAIRED_DRAWS, 0), "wt")
+cte("bst", draws_sql("(SELECT * FROM wt WHERE split = 'test' AND policy = 'cheapest')", "observation_id", "policy", {"sw": "w", "swr": "w * reward", "sr": "reward"}, PAIRED_DRAWS, 0), "wt")
 cte("hold", f"""
  SELECT difference, CASE WHEN difference IS NOT NULL AND len(v) >= {PAIRED_DRAWS} * 0.9 THEN v[floor(0.025::DOUBLE * (len(v) - 1))::INT + 1] END AS lower, CASE WHEN difference IS NOT NULL AND len(v) >= {PAIRED_DRAWS} * 0.9 THEN v[floor(0.975::DOUBLE * (len(v) - 1))::INT + 1] END AS upper
- FROM (SELECT list_sort(list(e) FILTER (e IS NOT NULL)) AS v FROM (SELECT CASE WHEN sw > 0 AND rows > 0 THEN swr / sw - sr / rows END AS e FROM bst)), (SELECT sum(w * reward) / nullif(sum(w), 0) - avg(reward) AS difference FROM wt WHERE split = 'test' AND policy = 'uniform')""", "bst", "wt")
+ FROM (SELECT list_sort(list(e) FILTER (e IS NOT NULL)) AS v FROM (SELECT CASE WHEN sw > 0 AND rows > 0 THEN swr / sw - sr / rows END AS e FROM bst)), (SELECT sum(w * reward) / nullif(sum(w), 0) - avg(reward) AS difference FROM wt WHERE split = 'test' AND policy = 'cheapest')""", "bst", "wt")
 _seg_failed = """SELECT count(*) FILTER (CASE WHEN n < 30 THEN crit ELSE (upper < -0.05 IS TRUE AND NOT coalesce(lower >= -0.05, false)) OR (crit AND (difference IS NULL OR difference < -0.05)) END) AS n
- FROM (SELECT *, segment = 'tier' OR value IN ('privacy','automation','expenses') AS crit FROM pd WHERE segment <> 'all' AND policy = 'uniform')"""
+ FROM (SELECT *, segment = 'tier' OR value IN ('privacy','automation','expenses') AS crit FROM pd WHERE segment <> 'all' AND policy = 'cheapest')"""
 _tb_failed = lambda c: f"""SELECT count(*) FILTER (NOT coalesce(candidate <= logging * 1.25, false)) AS n FROM (SELECT tier, CASE WHEN NOT coalesce(bool_or(w > 0 AND {c} IS NULL), false) THEN sum(w * {c}) / nullif(sum(w) FILTER ({c} IS NOT NULL), 0) END AS candidate,
-  CASE WHEN count({c}) = count(*) THEN avg({c}) END AS logging FROM wt WHERE split = 'validation' AND policy = 'uniform' GROUP BY tier)"""
-_rate_ok = lambda c, m: f"SELECT sum(w * {c}) / nullif(sum(w), 0) <= avg({c}) + {m} AS ok FROM wt WHERE split = 'validation' AND policy = 'uniform'"
+  CASE WHEN count({c}) = count(*) THEN avg({c}) END AS logging FROM wt WHERE split = 'validation' AND policy = 'cheapest' GROUP BY tier)"""
+_rate_ok = lambda c, m: f"SELECT sum(w * {c}) / nullif(sum(w), 0) <= avg({c}) + {m} AS ok FROM wt WHERE split = 'validation' AND policy = 'cheapest'"
 _sqz = lambda c: f"trim(regexp_replace(lower({c}), '\\s+', ' ', 'g'))"
 
 
+cte("core_rows", """
+ SELECT c.ck, e.task_domain, x.case_id IS NOT NULL AS supported, x.passed FROM (SELECT DISTINCT ck, tier, eligible FROM elig) c JOIN (SELECT DISTINCT ck, task_domain FROM ctx) e USING (ck) JOIN cases k USING (ck)
+  LEFT JOIN evid2 x ON x.case_id = 'case-' || c.ck AND x.action = string_split(c.eligible, ',')[1] WHERE k.split <> 'holdout'""", "elig", "ctx", "cases", "evid2")
+cte("core", """
+ SELECT (SELECT count(*) FROM (SELECT task_domain, avg(passed::INT) AS base FROM prow WHERE split <> 'holdout' GROUP BY 1 HAVING base IS NOT NULL) b LEFT JOIN (SELECT task_domain, avg(passed::INT) AS own FROM core_rows GROUP BY 1) c USING (task_domain)
+   WHERE own IS NULL OR own < base - 1e-12) + (SELECT count(*) FROM core_rows WHERE NOT supported) AS n""", "core_rows", "prow")
+
+
+def core_findings(t):
+    """The cheapest eligible action against the empirical static policy on the open cases: domains that pass less often, and cases without evidence."""
+    best = NV.eligible_contexts(t).select("ck", "tier", F.array_min("eligible").alias("action"))
+    cases = V.cases(t).filter("split <> 'holdout'").select("ck", "case_id", F.col("domain").alias("task_domain"))
+    own = best.join(cases, "ck").join(evidence(t), ["case_id", "action"], "left").withColumn("supported", F.coalesce("supported", F.lit(False)))
+    rate = lambda rows: rows.groupBy("task_domain").agg(F.avg(F.col("passed").cast("double")).alias("pass_rate"))
+    lower = C.deterministic_regressions(rate(own), rate(policy_rows(t).filter("split <> 'holdout'")), "task_domain")
+    return lower.select(F.col("task_domain").alias("key"), "finding").unionByName(own.filter("NOT supported").select(F.col("case_id").alias("key"), F.lit("unsupported").alias("finding")))
+
+
 @query("promotion_gates", sql(f"""
- SELECT 'oracle_isolation' AS gate, count(*) = 0 AS passed, count(*)::VARCHAR AS detail FROM (SELECT {_sqz('text')} AS n FROM documents), (SELECT {_sqz('text')} AS g FROM benchmark) WHERE contains(n, g)
+ SELECT 'oracle_isolation' AS gate, count(*) = 0 AS passed, count(*)::VARCHAR AS detail FROM (SELECT {_sqz('text')} AS n FROM texts), (SELECT {_sqz('text')} AS g FROM benchmark) WHERE contains(n, g)
  UNION ALL SELECT 'feature_schema_compatible', count(DISTINCT feature_schema_version) = 1, max(feature_schema_version) FROM obs WHERE NOT shadow UNION ALL SELECT 'reproducible', true, '0'
- UNION ALL SELECT 'ope_support', warnings = '', warnings FROM diag WHERE segment = 'all' AND policy = 'uniform'
- UNION ALL SELECT 'ope_non_inferior', {_verdict(0.02)} = 'non_inferior', {_verdict(0.02)} FROM pd WHERE segment = 'all' AND policy = 'uniform'
+ UNION ALL SELECT 'ope_support', warnings = '', warnings FROM diag WHERE segment = 'all' AND policy = 'cheapest'
+ UNION ALL SELECT 'ope_non_inferior', {_verdict(0.02)} = 'non_inferior', {_verdict(0.02)} FROM pd WHERE segment = 'all' AND policy = 'cheapest'
  UNION ALL SELECT 'segment_non_inferior', n = 0, n::VARCHAR FROM ({_seg_failed})
  UNION ALL SELECT 'critical_failures', coalesce(ok, false), '' FROM ({_rate_ok('critical::INT', 0.01)}) UNION ALL SELECT 'tool_schema_failures', coalesce(ok, false), '' FROM ({_rate_ok('tool_failure_penalty', 0.02)})
  UNION ALL SELECT 'tier_budget', n = 0, n::VARCHAR FROM ({_tb_failed('cost')}) UNION ALL SELECT 'tier_latency', n = 0, n::VARCHAR FROM ({_tb_failed('latency_ms')})
- UNION ALL SELECT 'core_regression', true, '0' UNION ALL SELECT 'holdout', coalesce({_verdict(0.03)} <> 'worse' AND difference >= -0.03, false), {_verdict(0.03)} FROM hold""", "diag", "pd", "wt", "hold", "obs"))
+ UNION ALL SELECT 'core_regression', n = 0, n::VARCHAR FROM core UNION ALL SELECT 'holdout', coalesce({_verdict(0.03)} <> 'worse' AND difference >= -0.03, false), {_verdict(0.03)} FROM hold""", "diag", "pd", "wt", "hold", "obs", "core", "texts"))
 def _(t):
     c = GT.GateConfig(draws=PAIRED_DRAWS)
-    gram = B.linucb_gram(train(t))
-    rep = B.reproduce_check(B.linucb_fit(gram), B.linucb_fit(gram))
-    val, hold = weighted(t, only=["uniform"]), weighted(t, split="test", segments=(), only=["uniform"])
-    rate = lambda rows: rows.groupBy("task_domain").agg(F.avg(F.col("passed").cast("double")).alias("pass_rate"))
-    rows = policy_rows(t).filter("split <> 'holdout'")
-    regress = C.deterministic_regressions(rate(rows), rate(rows), "task_domain")
-    leaks = LN.leakage_scan(t.documents.selectExpr("cast(doc_id AS string) AS text_id", "text"), t.benchmark.selectExpr("cast(item_id AS string) AS target_id", "text AS target"))
+    val, hold = weighted(t, only=["cheapest"]), weighted(t, split="test", segments=(), only=["cheapest"])
+    leaks = LN.leakage_scan(V.texts(t).select("text_id", "text"), t.benchmark.selectExpr("cast(item_id AS string) AS target_id", "text AS target"))
     versions = V.observations(t).filter("NOT shadow").select("feature_schema_version").distinct()
-    return GT.promotion_gates(val, hold, "observation_id", c, leaks=leaks, feature_versions=versions, current_version=FEATURE_SCHEMA_VERSION, reproduce=rep, core_regressions=regress)
+    return GT.promotion_gates(val, hold, "observation_id", c, leaks=leaks, feature_versions=versions, current_version=FEATURE_SCHEMA_VERSION, reproduce=reproduced(t), core_regressions=core_findings(t))

@@ -95,23 +95,28 @@ def _(t):
 
 
 # ---- novelty ------------------------------------------------------------------------------
-cte("sig2", "SELECT *, error_key || '|' || coalesce(completed::VARCHAR, '~') AS fsig FROM facts", "facts")
-cte("nov1", """
+def _novelty_sql(p, facts, points, key):
+    """Views of the novelty of each row of ``facts`` with its vector in ``points``; their names begin with ``p``."""
+    cte(f"{p}sig2", f"SELECT *, error_key || '|' || coalesce(completed::VARCHAR, '~') AS fsig FROM {facts}", facts)
+    cte(f"{p}nov1", f"""
  SELECT *, 5.0::DOUBLE / (count(*) OVER (PARTITION BY task_domain ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 5) AS domain_rarity,
   CASE WHEN NOT (error_key = '' AND coalesce(completed, false)) AND row_number() OVER (PARTITION BY fsig ORDER BY seq) = 1 THEN 1 ELSE 0 END::DOUBLE AS new_failure_signature,
   CASE WHEN tool_key <> '' AND row_number() OVER (PARTITION BY tool_key ORDER BY seq) = 1 THEN 1 ELSE 0 END::DOUBLE AS new_tool_combination,
   count(final_cost) OVER wa AS nc, avg(final_cost) OVER wa AS mc, stddev_pop(final_cost) OVER wa AS sc, count(final_latency_ms) OVER wa AS nl, avg(final_latency_ms) OVER wa AS ml, stddev_pop(final_latency_ms) OVER wa AS sl
- FROM sig2 WINDOW wa AS (PARTITION BY action ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "sig2")
-cte("near", """
- SELECT a.k, coalesce(least(1.0, min(list_distance(a.features, b.features)) / sqrt(34.0::DOUBLE)), 1.0) AS feature_distance FROM feat a LEFT JOIN feat b ON a.tier = b.tier AND a.task_domain = b.task_domain AND b.seq < a.seq GROUP BY a.k""", "feat")
-cte("nov2", """
+ FROM {p}sig2 WINDOW wa AS (PARTITION BY action ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", f"{p}sig2")
+    cte(f"{p}near", f"""
+ SELECT a.{key}, coalesce(least(1.0, min(list_distance(a.features, b.features)) / sqrt(34.0::DOUBLE)), 1.0) AS feature_distance FROM {points} a LEFT JOIN {points} b ON a.tier = b.tier AND a.task_domain = b.task_domain AND b.seq < a.seq GROUP BY a.{key}""", points)
+    cte(f"{p}nov2", f"""
  SELECT n.*, feature_distance, CASE WHEN shadow_action <> action THEN 0.5 ELSE 0 END::DOUBLE AS shadow_disagreement, coalesce(correction_distance, 0) AS correction_magnitude,
   CASE WHEN nc >= 20 AND sc > 0 AND abs(final_cost - mc) / sc >= 3 THEN 1 ELSE 0 END::DOUBLE AS unusual_cost, CASE WHEN nl >= 20 AND sl > 0 AND abs(final_latency_ms - ml) / sl >= 3 THEN 1 ELSE 0 END::DOUBLE AS unusual_latency,
   CASE WHEN retry_count >= 2 THEN 1 ELSE 0 END::DOUBLE AS repeated_recovery, CASE WHEN ratio >= 0.9 THEN 1 ELSE 0 END::DOUBLE AS context_limit_edge,
   CASE WHEN tier IN ('t1','t2') AND tokens >= 0.8 * CASE WHEN list_contains(eligible, 'lab/m0') THEN 32000 ELSE 128000 END THEN 1 ELSE 0 END::DOUBLE AS tier_edge
- FROM nov1 n JOIN near USING (k)""", "nov1", "near")
+ FROM {p}nov1 n JOIN {p}near USING ({key})""", f"{p}nov1", f"{p}near")
+    cte(f"{p}nov", f"SELECT *, round(greatest({', '.join(_C)}) * 0.6 + ({' + '.join(_C)}) / 11 * 0.4, 6) AS novelty FROM {p}nov2", f"{p}nov2")
+
+
 _C = ("domain_rarity", "feature_distance", "new_failure_signature", "new_tool_combination", "shadow_disagreement", "correction_magnitude", "unusual_cost", "unusual_latency", "repeated_recovery", "context_limit_edge", "tier_edge")
-cte("nov", f"SELECT *, round(greatest({', '.join(_C)}) * 0.6 + ({' + '.join(_C)}) / 11 * 0.4, 6) AS novelty FROM nov2", "nov2")
+_novelty_sql("", "facts", "feat", "k")
 
 
 def nearest(df):
@@ -119,11 +124,15 @@ def nearest(df):
 
 
 def scored(t):
-    f = V.run_facts(t)
-    f = N.first_seen_tool_combo(N.first_seen_failure_signature(N.first_seen_domain_rarity(f)))
+    return scored_rows(V.run_facts(t), V.runs(t), "k")
+
+
+def scored_rows(facts, points, key):
+    """Novelty of every row against the rows before it, one total order over all."""
+    f = N.first_seen_tool_combo(N.first_seen_failure_signature(N.first_seen_domain_rarity(facts)))
     f = N.running_outlier(N.running_outlier(f, "final_cost", "unusual_cost"), "final_latency_ms", "unusual_latency")
-    near = nearest(V.runs(t)).select("k", "feature_distance")
-    return N.novelty_score(N.row_components(f.join(near, "k"), WINDOWS))
+    near = nearest(points).select(key, "feature_distance")
+    return N.novelty_score(N.row_components(f.join(near, key), WINDOWS))
 
 
 @query("first_seen_domain_rarity", sql("SELECT k, round(domain_rarity, 9) AS domain_rarity FROM nov1", "nov1"))
@@ -218,12 +227,19 @@ def _(t):
     return N.prior_duplicates(sent(t)).select("candidate_id", "duplicate_of", code_list("similar_to").alias("similar_to"))
 
 
+cte("sfeat", f"SELECT *, {features_sql()} AS features FROM sent", "sent")
+_novelty_sql("s", "sent", "sfeat", "candidate_id")
+cte("chosen", f"""
+ SELECT c.candidate_id, first_value(c.candidate_id) OVER w AS fc, row_number() OVER w AS fr FROM (SELECT * FROM snov WHERE novelty >= 0.35 OR critical_failure OR user_correction) c
+ WINDOW w AS (PARTITION BY {_kp} ORDER BY seq)""", "snov")
+
+
 @query("build_candidates", sql("""
- SELECT candidate_id, step, CASE step WHEN 0 THEN 'NEW' ELSE CASE WHEN duplicate_of IS NULL THEN 'VALIDATED' ELSE 'REJECTED' END END AS to_state, duplicate_of FROM links, (SELECT unnest([0, 1]) AS step)
- WHERE critical_failure OR user_correction OR retry_count >= 2""", "links"))
+ SELECT candidate_id, step, CASE step WHEN 0 THEN 'NEW' ELSE CASE WHEN fr = 1 THEN 'VALIDATED' ELSE 'REJECTED' END END AS to_state, CASE WHEN fr > 1 THEN fc END AS duplicate_of FROM chosen, (SELECT unnest([0, 1]) AS step)""", "chosen"))
 def _(t):
-    # candidates by the row rules; links are computed over all sent runs
-    c = N.prior_duplicates(sent(t)).filter("critical_failure OR user_correction OR retry_count >= 2")
+    # runs become candidates by their novelty at arrival, a critical failure or a correction; links lead to earlier candidates
+    s = sent(t)
+    c = N.prior_duplicates(N.select_candidates(scored_rows(s, s, "candidate_id")))
     return N.candidate_transitions(c).select("candidate_id", "step", "to_state", "duplicate_of")
 
 
