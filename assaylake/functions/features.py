@@ -20,12 +20,6 @@ SPEC = (
 )
 DIM = len(SPEC)
 OPTIONAL = ("slo",)
-# coordinates for exact nearest-neighbour search: one dense coordinate, and the smallest
-# non-zero difference that two values of a coarse coordinate can have
-GRID = [i for i, s in enumerate(SPEC) if s[0] == "log_input_tokens"]
-STEPS = {i: (1.0 if s[2] in ("bool", "present") else {"tool_count": 0.1, "conversation_depth": 0.02, "retry_number": 0.2}[s[0]])
-         for i, s in enumerate(SPEC) if s[2] in ("bool", "present") or s[0] in ("tool_count", "conversation_depth", "retry_number")}
-STEPS = {i: step * 0.999 for i, step in STEPS.items()}
 
 
 def _one(source: str | None, transform: str, arg) -> Column:

@@ -14,6 +14,7 @@ from assaylake.operators import preferences as PR
 from assaylake.operators import rewards as RW
 from assaylake.operators import routing as RT
 from assaylake.operators import unnest as U
+from assaylake.operators.nearest import nearest_prior_vector
 from assaylake.plans import rewards as _rewards  # noqa: F401  (its views are used below)
 from assaylake.plans.catalog import query
 from assaylake.plans.oracle import cte, features_sql, sql
@@ -120,7 +121,7 @@ _novelty_sql("", "facts", "feat", "k")
 
 
 def nearest(df):
-    return N.nearest_prior_vector(with_features(df), ["tier", "task_domain"], "features", "seq", grid=FT.GRID, steps=FT.STEPS)
+    return nearest_prior_vector(with_features(df), ["tier", "task_domain"], "features", "seq")
 
 
 def scored(t):

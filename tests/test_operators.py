@@ -19,6 +19,7 @@ from assaylake.operators import grading as G
 from assaylake.operators import ledger as LG
 from assaylake.operators import lifecycle as L
 from assaylake.operators import lineage as LN
+from assaylake.operators import nearest as NN
 from assaylake.operators import novelty as N
 from assaylake.operators import ope as O
 from assaylake.operators import rewards as R
@@ -161,19 +162,33 @@ def test_prior_sums_with_one_hot_key_equal_a_running_loop(spark):
         seen[key] = seen.get(key, 0) + v
 
 
-def test_nearest_prior_vector_is_exact_with_many_copies(spark):
+@pytest.mark.parametrize("leaf,fan", [(8192, 16), (20, 4), (7, 2)])
+def test_nearest_prior_vector_is_exact_with_many_copies(spark, leaf, fan):
+    """One bucket is crowded and cut many times over, with most vectors at one value of a coordinate; copies, a null vector."""
     rng = random.Random(5)
     rows = []
-    for i in range(300):
-        v = [0.5, 0.0, 1.0] if i % 3 == 0 else [round(rng.random(), 3), float(rng.randrange(2)), rng.randrange(5) / 4]
-        rows.append((f"b{i % 2}", i, v))
-    df = spark.createDataFrame(rows, "bucket string, seq bigint, v array<double>")
-    got = {r["seq"]: r["feature_distance"] for r in N.nearest_prior_vector(df, ["bucket"], "v", "seq", grid=[0], steps={1: 0.99, 2: 0.24}).collect()}
-    assert len(got) == len(rows)
+    for i in range(700):
+        v = [0.5, 0.0, 1.0] if i % 3 == 0 else [round(rng.random() ** 3, 3), float(rng.randrange(2)), rng.choice([0.0, 0.0, 0.0, rng.random()])]
+        rows.append(("crowd" if i % 5 else f"b{i % 2}", i, v))
+    df = spark.createDataFrame([*rows, ("crowd", 1000, None)], "bucket string, seq bigint, v array<double>").repartition(6)
+    got = {r["seq"]: r["feature_distance"] for r in NN.nearest_prior_vector(df, ["bucket"], "v", "seq", leaf=leaf, fan=fan).collect()}
+    assert len(got) == len(rows) + 1 and got[1000] == 1.0
     for b, i, v in rows:
-        prior = [w for c, j, w in rows if c == b and j < i]
-        want = min((math.dist(v, w) for w in prior), default=None)
-        assert got[i] == pytest.approx(1.0 if want is None else min(1.0, want / math.sqrt(3)), abs=1e-9)
+        want = min((math.dist(v, w) for c, j, w in rows[:i] if c == b), default=None)
+        assert got[i] == pytest.approx(1.0 if want is None else min(1.0, want / math.sqrt(3)), abs=1e-12)
+    assert NN.nearest_prior_vector(df.limit(0), ["bucket"], "v", "seq").count() == 0
+
+
+def test_cells_stay_small_and_pairs_are_pruned(spark):
+    rng = random.Random(8)
+    rows = [("one", i, [rng.gauss(rng.choice([0, 5, 50]), 1), rng.gauss(0, 1)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "bucket string, first bigint, v array<double>")
+    cut, levels = NN._cut_cells(df.select("first", "v", F.array("bucket").alias("path")), 2, 100, 8)
+    sizes = cut.groupBy(F.element_at("path", -1).alias("c")).count()
+    n, most = sizes.agg(F.count("c"), F.max("count")).first()
+    assert most <= 100 and n >= 30 and levels > 1
+    bounds = NN._solve(cut.select(F.element_at("path", -1).alias("node"), F.lit(False).alias("asks"), "first", "v"), NN._within, 100)
+    assert NN._follow(cut, bounds.groupBy("first").agg(F.min("d").alias("d")), 2, levels).count() < n * n / 3
 
 
 def test_leakage_equals_brute_force_for_all_target_lengths(spark):
