@@ -7,6 +7,7 @@ keeps the number of different bins bounded as well. Documents then look up their
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,7 +16,8 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.functions import arrow_udf
@@ -27,17 +29,17 @@ END_ID = 1
 #: Pieces of one length that one task ranks; lengths with more are split by a hash.
 RANKED = 50_000
 #: Distinct words a worker remembers the ids of.
-REMEMBERED = 250_000
-MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
+REMEMBERED = 500_000
+MARKS = frozenset(".,;:!?")
 #: Bytes of text encoded at a time.
-STEP = 1 << 20
+STEP = 16 << 20
 
 
 # ---- tokens ----------------------------------------------------------------------------------
 class Places(dict):
     """Numbers words in the order they come up."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         return n
 
@@ -65,7 +67,7 @@ class Encoder:
     def ids_of(self, words: list[str]) -> list[list[int]]:
         """Words of lower-case letters alone are one unit to the tokenizer: they go in one text and are told apart by their ends."""
         plain = [i for i, w in enumerate(words) if w.isalpha() and w == w.lower()]
-        ids = self.tokenizer.encode(" ".join([words[i] for i in plain]), add_special_tokens=False).ids
+        ids = self.tokenizer.encode_batch_fast([" ".join([words[i] for i in plain])], add_special_tokens=False)[0].ids
         cuts = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
         if len(cuts) != len(plain):
             plain, cuts = [], []
@@ -77,35 +79,37 @@ class Encoder:
             out[i] = e.ids
         return out
 
-    def learn(self, words: list[bytes]) -> None:
-        stem_of = {w: w[:-1] for w in words if w[-1:] in MARKS and b"a" <= w[-2:-1] <= b"z"}
+    def learn(self, words: list[str]) -> None:
+        stem_of = {w: w[:-1] for w in words if w[-1:] in MARKS and "a" <= w[-2:-1] <= "z"}
         units = list({*(stem_of.get(w, w) for w in words), *(w[-1:] for w in stem_of)})
         ids = {}
         for at in range(0, len(units), 1000):
             part = units[at : at + 1000]
-            ids.update(zip(part, self.ids_of([u.decode() for u in part]), strict=True))
+            ids.update(zip(part, self.ids_of(part), strict=True))
         found = [ids[stem_of[w]] + ids[w[-1:]] if w in stem_of else ids[w] for w in words]
         self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, found), np.int64, len(found))))
         self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), np.int32)))
 
-    def encode(self, texts: list[bytes], end_id: int | None) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text after the other, and how many each text has."""
         # a special token is not to arise from lower-casing
-        runs = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        runs = pc.ascii_split_whitespace(lowered)
+        words = runs.flatten().dictionary_encode()
         known = len(self.places)
-        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(runs)), np.int64, sum(map(len, runs)))
+        of_word = np.fromiter(map(self.places.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
         self.learn(list(islice(reversed(self.places), len(self.places) - known))[::-1])
-        begins = np.cumsum(self.sizes) - self.sizes
-        n = self.sizes[at]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(begins[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        stops = np.concatenate(([0], ends))[np.cumsum([len(r) for r in runs])]
-        out = [part if end_id is None else np.append(part, np.int32(end_id)) for part in np.split(ids, stops[:-1])]
+        at = of_word[words.indices.to_numpy()]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(self.sizes))), pa.int32()), pa.array(self.flat))
+        ids = lists.take(pa.array(at)).flatten().to_numpy()
+        ends = np.concatenate(([0], np.cumsum(self.sizes[at])))
+        sizes = np.diff(ends[runs.offsets.to_numpy() - runs.offsets[0].as_py()])
         if len(self.places) > REMEMBERED:
             while len(self.places) > max(known, REMEMBERED):
                 self.places.popitem()
             kept = len(self.places)
             self.flat, self.sizes = self.flat[: int(self.sizes[:kept].sum())], self.sizes[:kept]
-        return out
+        return ids, sizes
 
 
 @lru_cache(maxsize=2)
@@ -114,39 +118,38 @@ def _encoder(tokenizer_path: str) -> Encoder:
     return Encoder(tokenizer_path)
 
 
-def _pieces(tokenizer_path: str, end_id: int | None, capacity: int):
+def _pieces(tokenizer_path: str, end_id: int | None, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            ends = np.cumsum([len(t.as_buffer()) for t in texts])
-            cuts = np.flatnonzero(np.diff(ends // STEP, prepend=-1))  # about STEP bytes of text at a time
+            texts = batch.column(1)
+            until = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+            cuts = np.flatnonzero(np.diff(until // STEP, prepend=-1))  # about STEP bytes of text at a time
             for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True):
-                rows, piece, start, parts = [], [], [], []
-                for i, ids in enumerate(encoder.encode(texts.slice(a, b - a).to_pylist(), end_id), int(a)):
-                    for at in range(0, len(ids), capacity):
-                        rows.append(i), piece.append(at // capacity), start.append(at), parts.append(ids[at : at + capacity])
-                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), lists, pa.array(sizes)], ["doc_id", "piece", "start", "ids", "length"])
+                ids, sizes = encoder.encode(texts.slice(a, b - a))
+                if end_id is not None:
+                    sizes = sizes + 1
+                    own = np.ones(len(ids) + len(sizes), bool)
+                    own[np.cumsum(sizes) - 1] = False
+                    whole = np.full(len(own), end_id, np.int32)
+                    whole[own] = ids
+                    ids = whole
+                pieces = -(-sizes // capacity)
+                rows = np.repeat(np.arange(len(sizes)), pieces)
+                piece = np.arange(len(rows)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, sizes[rows] - start)
+                ends = np.concatenate(([0], np.cumsum(length)))
+                unsigned = memoryview(ids.astype("<u4", copy=False)).cast("B") if len(ids) else memoryview(b"")
+                crc = [zlib.crc32(unsigned[4 * x : 4 * y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                columns = {"doc_id": batch.column(0).take(pa.array(rows + a)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(crc, pa.int64())}
+                if keep_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
-def ids_crc32(ids: Column) -> Column:
-    """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
-
-    @arrow_udf("bigint")
-    def crc(lists: pa.Array) -> pa.Array:
-        import zlib
-
-        values = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-        at = lists.offsets.to_numpy()
-        return pa.array([zlib.crc32(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())
-
-    return crc(ids)
-
-
 # ---- plan ------------------------------------------------------------------------------------
 @dataclass
 class Plan:
@@ -266,17 +269,19 @@ def place(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, length_
     return seated.select(*pieces.columns, "seat.sequence_id", "seat.offset")
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """``(doc_id, piece, start, ids, length)`` of all documents, written to the shared folder.
+def tokenized_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int | None = END_ID, keep_ids: bool = True) -> DataFrame:
+    """``(doc_id, piece, start, length, ids_crc32, ids)`` of all documents, written to the shared folder.
 
+    ``ids_crc32`` is the unsigned checksum of a piece's ids as little-endian unsigned 32-bit integers; ``ids`` can be left out.
     Null and empty texts are one piece with the end id. Only texts longer than the capacity are cut; the
     last piece holds the rest. Repeated rows are packed again; an empty table gives no pieces.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return frozen(rows.mapInArrow(_pieces(tokenizer_path, end_id, capacity), f"doc_id {kind}, piece int, start long, ids array<int>, length long"), "pieces")
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
+    return frozen(rows.mapInArrow(_pieces(tokenizer_path, end_id, capacity, keep_ids), schema), "pieces")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, **kw) -> DataFrame:
-    """All pieces with their ids and their place: ``doc_id, piece, start, ids, length, sequence_id, offset``."""
+    """All pieces with their ids and their place: the columns of ``tokenized_pieces``, ``sequence_id`` and ``offset``."""
     return place(tokenized_pieces(docs, tokenizer_path, **kw), ["doc_id", "piece"])

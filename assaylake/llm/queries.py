@@ -33,7 +33,7 @@ def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    pieces = packing.tokenized_pieces(docs, tokenizer_path()).withColumn("ids_crc32", packing.ids_crc32(F.col("ids"))).drop("ids")
+    pieces = packing.tokenized_pieces(docs, tokenizer_path(), keep_ids=False)
     return packing.place(pieces, ["doc_id", "piece", "ids_crc32"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
