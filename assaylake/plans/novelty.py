@@ -18,6 +18,7 @@ from assaylake.operators.nearest import nearest_prior_vector
 from assaylake.plans import rewards as _rewards  # noqa: F401  (its views are used below)
 from assaylake.plans.catalog import query
 from assaylake.plans.oracle import cte, features_sql, sql
+from assaylake.session import cut_lineage
 from assaylake.sources import views as V
 
 WINDOWS = {"lab/m0": 32000, "lab/m1": 128000, "lab/m2": 200000}
@@ -166,14 +167,35 @@ def _(t):
     return scored(t).select("k", "novelty", F.size("novelty_reasons").alias("reasons"))
 
 
+# runs before 1998 are stored evidence: their observations, outcomes and candidates; later runs are the batch
+cte("hist_base", """
+ SELECT (SELECT map_from_entries(list((d, n))) FROM (SELECT task_domain AS d, count(*) AS n FROM obs WHERE year(started_at) < 1998 GROUP BY 1)) AS domains,
+  coalesce((SELECT list(DISTINCT fsig) FROM stored_cand), []) AS known_sigs, coalesce((SELECT list(DISTINCT tool_key) FROM stored_cand), []) AS known_tools""", "obs", "stored_cand")
+cte("stored_cand", "SELECT * FROM nov WHERE year(started_at) < 1998 AND (novelty >= 0.35 OR critical_failure OR user_correction)", "nov")
+cte("late", "SELECT * FROM sig2 WHERE year(started_at) >= 1998", "sig2")
+cte("nov_late", """
+ SELECT l.k, l.started_at, 5.0::DOUBLE / (count(*) OVER (PARTITION BY task_domain ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + coalesce(domains[task_domain], 0) + 5) AS domain_rarity,
+  CASE WHEN NOT (error_key = '' AND coalesce(completed, false)) AND NOT list_contains(known_sigs, fsig) AND row_number() OVER (PARTITION BY fsig ORDER BY seq) = 1 THEN 1 ELSE 0 END AS new_failure_signature,
+  CASE WHEN tool_key <> '' AND NOT list_contains(known_tools, tool_key) AND row_number() OVER (PARTITION BY tool_key ORDER BY seq) = 1 THEN 1 ELSE 0 END AS new_tool_combination
+ FROM late l, hist_base""", "late", "hist_base")
+
+
 @query("novelty_history", sql("""
- SELECT batch, count(*) AS runs, round(avg(domain_rarity), 6) AS mean_rarity, sum(new_failure_signature)::BIGINT AS new_signatures, sum(new_tool_combination)::BIGINT AS new_tools
- FROM (SELECT *, year(started_at) AS batch FROM nov1) GROUP BY batch""", "nov1"))
+ SELECT year(l.started_at) AS batch, count(*) AS runs, round(avg(l.domain_rarity), 6) AS mean_rarity, sum(l.new_failure_signature)::BIGINT AS new_signatures, sum(l.new_tool_combination)::BIGINT AS new_tools,
+  sum(CASE WHEN nc >= 20 AND sc > 0 AND abs(final_cost - mc) / sc >= 3 THEN 1 ELSE 0 END)::BIGINT AS unusual_costs, sum(CASE WHEN nl >= 20 AND sl > 0 AND abs(final_latency_ms - ml) / sl >= 3 THEN 1 ELSE 0 END)::BIGINT AS unusual_latencies
+ FROM nov_late l JOIN nov1 USING (k) GROUP BY 1""", "nov_late", "nov1"))
 def _(t):
-    # history and batch are one table under one order, so results do not depend on batch borders
-    f = N.first_seen_tool_combo(N.first_seen_failure_signature(N.first_seen_domain_rarity(V.run_facts(t))))
-    return f.groupBy(F.year("started_at").alias("batch")).agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("domain_rarity"), 6).alias("mean_rarity"),
-                                                             F.sum("new_failure_signature").cast("bigint").alias("new_signatures"), F.sum("new_tool_combination").cast("bigint").alias("new_tools"))
+    facts = V.run_facts(t)
+    stored = facts.filter(F.year("started_at") < 1998)
+    candidates = cut_lineage(N.select_candidates(scored_rows(stored, V.runs(t).filter(F.year("started_at") < 1998), "k")).select("error_key", "completed", "tool_key"))
+    start = cut_lineage(N.stored_context(V.observations(t).filter(F.year("started_at") < 1998), stored, candidates))
+    f = facts.filter(F.year("started_at") >= 1998)
+    f = N.first_seen_tool_combo(N.first_seen_failure_signature(N.first_seen_domain_rarity(f, start), start), start)
+    f = N.running_outlier(f, "final_cost", "unusual_cost", start=start, kind="cost")
+    f = N.running_outlier(f, "final_latency_ms", "unusual_latency", start=start, kind="latency")
+    total = lambda c, name: F.sum(c).cast("bigint").alias(name)
+    return f.groupBy(F.year("started_at").alias("batch")).agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("domain_rarity"), 6).alias("mean_rarity"), total("new_failure_signature", "new_signatures"),
+                                                             total("new_tool_combination", "new_tools"), total("unusual_cost", "unusual_costs"), total("unusual_latency", "unusual_latencies"))
 
 
 @query("select_candidates", sql("SELECT k FROM nov WHERE novelty >= 0.35 OR critical_failure OR user_correction", "nov"))

@@ -159,15 +159,31 @@ def _(t):
 
 
 # ---- streams: run until the input is used up, then read the result ------------------------------
-@query("stream_import", """
- SELECT 'first' AS pass, 'imported' AS outcome, count(DISTINCT o_orderkey // 50) AS batches FROM orders UNION ALL SELECT 'replay', 'duplicate', count(DISTINCT o_orderkey // 50) FROM orders""")
+def split_stream(df, folder, order, files=4):
+    """Rows written as files by their order, neighbours in different files, and read back as a stream of one file a micro-batch."""
+    df.repartition(files, F.pmod(F.col(order), F.lit(files))).write.parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+_DELIVERED = """SELECT o_orderkey AS k, o_orderkey // 50 AS b, d AS delivery, o_custkey + CASE WHEN d > 1 AND (o_orderkey // 50) % 4 = 1 AND o_orderkey % 50 = 7 THEN 1 ELSE 0 END AS content FROM orders, (SELECT unnest([1, 2, 3]) AS d)
+  WHERE d > 1 OR (o_orderkey // 50) % 5 > 0"""
+
+
+@query("stream_import", f"""
+ WITH d AS ({_DELIVERED}), c AS (SELECT b, delivery, sha256(string_agg(k || '|' || content, ',' ORDER BY k)) AS sum, count(*) AS n FROM d GROUP BY ALL),
+ f AS (SELECT *, first_value(sum) OVER (PARTITION BY b ORDER BY delivery) AS known, row_number() OVER (PARTITION BY b ORDER BY delivery) AS i FROM c)
+ SELECT delivery, CASE WHEN i = 1 THEN 'imported' WHEN sum = known THEN 'duplicate' ELSE 'conflict' END AS outcome, count(*) AS batches, sum(n)::BIGINT AS records FROM f GROUP BY ALL""")
 def _(t):
+    # the first delivery lacks every fifth batch; later ones bring all again, some with other content. Each is spread over several files
     base = shared_dir(t.spark, "intake")
-    # per file: one row per (batch id, run) with its hash; the sink sums them per batch
-    rows = ST.parquet_stream(t.spark, t.folder, "orders").selectExpr("concat('b-', o_orderkey div 50) AS batch_id", "sha2(concat('b-', o_orderkey div 50), 256) AS checksum")
-    for run in ("first", "replay"):
-        ST.stream_import(rows, f"{base}/ledger", f"{base}/out", f"{base}/{run}")
-    return t.spark.read.parquet(f"{base}/out").groupBy(F.col("run").alias("pass"), "outcome").agg(F.count(F.lit(1)).alias("batches"))
+    rows = t.orders.selectExpr("o_orderkey AS k", "concat('b-', o_orderkey div 50) AS batch_id", "o_orderkey div 50 AS b", "o_custkey AS content")
+    sized = rows.join(rows.groupBy("b").agg(F.count(F.lit(1)).alias("size")), "b")
+    for d in (1, 2, 3):
+        changed = F.expr("CASE WHEN b % 4 = 1 AND k % 50 = 7 THEN 1 ELSE 0 END") if d > 1 else F.lit(0)
+        sent = (sized if d > 1 else sized.filter("b % 5 > 0")).withColumn("content", F.col("content") + changed).withColumn("delivery", F.lit(d).cast("long"))
+        stream = split_stream(sent.select("k", "batch_id", "delivery", "size", *ST.record_digest("k", "content")), f"{base}/sent-{d}", "k", 2)
+        ST.stream_import(stream, f"{base}/ledger", f"{base}/delivery-{d}")
+    return t.spark.read.parquet(f"{base}/ledger").groupBy("delivery", "outcome").agg(F.count(F.lit(1)).alias("batches"), F.sum("n").alias("records"))
 
 
 @query("stream_event_progress", "SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS failures, arg_max(event_type, event_id) AS last_event FROM events GROUP BY 1")
@@ -184,11 +200,19 @@ def _(t):
     return t.spark.read.parquet(data).select("event_id", "event_type")
 
 
-@query("stream_novelty_first_seen", "SELECT DISTINCT event_type || '|' || user_id AS signature FROM events")
+@query("stream_novelty_first_seen", sql("SELECT k, round(domain_rarity, 9) AS domain_rarity, new_failure_signature, new_tool_combination FROM nov1 WHERE year(started_at) >= 1998", "nov1"))
 def _(t):
-    data, check = ST.folders(t.spark, "firstseen")
-    ST.run_available(ST.first_seen_signatures(ST.parquet_stream(t.spark, t.folder, "events")), ST.epoch_sink(data), "append", check)
-    return t.spark.read.parquet(data).select("signature")
+    # runs before 1998 are stored evidence; later ones arrive in three spans, each taken by a new run of the job
+    facts = V.run_facts(t).withColumn("year", F.year("started_at"))
+    start = ST.novelty_keys(facts.filter("year < 1998")).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
+    base = shared_dir(t.spark, "firstseen")
+    for span in ("year = 1998", "year IN (1999, 2000)", "year > 2000"):
+        keys = ST.novelty_keys(facts.filter(span))
+        keys.write.mode("append").parquet(f"{base}/arrived")
+        with ST.rocksdb_state(t.spark):
+            ST.run_available(ST.prior_counts(t.spark.readStream.schema(keys.schema).parquet(f"{base}/arrived"), start), ST.epoch_sink(f"{base}/data"), "append", f"{base}/checkpoint")
+    flags = ST.novelty_flags(facts, t.spark.read.parquet(f"{base}/data"))
+    return flags.withColumn("domain_rarity", F.round("domain_rarity", 9))
 
 
 @query("stream_window_metrics", """
