@@ -23,17 +23,25 @@ from pyspark.sql.functions import arrow_udf
 
 from assaylake.llm.labelled_pages import PAGES
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr picture q s samp small source span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr picture q s samp small source span strike strong sub sup time tt u var wbr "
+                   "math mi mn mo mrow ms mspace mtext msup msub msubsup mfrac msqrt mroot munder mover munderover mstyle semantics".split())
 VOID = frozenset("area base col embed hr img input link meta param source track wbr br".split())
 #: Left out with all they hold.
-DROPPED = "script|style|title|noscript|template|iframe|svg|math|object|canvas|audio|video"
+DROPPED = "script|style|title|noscript|template|iframe|canvas|audio|video"
+#: Elements that ``/>`` ends, besides all that stand inside one of them.
+FOREIGN = frozenset(("svg", "math"))
 #: Start tags that end an open element of the listed kinds, up to the nearest of the limits.
 CLOSES = {
     "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr",)), "th": ("td th", ("tr",)),
     "option": ("option", ("select",)), "tbody": ("thead tbody tfoot tr td th", ("table",)), "tfoot": ("thead tbody tfoot tr td th", ("table",)), "body": ("head", ("html",)),
 }
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({DROPPED})(?=[\s/>]).*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?/][^>]*(?:>|\Z)|([^<]+|<)", re.S | re.I)
+# Attributes up to the end of a tag. Nothing inside is tried twice (possessive), and a new tag ends an open one, so a
+# page takes time in proportion to its length.
+_INSIDE = r"""((?:[^<>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=]|<(?![a-zA-Z/!?]))*+)"""
+# 1 and 2: a dropped element and its attributes; 3 to 5: end, name and attributes of a tag; 6: text
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({DROPPED})(?=[\s/>]){_INSIDE}>|<(/?)([a-zA-Z][^\s/><]*){_INSIDE}>|<[!?/][^<>]*+(?:>|\Z)?|([^<]+|<)", re.S | re.I)
+#: Where a dropped element ends that has no end tag: at the next start or end tag.
+NEXT_TAG = re.compile(r"</?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|style|aria-hidden|data-main|data-not)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|$)", re.I)
 
 TAGS = {t: g for g, names in enumerate((
@@ -84,13 +92,26 @@ def _attributes(raw: str) -> tuple[tuple[int, ...], bool | None]:
     return tuple(sorted(found)), label
 
 
+def _after_dropped(html: str, name: str, raw: str, at: int, gone: dict[str, int]) -> int:
+    """Where a dropped element ends: at its end tag, or at the next tag if it has none. ``gone`` holds names without end tags ahead."""
+    if raw.endswith("/") and name not in ("script", "style", "title"):
+        return at
+    if gone.get(name) is None:
+        end = re.compile(rf"</{name}\s*+>", re.I).search(html, at)
+        if end:
+            return end.end()
+        gone[name] = at
+    found = NEXT_TAG.search(html, at)
+    return found.start() if found else len(html)
+
+
 def parse(html: str) -> Dom:
     """Block elements in page order with their features, and the runs of text between block borders."""
     parent, features, label, names = [-1], [[0, F_TAG + OTHER_TAG]], [0], ["#root"]
     chars, linked = [0], [0]
     stack, blocks = [0], []
     run: list[str] = []
-    in_link = 0
+    link_depth = 0  # open elements where a link began, if one is open
 
     def flush():
         if run:
@@ -99,28 +120,40 @@ def parse(html: str) -> Dom:
             if text:
                 blocks.append((stack[-1], text))
 
+    def unlink():
+        """A link ends with the element that it began in, whether it was closed or not."""
+        nonlocal link_depth
+        if link_depth > len(stack):
+            link_depth = 0
+
     def close(kinds, limits=()):
         for at in range(len(stack) - 1, 0, -1):
             name = names[stack[at]]
             if name in kinds:
                 flush()
                 del stack[at:]
+                unlink()
                 return
             if name in limits:
                 return
 
-    for m in TOKEN.finditer(html):
-        text = m[5]
+    at, gone = 0, {}
+    while m := TOKEN.match(html, at):
+        at = m.end()
+        text = m[6]
         if text is not None:
             if "&" in text:
                 text = unescape(text)
             run.append(text)
             n = len(text)
             chars[stack[-1]] += n
-            if in_link:
+            if link_depth:
                 linked[stack[-1]] += n
             continue
-        name = m[3]
+        if m[1]:
+            at = _after_dropped(html, m[1].lower(), m[2], at, gone)
+            continue
+        name = m[4]
         if name is None:
             continue
         name = name.lower()
@@ -128,8 +161,8 @@ def parse(html: str) -> Dom:
             run.append(" ")
         elif name in INLINE:
             if name == "a":
-                in_link = 0 if m[2] else 1
-        elif m[2]:
+                link_depth = 0 if m[3] else len(stack)
+        elif m[3]:
             close((name,), ("table",) if name in ("p", "li", "div") else ())
         else:
             if names[stack[-1]] == "p":
@@ -139,9 +172,9 @@ def parse(html: str) -> Dom:
                 for _ in kinds.split():
                     close(kinds.split(), limits)
             flush()
-            if name in VOID and name != "input":
+            raw = m[5]
+            if name in VOID and name != "input" or raw.endswith("/") and (name in FOREIGN or any(names[k] in FOREIGN for k in stack)):
                 continue
-            raw = m[4]
             extra, mark = _attributes(raw) if raw and not raw.isspace() else ((), None)
             up = stack[-1]
             parent.append(up)
@@ -238,7 +271,8 @@ def main_text(html: str, model: TreeModel) -> str:
 def extract(pages: DataFrame, html_col: str = "html", name: str = "text", model: TreeModel | None = None) -> DataFrame:
     """All columns (one named like the result gives way) and the main text.
 
-    Null and empty pages give an empty text. Pages are read whole; repeated rows are read each.
+    Null and empty pages give an empty text. Pages are read whole, in time proportional to their length; repeated rows are
+    read each; a block as likely content as not is left out; an empty table gives no rows.
     """
     fitted = model or fit()
 

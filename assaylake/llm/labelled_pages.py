@@ -32,4 +32,9 @@ PAGES = (
     f"<html><body data-main>{_MID}</body></html>",
     "<html data-main>J k l</html>",
     f"<body><div class=nav>{_LIST}</div><p data-main>{_MID}</p><p data-main>M n.</p><div class=footer>{_MID}</div></body>",
+    f"<html><body><nav>{_LIST}</nav><article data-main><h1>Ferry</h1><p>{_LONG}</p><div class='notice' data-not><p>{_MID}</p></div><p>{_MID}</p><p>Fine.</p></article><footer>{_MID}</footer></body></html>",
+    f"<html><body><article data-main><h1>Mill</h1><div class=notice data-not>{_MID}</div><p>{_LONG}</p><p>{_LONG}</p></article></body></html>",
+    f"<html><body><div class=content data-main><p>{_LONG}</p><div class='alert notice' data-not>{_LONG}</div><p>{_LONG}</p><div id=newsletter data-not><p>{_LONG}</p></div></div><div class=footer>{_MID}</div></body></html>",
+    f"<html><body><article data-main><div class=notice data-not>{_MID}</div><p>{_MID}</p><p>{_MID}</p><div class='notice box' data-not><p>{_MID}</p></div></article></body></html>",
+    f"<html><body><nav>{_LIST}</nav><article data-main><div class=ad data-not>{_MID}</div><p>{_MID}</p><div class=notice data-not><p>{_LONG}</p></div><div class=share data-not>{_MID}</div><p>{_MID}</p></article></body></html>",
 )

@@ -2,6 +2,7 @@
 
 import math
 import zlib
+import time
 from collections import Counter
 
 import numpy as np
@@ -200,3 +201,36 @@ def test_articles_of_all_pages_are_whole(spark):
         blocks = [" ".join(unescape(re.sub(r"</?b>", "", x).replace("<br>", " ")).split()) for x in re.split(r"</?p>|</?h1>", inner)]
         wrong += r["text"] != "\n".join(b for b in blocks if b)
     assert wrong == 0
+
+
+ARTICLE = "<p>The council met on Monday and spoke about the old bridge for two hours.</p><p>It will be closed in spring, said the mayor, and opened again in autumn.</p>"
+WANTED = "The council met on Monday and spoke about the old bridge for two hours.\nIt will be closed in spring, said the mayor, and opened again in autumn."
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><body><nav><svg class='i'/><a href=/>Home</a></nav><article><svg class=\"i\"/>{ARTICLE}</article></body></html>",
+    f"<html><body><nav><ul><li><a href=/>Home<li><a href=/x>News</ul></nav><article>{ARTICLE}</article></body></html>",
+    f"<html><body><nav><a href=/>Home</nav><article>{ARTICLE}</article></body></html>",
+    f"<html><body><article><noscript>{ARTICLE}</article></body></html>",
+    f"<html><body><article><iframe src=x>{ARTICLE}</article></body></html>",
+    f"<html><body><article><iframe src=x />{ARTICLE}</article></body></html>",
+    f"<html><body><article>{ARTICLE}</article><script>var a = '<p>no</p>';</body></html>".replace("<p>no</p>", ""),
+    f"<html><body><article><svg><title>Icon</title><path d='M0'/></svg>{ARTICLE}</article></body></html>",
+    f"<html><body><article><div class=notice>We use cookies on this page, please accept them all.</div>{ARTICLE}<div class='notice'><p>Read the notice about our cookies first, and then the rest of it.</p></div></article></body></html>",
+    f"<html><body><article data-x='a>b' title=\"it's\">{ARTICLE}</article></body></html>",
+    f"<html><body><article x=\"unclosed>{ARTICLE}</article></body></html>",
+])
+def test_articles_survive_odd_markup(page):
+    assert extraction.main_text(page, extraction.fit()) == WANTED
+
+
+def test_formulas_stay_in_their_sentence():
+    page = "<html><body><article><p>The area of the field is <math><mi>a</mi><mo>=</mo><mn>12</mn></math> square miles, as the map of the county shows.</p></article></body></html>"
+    assert extraction.main_text(page, extraction.fit()) == "The area of the field is a=12 square miles, as the map of the county shows."
+
+
+@pytest.mark.parametrize("page", ['<a ' + '"x" ' * 50_000, "<a " * 50_000, '<a b="' * 50_000, "<a b='" * 50_001, "<!" * 50_000, "</" * 50_000, "<script>" * 20_000, "<svg/>" * 20_000, "<a =\"'" * 30_000, "<" * 100_000, "<a " + '"' * 100_000])
+def test_markup_is_read_in_linear_time(page):
+    start = time.time()
+    extraction.parse(page)
+    assert time.time() - start < 3
