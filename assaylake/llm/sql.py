@@ -24,14 +24,14 @@ def _licenses() -> str:
     places = lambda t: "list_filter(range(0, len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = {_text(x)}" for k, x in enumerate(t.words)) + ")"
     phrases = [t for t in L.PHRASES if t.phrase]
     cases = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN {_text(t.label)} END" for k, t in enumerate(phrases))
-    notices = ", ".join(f"({_text(t.label)}, {_list(sorted(set(t.words)))}, {t.need})" for t in L.NOTICES)
+    notices = ", ".join(f"({_text(t.label)}, {_list(sorted(set(t.words)))}, {_list(t.telling)}, {t.need})" for t in L.NOTICES)
     every = " || ".join(f"p{k}" for k in range(len(phrases)))
     return f"""
  WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
  b AS (SELECT *, {", ".join(f"{places(t)} AS p{k}" for k, t in enumerate(phrases))} FROM d),
- n AS (SELECT * FROM (VALUES {notices}) AS t(label, members, need)),
+ n AS (SELECT * FROM (VALUES {notices}) AS t(label, members, telling, need)),
  k AS (SELECT r, w[g * {L.STRIDE} + 1 : g * {L.STRIDE} + {2 * L.STRIDE}] AS block FROM (SELECT r, w, unnest(range(0, (len(w) + {L.STRIDE - 1}) // {L.STRIDE})) AS g FROM d)),
- m AS (SELECT r, label, len(list_intersect(block, members)) / len(members) AS share FROM k, n WHERE len(list_intersect(block, members)) >= need),
+ m AS (SELECT r, label, len(list_intersect(block, members)) / len(members) AS share FROM k, n WHERE len(list_intersect(block, members)) >= need AND list_has_all(block, telling)),
  h AS (SELECT r, list(label) AS found, max(share) AS share FROM m GROUP BY r)
  SELECT doc_id, len(w)::BIGINT AS n_words, len(a)::BIGINT AS n_base, list_min(a)::BIGINT AS first_word, list_max(a)::BIGINT AS last_word,
   array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || coalesce(found, []))), ',') AS labels,

@@ -33,6 +33,18 @@ def test_license_scan(make):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+RELATED = [("licensed under the terms of the GNU General Public License", "gpl"), ("Released under the terms of the Apache License", "apache"), ("Licensed under the Mozilla Public License version 2 0", ""), ("licensed under CC BY 4.0", "cc-by"),
+           ("4 ideas by our team: 0 of them were licensed under pressure", ""), ("licensed under the terms of the GNU Lesser General Public License", "lgpl"), ("Licensed under the terms of the GNU Affero General Public License", "agpl"),
+           ("licensed under CC BY-NC 4.0", "cc-by,cc-by-nc"), ("x " * 200_000 + "subject to the terms of the Mozilla Public License", "mpl"), ("released under terms of the MIT license", "mit")]
+
+
+def test_relatives_of_a_license_are_told_apart(make):
+    docs = make([t for t, _ in RELATED])
+    got = result(licenses.scan(docs).select("doc_id", "license_scan.*"))
+    assert [r["labels"] for r in got] == [w for _, w in RELATED]
+    same(got, by_sql(sql.LICENSES, documents=docs), "doc_id")
+
+
 URLS = [None, "", "no scheme", "http://a.NET", "http://a.NET/x?y", "https://net/", "x://example.net/en/a", "x://b.example.net/en", "x://notexample.com/de/", "x://w.example.com/de/q#f", "x://a.org/fr/", "x://org/fr/x", "x://a.org:80/fr/",
         "x://m.free-bets.example.com/", "x://free.bets.example.org/fr/", "x://a.com/casino", "x://a.com/casinos", "a://b://c.net/", "x://é.net/ü", "x://a.com?u=http://b.net/", "://net/", "x://a.com/CASINO/1"]
 
