@@ -29,10 +29,10 @@ END_ID = 1
 #: Pieces of one length that one task ranks; lengths with more are split by a hash.
 RANKED = 50_000
 #: Distinct words a worker remembers the ids of.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 MARKS = frozenset(".,;:!?")
 #: Bytes of text encoded at a time.
-STEP = 16 << 20
+STEP = 4 << 20
 
 
 # ---- tokens ----------------------------------------------------------------------------------
@@ -146,6 +146,7 @@ def _pieces(tokenizer_path: str, end_id: int | None, capacity: int, keep_ids: bo
                 if keep_ids:
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     return run
 
