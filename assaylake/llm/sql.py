@@ -71,15 +71,16 @@ def _quality() -> str:
 
 
 def _contamination() -> str:
-    span = max(map(len, C.MASKS))
-    key = lambda w, at: ", ".join(f"concat_ws(' ', {no}, {', '.join(f'{w}[{at} + {k + 1}]' for k, on in enumerate(m) if on == '1')})" for no, m in enumerate(C.MASKS))
+    # an overlap of w words with at most e others holds a run of (w - e) / (e + 1) equal ones: no seeds here
+    need = f"ceil({C.SAME} * least(len(iw), {C.WINDOW}) - 1e-9)::BIGINT"
+    run = lambda w: f"array_to_string({w}, ' ')"
     words = lambda t: f"list_filter(regexp_split_to_array(lower(coalesce({t}, '')), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: x <> '')"
     return f"""
  WITH i AS (SELECT DISTINCT item_id, {words('text')} AS iw FROM benchmark), d AS (SELECT doc_id, {words('text')} AS dw FROM documents),
- iv AS (SELECT item_id, iw, ip, unnest([{key('iw', 'ip')}]) AS key FROM (SELECT *, unnest(range(0, len(iw) - {span - 1})) AS ip FROM i WHERE len(iw) >= {span})),
- dv AS (SELECT doc_id, dp, unnest([{key('dw', 'dp')}]) AS key FROM (SELECT *, unnest(range(0, len(dw) - {span - 1})) AS dp FROM d WHERE len(dw) >= {span})),
- s AS (SELECT DISTINCT doc_id, item_id, dp - ip AS shift FROM iv JOIN dv USING (key)
-  UNION SELECT doc_id, item_id, dp FROM (SELECT doc_id, dw, unnest(range(0, len(dw))) AS dp FROM d) JOIN i ON len(iw) BETWEEN 1 AND {span - 1} AND dw[dp + 1 : dp + len(iw)] = iw),
+ n AS (SELECT *, ceil({need} / (least(len(iw), {C.WINDOW}) - {need} + 1))::BIGINT AS run FROM i WHERE len(iw) > 0),
+ iv AS (SELECT item_id, run, ip, {run("iw[ip + 1 : ip + run]")} AS key FROM (SELECT *, unnest(range(0, len(iw) - run + 1)) AS ip FROM n)),
+ dv AS (SELECT doc_id, run, dp, {run("dw[dp + 1 : dp + run]")} AS key FROM (SELECT *, unnest(range(0, len(dw) - run + 1)) AS dp FROM d, (SELECT DISTINCT run FROM n) WHERE len(dw) >= run)),
+ s AS (SELECT DISTINCT doc_id, item_id, dp - ip AS shift FROM iv JOIN dv USING (run, key)),
  l AS (SELECT doc_id, item_id, least({C.WINDOW}, len(iw)) AS width, list_transform(range(greatest(0, -shift), least(len(iw), len(dw) - shift)), lambda k: (iw[k + 1] = dw[k + shift + 1])::INT) AS eq FROM s JOIN i USING (item_id) JOIN d USING (doc_id)),
  o AS (SELECT doc_id, item_id, max(list_sum(eq)) AS equal FROM l WHERE len(eq) >= width AND list_max(list_transform(range(0, len(eq) - width + 1), lambda k: list_sum(eq[k + 1 : k + width]))) >= ceil({C.SAME} * width - 1e-9) GROUP BY ALL),
  r AS (SELECT doc_id, list(item_id ORDER BY item_id) AS items, max(equal) AS most FROM o GROUP BY doc_id)

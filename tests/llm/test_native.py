@@ -1,5 +1,7 @@
 """Licence scan, URL filter, quality rules and decontamination against their SQL, on odd rows too."""
 
+from itertools import combinations
+
 import duckdb
 import pytest
 from odd_rows import ODD, prose, result
@@ -107,6 +109,33 @@ def test_decontamination(spark, make):
     assert contamination.judge(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("length", range(4, 16))
+def test_every_substitution_within_the_threshold_leaves_a_seed(length):
+    others = min(length, contamination.WINDOW) - contamination.needed(min(length, contamination.WINDOW))
+    masks = contamination.block_masks(length) if length < contamination.WINDOW else contamination.MASKS
+    places = [(at, m) for m in masks for at in range(length - len(m) + 1)]
+    for changed in combinations(range(length), others):
+        assert any(all(not at <= i < at + len(m) or m[i - at] == "0" for i in changed) for at, m in places), changed
+
+
+def test_short_items_are_found_with_any_allowed_substitution(spark, make):
+    items = [(n, " ".join(f"item{n}word{k}" for k in range(n))) for n in range(3, 13)]
+    texts, want = [], []
+    for n, text in items:
+        others = n - contamination.needed(n)
+        for wrong in (others, others + 1):
+            for changed in combinations(range(n), wrong):
+                words = ["zzz" if k in changed else w for k, w in enumerate(text.split())]
+                texts.append("some words before " + " ".join(words) + " and after")
+                want.append(wrong <= others)
+    docs, bench = make(texts), spark.createDataFrame(items, "item_id long, text string")
+    got = result(contamination.judge(docs, bench))
+    assert [r["contaminated"] for r in got] == want
+    for r in got:
+        r["items"] = ",".join(map(str, r["items"]))
+    same(got, by_sql(sql.CONTAMINATION, documents=docs, benchmark=bench), "doc_id")
+
+
 @pytest.mark.parametrize("name", ["op1_license_scan", "op2_url_filter", "op6_quality_rules", "op8_decontamination"])
 def test_native_plans_hold_no_python(spark, name):
     from assaylake.llm.queries import QUERIES
