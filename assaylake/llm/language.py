@@ -19,10 +19,12 @@ from pyspark.sql.functions import arrow_udf
 
 from assaylake.llm.common import crc_remainder, whole_text
 
-#: Bytes of text per language, in expectation, that the statistics are learnt from.
+#: Bytes of text per language from which on no more documents are drawn to learn from.
 TRAIN_BYTES = 2_000_000
-#: Contexts of three bytes that keep a row of their own, the most frequent ones.
+#: Contexts of three bytes that keep a row of their own: an equal share for each language, its most frequent ones.
 CONTEXTS = 20_000
+#: Steps of the hash order for each power of two; a language's draw ends with a whole step.
+DRAW_STEPS = 64
 UNKNOWN = "und"
 PAD = b"   "
 #: Bytes of a text scored at a time.
@@ -41,14 +43,25 @@ class ContextTrees:
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        texts = batch.column(1).cast(pa.binary())
         for lang in sorted(set(langs)):
-            grams = []
+            grams, size = [], 0
+
+            def counted():
+                g, n = np.unique(np.concatenate(grams), return_counts=True)
+                return pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], ["lang", "gram", "n"])
+
             for i in np.flatnonzero(langs == lang):
-                b = np.frombuffer(PAD + texts[i], np.uint8).astype(np.int64)
-                grams.append((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:])
-            g, n = np.unique(np.concatenate(grams), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], ["lang", "gram", "n"])
+                padded = PAD + texts[int(i)].as_py()
+                for at in range(0, len(padded) - len(PAD), STEP):
+                    b = np.frombuffer(padded[at : at + STEP + len(PAD)], np.uint8).astype(np.int64)
+                    grams.append((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:])
+                    size += len(b)
+                    if size > 4 * STEP:
+                        yield counted()
+                        grams, size = [], 0
+            if grams:
+                yield counted()
 
 
 def _predict(counts: np.ndarray, lower: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -80,11 +93,12 @@ def build_trees(grams: dict[str, tuple[np.ndarray, np.ndarray]], documents: dict
         return code
 
     # rows: the empty context, then the seen contexts of one, two and three bytes
-    totals = np.concatenate([n for _, n in grams.values()])
     kept = [np.zeros(1, np.int64), *(np.unique(context(every, k)) for k in (1, 2))]
-    triple, where = np.unique(context(every, 3), return_inverse=True)
-    weight = np.bincount(where, totals)
-    kept.append(np.sort(triple[np.lexsort((triple, -weight))[:contexts]]))
+    frequent = []
+    for g, n in grams.values():
+        triple, where = np.unique(context(g, 3), return_inverse=True)
+        frequent.append(triple[np.lexsort((triple, -np.bincount(where, n)))[:max(1, contexts // len(languages))]])
+    kept.append(np.unique(np.concatenate(frequent)))
     starts = np.concatenate(([0], np.cumsum([len(k) for k in kept])))
     table = np.empty((starts[-1], columns, len(languages)), np.float32)
     for at, lang in enumerate(languages):
@@ -112,20 +126,29 @@ def build_trees(grams: dict[str, tuple[np.ndarray, np.ndarray]], documents: dict
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_bytes: int = TRAIN_BYTES) -> ContextTrees | None:
     """Frozen trees from labelled rows; rows with null text or label teach nothing. None without any labelled text.
 
-    Rows are drawn by a hash of id and text so that a language gives about ``train_bytes``; drawn texts are read whole.
-    The driver gets one row per language and the counts of distinct four-byte runs of that sample.
+    Documents of a language are drawn in the order of a hash of id and text until ``train_bytes`` are reached, one at
+    least; drawn texts are read whole. The order is followed in steps, ``DRAW_STEPS`` for each power of two, and the step that
+    reaches the bound is drawn whole. Equal rows have equal hashes, so they are drawn together or not at all. The driver gets
+    one row per language and step that occurs (4096 steps at most) and the counts of distinct four-byte runs of that sample.
     """
     known = docs.select(F.lower(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: (r["n"], r["size"]) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
-    if not sizes:
+    known = known.withColumn("step", F.floor(F.log2((F.shiftrightunsigned("h", 1) + 1).cast("double")) * DRAW_STEPS))
+    steps = known.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()
+    documents: dict[str, int] = {}
+    drawn_bytes: dict[str, int] = {}
+    last: dict[str, int] = {}
+    for r in sorted(steps, key=lambda r: (r["lang"], r["step"])):
+        documents[r["lang"]] = documents.get(r["lang"], 0) + r["n"]
+        if drawn_bytes.get(r["lang"], 0) < max(train_bytes, 1):
+            drawn_bytes[r["lang"]] = drawn_bytes.get(r["lang"], 0) + r["size"]
+            last[r["lang"]] = r["step"]
+    if not any(drawn_bytes.values()):
         return None
-    shares = docs.sparkSession.createDataFrame([(k, int(min(1.0, train_bytes / max(s, 1)) * (1 << 30))) for k, (_, s) in sizes.items()], "known_lang string, share long")
-    drawn = known.join(F.broadcast(shares), F.col("lang") == F.col("known_lang")).filter(F.pmod("h", F.lit(1 << 30)) < F.col("share")).select("lang", "text")
+    ends = docs.sparkSession.createDataFrame(sorted(last.items()), "known_lang string, last long")
+    drawn = known.join(F.broadcast(ends), F.col("lang") == F.col("known_lang")).filter(F.col("step") <= F.col("last")).select("lang", "text")
     counted = drawn.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    if counted.empty:
-        return None
     grams = {k: (part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.float64)) for k, part in counted.groupby("lang")}
-    return build_trees(grams, {k: n for k, (n, _) in sizes.items()})
+    return build_trees(grams, documents)
 
 
 def code_lengths(trees: ContextTrees, text: bytes) -> np.ndarray:
@@ -171,7 +194,10 @@ def predict(text: Column, trees: ContextTrees | None, spark) -> Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_of: int = 5) -> DataFrame:
-    """All columns, ``held_out`` (their label taught nothing), and ``prediction``."""
+    """All columns, ``held_out`` (their label taught nothing), and ``prediction``.
+
+    An empty table gives an empty one. Rows that repeat are predicted each, and all alike.
+    """
     held = crc_remainder(id_col, held_out_of) == 0
     trees = train(docs.filter(~held), text_col, lang_col, id_col)
     return docs.withColumns({"held_out": held, "prediction": predict(F.col(text_col), trees, docs.sparkSession)})

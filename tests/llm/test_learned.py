@@ -87,6 +87,22 @@ def test_language_of_odd_rows(make):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= set(range(len(ODD), len(ODD) + 30))
 
 
+def test_a_language_of_few_long_documents_is_learnt(make):
+    long = [(k, prose(70 + k, 4000)) for k in range(3)]
+    other = [(10 + k, "".join(chr(0x430 + (7 * k + j * j) % 32) if j % 6 else " " for j in range(400))) for k in range(60)]
+    docs = make([*long, *other], langs=["xx"] * 3 + ["yy"] * 60)
+    for bound in (0, 1, 50, 5000):
+        trees = language.train(docs, train_bytes=bound)
+        assert trees.languages == ["xx", "yy"]
+        assert np.argmin(language.code_lengths(trees, prose(70, 300).encode())) == 0 and np.argmin(language.code_lengths(trees, other[0][1].encode())) == 1
+    # contexts are ranked within a language, so a large one cannot push out those of a small one
+    grams = {"big": (np.arange(0x61616161, 0x61616161 + 20), np.full(20, 1e6)), "small": (np.array([0x62626263]), np.array([1.0]))}
+    trees = language.build_trees(grams, {"big": 1, "small": 1}, contexts=2)
+    columns, (b, c) = round(len(trees.node) ** (1 / 3)), trees.symbol[[0x62, 0x63]]
+    row = lambda *context: trees.node[(context[0] * columns + context[1]) * columns + context[2]]
+    assert row(b, b, b) != row(columns - 1, b, b) and trees.bits[row(b, b, b) * columns + c, 1] <= 1
+
+
 # ---- language model --------------------------------------------------------------------------
 def test_scores_match_a_plain_count(make, monkeypatch):
     monkeypatch.setattr(lm, "CLASSES", 40)
