@@ -30,10 +30,10 @@ CLASSES, CLASSES_PER_ROOT = 1500, 1.5
 COMMON = 200_000
 #: Training tokens, in expectation, between two averages of one shard's parameters, and those a task holds at once.
 SHARD_TOKENS, CHUNK_TOKENS = 500_000, 1 << 18
-#: Averages of the parameters. Each round reads all texts up to FULL_ROUNDS tokens; above, a half or a quarter, so that every text is read once at least.
-ROUNDS, FULL_ROUNDS = 4, 4_000_000
-#: Sums of parameters that reach the driver in a round.
-SUMS = 8
+#: Times every training text is learnt from, and averages of the parameters within a pass; the same at every size.
+PASSES, PARTS = 1, 4
+#: Parameters that a task adds up, and at most that many sums reach the driver in a round.
+FAN = 16
 #: Distinct words a counting task holds before it hands its counts on.
 HELD_WORDS = 1_000_000
 OTHER, END, START = 0, 1, 2
@@ -293,11 +293,23 @@ def _sum_shards(batches):
         yield row()
 
 
-def fit(train: DataFrame, totals: Totals, text_col: str = "text", id_col: str = "doc_id", classes: int | None = None, shard_tokens: int | None = None, full_rounds: int | None = None) -> LogBilinear | None:
+def _added(learnt: DataFrame, shards: int) -> DataFrame:
+    """``(part, n, blob)``, at most ``FAN`` rows: sums of ``(shard, n, blob)`` in a fixed order, ``FAN`` by ``FAN``."""
+    sums, groups = learnt.withColumnRenamed("shard", "part"), shards
+    while True:
+        groups = -(-groups // FAN)
+        rows = sums.select((F.col("part") % groups).alias("part"), F.col("part").alias("from_part"), "n", "blob").repartition(groups, "part").sortWithinPartitions("part", "from_part")
+        sums = rows.select("part", "n", "blob").mapInArrow(_sum_shards, "part long, n long, blob binary")
+        if groups <= FAN:
+            return sums
+
+
+def fit(train: DataFrame, totals: Totals, text_col: str = "text", id_col: str = "doc_id", classes: int | None = None, shard_tokens: int | None = None, passes: int | None = None) -> LogBilinear | None:
     """The neural model from all training texts; None without training texts.
 
-    A hash of id and text deals the texts to shards. In a round each shard is trained from the same parameters,
-    and the mean by tokens of what they learnt starts the next round.
+    A hash of id and text deals the texts to shards and to the parts of a pass. In a round each shard's texts of one part
+    are learnt from the same parameters, and the mean by tokens of what the shards learnt starts the next round. The means are
+    added up as a tree of ``FAN`` branches, so no task reads more than that many sets of parameters.
     """
     if not totals.ends:
         return None
@@ -310,18 +322,15 @@ def fit(train: DataFrame, totals: Totals, text_col: str = "text", id_col: str =
     counts = np.array([0, totals.ends, 0, *(n for _, n in top)], np.float64)
     counts[OTHER] = totals.tokens - counts.sum()
     unigram = unigram_of(counts)
-    full = full_rounds or FULL_ROUNDS
-    slices = 1 if totals.tokens <= full else 2 if totals.tokens <= 2 * full else ROUNDS
-    shards = max(1, round(totals.tokens / (slices * (shard_tokens or SHARD_TOKENS))))
+    shards = max(1, round(totals.tokens / (PARTS * (shard_tokens or SHARD_TOKENS))))
     marked = train.select(F.xxhash64(id_col, text_col).alias("mark"), whole_text(text_col).alias("text")).mapInArrow(_class_ids(index, kind), "mark long, ids binary")
-    dealt = marked.select(F.pmod("mark", F.lit(shards)).alias("shard"), F.pmod(F.shiftright("mark", 40), F.lit(slices)).alias("slice"), "mark", "ids")
+    dealt = marked.select(F.pmod("mark", F.lit(shards)).alias("shard"), F.pmod(F.shiftright("mark", 40), F.lit(PARTS)).alias("slice"), "mark", "ids")
     dealt = frozen(dealt.repartition(shards, "shard").sortWithinPartitions("shard", "mark", "ids"), "lm-ids")
     state, trained, context = untrained(unigram), 0, train.sparkSession.sparkContext
-    for turn in range(ROUNDS):
+    for turn in range((passes or PASSES) * PARTS):
         shared = context.broadcast(state)
-        learnt = dealt.filter(F.col("slice") == turn % slices).select("shard", "ids").mapInArrow(_train_shards(shared, unigram, kind, turn, CHUNK_TOKENS), "shard long, n long, blob binary")
-        sums = learnt.withColumn("part", F.pmod("shard", F.lit(SUMS))).repartition(SUMS, "part").sortWithinPartitions("part", "shard").select("part", "n", "blob").mapInArrow(_sum_shards, "part long, n long, blob binary")
-        rows = sorted(sums.collect(), key=lambda r: r["part"])
+        learnt = dealt.filter(F.col("slice") == turn % PARTS).select("shard", "ids").mapInArrow(_train_shards(shared, unigram, kind, turn, CHUNK_TOKENS), "shard long, n long, blob binary")
+        rows = sorted(_added(learnt, shards).collect(), key=lambda r: r["part"])
         if rows:
             tokens = sum(r["n"] for r in rows)
             state, trained = _shaped(sum(np.frombuffer(bytes(r["blob"])) for r in rows) / tokens, state), trained + tokens
@@ -371,6 +380,9 @@ def _scorer(shared):
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_of: int = 7, held_out: int = 2) -> DataFrame:
     """Per row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
+    ``score`` adds the neural model's log probabilities of the word classes; a word outside the classes adds to that of
+    "another word" its share of all counts outside them, whatever stands before it.
+
     Null and empty texts are one end token. Repeated rows are scored each. Without training rows every token
     is unknown and the model is the counts alone. Words outside the common ones meet the full count table by
     a join on (word, text) counts, so no word is left out.

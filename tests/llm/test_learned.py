@@ -141,17 +141,48 @@ def test_probabilities_are_normalised_and_better_than_counts(spark):
 def test_model_learns_from_all_texts(make, monkeypatch):
     docs = make([prose(i, 80) for i in range(60)])
     _, totals = lm.count_corpus(docs)
-    quarters = [lm.fit(docs, totals, shard_tokens=200, full_rounds=1) for _ in range(2)]
-    assert quarters[0].trained == totals.tokens and lm.fit(docs, totals).trained == lm.ROUNDS * totals.tokens
-    assert np.array_equal(quarters[0].norm, quarters[1].norm)  # means in a fixed order
-    # texts are not drawn by their share of the corpus
+    models = [lm.fit(docs, totals, shard_tokens=40) for _ in range(2)]  # 30 shards: two levels of sums
+    assert {m.trained for m in models} == {lm.PASSES * totals.tokens} and lm.fit(docs, totals, passes=3).trained == 3 * totals.tokens
+    assert np.array_equal(models[0].norm, models[1].norm)  # means in a fixed order
+    # every text is learnt from as often at any size of the corpus
     huge = lm.Totals(1 << 40, totals.types, totals.ends, totals.cut, totals.known)
-    assert lm.fit(docs, huge, shard_tokens=1 << 36).trained == totals.tokens
+    assert lm.fit(docs, huge, shard_tokens=1 << 36).trained == lm.PASSES * totals.tokens
     # classes follow the vocabulary
     monkeypatch.setattr(lm, "CLASSES", 5)
     assert [len(lm.fit(docs, lm.Totals(totals.tokens, v, totals.ends, totals.cut, totals.known)).classes) for v in (16, 400)] == [6, 30]
 
 
+def test_sums_of_parameters_take_several_levels(spark):
+    rows = [(k, k + 1, np.array([k, 2.0 * k, 1.0]).tobytes()) for k in range(600) if k % 5]
+    learnt = spark.createDataFrame(rows, "shard long, n long, blob binary").repartition(7)
+    got = lm._added(learnt, 600).collect()
+    assert 1 < len(got) <= lm.FAN and sum(r["n"] for r in got) == sum(n for _, n, _ in rows)
+    assert sum(np.frombuffer(bytes(r["blob"])) for r in got).tolist() == sum(np.frombuffer(b) for _, _, b in rows).tolist()
+
+
+def test_score_is_the_probability_that_the_parameters_give(make, monkeypatch):
+    monkeypatch.setattr(lm, "CLASSES", 30)
+    monkeypatch.setattr(lm, "CLASSES_PER_ROOT", 0.1)
+    docs = make([*ODD, *[prose(i % 5, 50 + i) for i in range(30)], "unseen words here"])
+    kept, whole = [], lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a, **k: kept.append(whole(*a, **k)) or kept[-1])
+    got = {r["doc_id"]: r["score"] for r in result(lm.score(docs))}
+    model, words = kept[0], lambda t: (t or "").translate({i: i + 32 for i in range(65, 91)}).encode().split()
+    rows = [(r["doc_id"], words(r["text"])) for r in docs.collect()]
+    spelt = Counter(w for i, ws in rows if held(i, 7) != 2 for w in ws if w not in model.classes)
+    last, before, target, bias = (x.astype(float) for x in (model.last, model.before, model.target, model.bias))
+    for i, ws in rows:
+        want, c2, c1 = 0.0, lm.START, lm.START
+        for w in [*ws, None]:
+            c = lm.END if w is None else model.classes.get(w, lm.OTHER)
+            logits = target @ (last[c1] + before[c2]) + bias
+            want += (logits[c] - logits.max() - math.log(np.exp(logits - logits.max()).sum())) / math.log(10)
+            if c == lm.OTHER:
+                want += math.log10((spelt[w] + 1) / (sum(spelt.values()) + len(spelt) + 1))
+            c2, c1 = c1, c
+        assert got[i] == pytest.approx(want, rel=1e-4, abs=1e-3), i
+
+
 def test_no_training_rows(make):
     ids = [i for i in range(200) if held(i, 7) == 2][:3]
     got = result(lm.score(make([(i, "some words") for i in ids])))
