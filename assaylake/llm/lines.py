@@ -1,6 +1,7 @@
 """Line dedup by a segment-partition edit join.
 
-A line within ``edits`` edits of another holds one of the other's ``edits + 1`` segments unchanged, near its place.
+Two lines are near within as many edits as the length of the shorter one allows. A line within ``edits`` edits of a
+shorter or equally long one holds one of that line's ``edits + 1`` segments unchanged, near its place.
 Lines are filed under (length, segment number, segment) and ask for the substrings that a segment of a shorter
 or equally long line can have moved to. Lines that meet are verified by a banded bit-parallel edit distance.
 
@@ -20,9 +21,10 @@ from pyspark.sql.functions import arrow_udf
 
 from assaylake.llm.common import frozen, whole_text
 
-EDITS = 2
-#: Code points from which lines are compared by edits; shorter ones only repeat exactly.
-MIN_CHARS = 40
+#: ``(code points, edits)``: lines from that length on may differ by so many edits; shorter ones only repeat exactly.
+LIMITS = ((20, 1), (40, 2), (400, 3))
+#: Bits of a key that hold the edits of its filed lines.
+EDIT_BITS = 4
 #: Rows under one key that are paired at once; fuller keys are split by letter parities.
 BUCKET = 64
 #: Lines of a split full key that a task compares with as many others; larger groups are compared block by block, each two blocks in a group of their own.
@@ -35,6 +37,11 @@ REMEMBERED = 1_000_000
 MARGIN = " \t\r\x0b\x0c"
 
 
+def allowed(length: int, limits: tuple[tuple[int, int], ...] = LIMITS) -> int:
+    """Edits within which a line of this length is near a line that is as long or longer."""
+    return max((e for n, e in limits if length >= n), default=0)
+
+
 # ---- segments --------------------------------------------------------------------------------
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
     """``(start, size)`` of the even segments of a line; longer ones come last."""
@@ -47,35 +54,45 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def probe_places(length: int, edits: int, minimum: int) -> list[tuple[int, int, int, int]]:
-    """``(indexed length, segment, start, size)`` of the substrings a line of ``length`` probes with.
+def moved_places(other: int, length: int, edits: int) -> list[tuple[int, int, int, int]]:
+    """``(other, segment, start, size)`` of the substrings by which a line of ``length`` asks for lines of length ``other``.
 
     If segment ``i`` (from 0) is the first unchanged one, at most ``i`` edits lie before it and the others after
     it, which bounds how far it can have moved from either end.
     """
-    out = []
-    for other in range(max(minimum, length - edits), length + 1):
-        extra = length - other
-        for i, (p, n) in enumerate(segments(other, edits)):
-            low = max(0, p - i, p + extra - (edits - i))
-            high = min(length - n, p + i, p + extra + (edits - i))
-            out += [(other, i, s, n) for s in range(low, high + 1)]
+    out, extra = [], length - other
+    for i, (p, n) in enumerate(segments(other, edits)):
+        low = max(0, p - i, p + extra - (edits - i))
+        high = min(length - n, p + i, p + extra + (edits - i))
+        out += [(other, i, s, n) for s in range(low, high + 1)]
     return out
 
 
-def _file_lines(batches: Iterator[pa.RecordBatch], edits: int, min_chars: int) -> Iterator[pa.RecordBatch]:
+def probe_places(length: int, edits: int, minimum: int) -> list[tuple[int, int, int, int]]:
+    """The substrings a line of ``length`` probes with where all lines may differ by ``edits``."""
+    return [x for other in range(max(minimum, length - edits), length + 1) for x in moved_places(other, length, edits)]
+
+
+def key_plan(length: int, limits: tuple[tuple[int, int], ...] = LIMITS) -> list[tuple[int, int, int, int, int, bool]]:
+    """``(length of the filed line, segment, start, size, edits, probe)`` of all keys of a line."""
+    most, own = max(e for _, e in limits), allowed(length, limits)
+    filed = [(length, i, p, n) for i, (p, n) in enumerate(segments(length, own))]
+    # filed rows meet each other, so a line need not ask for its own segments
+    reach = [(other, allowed(other, limits)) for other in range(max(0, length - most), length + 1)]
+    probes = [(*x, e) for other, e in reach if e and length - other <= e for x in moved_places(other, length, e) if x not in filed]
+    return [(*x, own, False) for x in filed] + [(*x, True) for x in probes]
+
+
+def _file_lines(batches: Iterator[pa.RecordBatch], limits: tuple[tuple[int, int], ...]) -> Iterator[pa.RecordBatch]:
     """``(key, line, probe)`` rows of each line, once per task as far as remembered."""
     from xxhash import xxh64_intdigest
 
     seen: set[int] = set()
-    plans: dict[int, list[tuple[int, int, int, bool]]] = {}
-    margin = MARGIN.encode()
+    plans: dict[int, list[tuple[int, int, int, int, bool]]] = {}
+    margin, min_chars, clear = MARGIN.encode(), min(n for n, _ in limits), ~((1 << EDIT_BITS) - 1)
 
     def plan(n: int):
-        filed = [(n, i, p, s, False) for i, (p, s) in enumerate(segments(n, edits))]
-        own = {(n, i, p, s) for _, i, p, s, _ in filed}  # filed rows meet each other, so a line need not ask for its own segments
-        probes = [(*x, True) for x in probe_places(n, edits, min_chars) if x not in own]
-        return [(4 * p, 4 * (p + s), (length << 8) | i, probe) for length, i, p, s, probe in filed + probes]
+        return [(4 * p, 4 * (p + s), (length << 8) | i, e, probe) for length, i, p, s, e, probe in key_plan(n, limits)]
 
     for batch in batches:
         keys, lines, probes = [], [], []
@@ -99,9 +116,9 @@ def _file_lines(batches: Iterator[pa.RecordBatch], edits: int, min_chars: int) -
                     places = plan(n)
                     if len(plans) < 4096:
                         plans[n] = places
-                keys += [xxh64_intdigest(wide[p:q], seed) for p, q, seed, _ in places]
+                keys += [xxh64_intdigest(wide[p:q], seed) & clear | e for p, q, seed, e, _ in places]
                 lines += [line] * len(places)
-                probes += [x[3] for x in places]
+                probes += [x[4] for x in places]
             if len(keys) > 200_000:
                 yield _rows(keys, lines, probes)
                 keys, lines, probes = [], [], []
@@ -230,28 +247,33 @@ def parity(line: str) -> int:
     return bits
 
 
-def _near(edits: int):
+def _near(limits: tuple[tuple[int, int], ...]):
     @arrow_udf("boolean")
     def near(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([within(x, y, edits) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+        return pa.array([within(x, y, allowed(min(len(x), len(y)), limits)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
     return near
 
 
-def _by_parity(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
+def _by_parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each line of a full key under ``2 * edits + 1`` pieces of its parities, one of which near lines share."""
-    pieces = 2 * edits + 1
-    for batch in batches:
-        marks = np.array([parity(t) for t in batch.column("text").to_pylist()], np.uint64)
-        for k in range(pieces):
-            low, high = 64 * k // pieces, 64 * (k + 1) // pieces
-            value = (marks >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array((value | np.uint64(k << 48)).astype(np.int64)), batch.column("h1"), batch.column("h2"), batch.column("text"), pa.array(marks.view(np.int64)), batch.column("place")],
-                ["key", "piece", "h1", "h2", "text", "mark", "place"])
+    for whole in batches:
+        every = whole.column("key").to_numpy(zero_copy_only=False) & ((1 << EDIT_BITS) - 1)
+        for edits in np.unique(every).tolist():
+            yield from _pieces(whole.filter(pa.array(every == edits)), 2 * edits + 1)
+
+
+def _pieces(batch: pa.RecordBatch, pieces: int) -> Iterator[pa.RecordBatch]:
+    marks = np.array([parity(t) for t in batch.column("text").to_pylist()], np.uint64)
+    for k in range(pieces):
+        low, high = 64 * k // pieces, 64 * (k + 1) // pieces
+        value = (marks >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("key"), pa.array((value | np.uint64(k << 48)).astype(np.int64)), batch.column("h1"), batch.column("h2"), batch.column("text"), pa.array(marks.view(np.int64)), batch.column("place")],
+            ["key", "piece", "h1", "h2", "text", "mark", "place"])
 
 
-def _first_near(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
+def _first_near(batches: Iterator[pa.RecordBatch], limits: tuple[tuple[int, int], ...]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (key, piece, low, high, place). Emits each line that has an earlier near one in the same two blocks of the key."""
     held, texts, marks, blocks, used = None, [], np.zeros(64, np.uint64), np.zeros(64, np.int64), 0
     for batch in batches:
@@ -261,10 +283,10 @@ def _first_near(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Re
         for i, (key, piece, low, high, block, x, y, text) in enumerate(zip(*cols, strict=True)):
             if (key, piece, low, high) != held:
                 held, texts, marks, blocks, used = (key, piece, low, high), [], np.zeros(64, np.uint64), np.zeros(64, np.int64), 0
-            close = np.bitwise_count(marks[:used] ^ mark[i]) <= 2 * edits
+            close = np.bitwise_count(marks[:used] ^ mark[i]) <= 2 * (key & ((1 << EDIT_BITS) - 1))  # nearer lines that both only ask meet under a key of their own
             if low != high:  # the lines of one block meet where it is paired with itself
                 close &= blocks[:used] != block
-            if any(texts[j] != text and within(texts[j], text, edits) for j in np.flatnonzero(close)):
+            if any(texts[j] != text and within(texts[j], text, allowed(min(len(texts[j]), len(text)), limits)) for j in np.flatnonzero(close)):
                 h1.append(x), h2.append(y)
             if used == len(marks):
                 marks, blocks = np.concatenate((marks, np.zeros(used, np.uint64))), np.concatenate((blocks, np.zeros(used, np.int64)))
@@ -293,30 +315,30 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def near_later(docs: DataFrame, first: DataFrame, id_col: str, text_col: str, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def near_later(docs: DataFrame, first: DataFrame, id_col: str, text_col: str, limits: tuple[tuple[int, int], ...] = LIMITS) -> DataFrame:
     """``(h1, h2)`` of the lines that are near a line with an earlier first place. ``first``: h1, h2, place."""
-    filed = docs.select(whole_text(text_col).alias("text")).mapInArrow(lambda it: _file_lines(it, edits, min_chars), "key long, line long, probe boolean")
+    filed = docs.select(whole_text(text_col).alias("text")).mapInArrow(lambda it: _file_lines(it, limits), "key long, line long, probe boolean")
     met = frozen(filed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _pair_runs(it, BUCKET), "key long, a long, b long"), "line-pairs")
     pairs = met.filter("b IS NOT NULL").select("a", "b").distinct()
     full = met.filter("b IS NULL").select("key", "a").distinct()
     wanted = frozen(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(full.select("a")).distinct().withColumnRenamed("a", "wanted"), "line-wanted")
     few = wanted.count() <= BROADCAST_LINES
-    lines = line_rows(docs, id_col, text_col).filter(F.length("line") >= min_chars)
+    lines = line_rows(docs, id_col, text_col).filter(F.length("line") >= min(n for n, _ in limits))
     texts = lines.join(F.broadcast(wanted) if few else wanted, F.col("h1") == F.col("wanted"), "left_semi").select("h1", "h2", F.col("line").alias("text")).dropDuplicates(["h1", "h2"])
     texts = frozen(texts.join(first.select("h1", "h2", "place"), ["h1", "h2"]), "line-texts")
     side = lambda c: texts.select(*[F.col(x).alias(f"{c}_{x}") for x in texts.columns])
     both = pairs.join(side("a"), F.col("a") == F.col("a_h1")).join(side("b"), F.col("b") == F.col("b_h1"))
-    near = both.filter(_near(edits)("a_text", "b_text")).select(F.explode(F.array(
+    near = both.filter(_near(limits)("a_text", "b_text")).select(F.explode(F.array(
         *[F.when(F.col(f"{y}_place") < F.col(f"{x}_place"), F.struct(F.col(f"{x}_h1").alias("h1"), F.col(f"{x}_h2").alias("h2"))) for x, y in (("a", "b"), ("b", "a"))])).alias("l")).filter("l IS NOT NULL").select("l.h1", "l.h2")
     crowd = full.join(texts, F.col("a") == F.col("h1")).select("key", "h1", "h2", "text", "place")
     crowd = frozen(crowd, "line-crowd")
-    split = crowd.mapInArrow(lambda it: _by_parity(it, edits), f"key long, piece long, h1 long, h2 long, text string, mark long, place {crowd.schema['place'].dataType.simpleString()}")
+    split = crowd.mapInArrow(_by_parity, f"key long, piece long, h1 long, h2 long, text string, mark long, place {crowd.schema['place'].dataType.simpleString()}")
     group = ["key", "piece", "low", "high"]
-    more = _in_blocks(split, BLOCK).repartition(*group).sortWithinPartitions(*group, "place").drop("place").mapInArrow(lambda it: _first_near(it, edits), "h1 long, h2 long")
+    more = _in_blocks(split, BLOCK).repartition(*group).sortWithinPartitions(*group, "place").drop("place").mapInArrow(lambda it: _first_near(it, limits), "h1 long, h2 long")
     return near.unionByName(more).distinct()
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: tuple[tuple[int, int], ...] = LIMITS) -> DataFrame:
     """``(doc_id, lines, near)``: numbers (from 0) of the lines to drop, and how many of them only because they are near an earlier line.
 
     Documents without such lines have no row. Rows that repeat an id count as one document with equal places.
@@ -324,7 +346,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     lines = line_rows(docs, id_col, text_col)
     classes = frozen(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.count(F.lit(1)).alias("n")), "line-classes")
-    later = near_later(docs, classes, id_col, text_col, edits, min_chars).withColumn("later", F.lit(True))
+    later = near_later(docs, classes, id_col, text_col, limits).withColumn("later", F.lit(True))
     # lines that stand once and are near no earlier one need no look-up
     dropped = classes.join(later, ["h1", "h2"], "left").filter("n > 1 OR later").select("h1", "h2", "place", F.coalesce("later", F.lit(False)).alias("later"))
     hit = lines.select("doc_id", "line_no", "h1", "h2").join(dropped, ["h1", "h2"])

@@ -137,13 +137,14 @@ def test_probes_reach_every_near_line():
             assert filed & {(length, i, long[p : p + n]) for length, i, p, n in lines.probe_places(len(long), edits, 1)}
 
 
-def plain_line_dedup(rows, edits, min_chars):
+def plain_line_dedup(rows, limits=lines.LIMITS):
     places = [(i, k, t.strip(lines.MARGIN)) for i, text in rows for k, t in enumerate((text or "").split("\n"))]
     places = [p for p in places if p[2]]
     first = {}
     for i, k, t in places:
         first[t] = min(first.get(t, (i, k)), (i, k))
-    near = {t for t in first if len(t) >= min_chars and any(u != t and len(u) >= min_chars and first[u] < first[t] and abs(len(u) - len(t)) <= edits and distance(u, t) <= edits for u in first)}
+    edits = lambda u, t: max([e for n, e in limits if min(len(u), len(t)) >= n], default=0)
+    near = {t for t in first if any(u != t and first[u] < first[t] and abs(len(u) - len(t)) <= edits(u, t) and distance(u, t) <= edits(u, t) for u in first)}
     gone = defaultdict(set)
     for i, k, t in places:
         if t in near or (i, k) != first[t]:
@@ -161,18 +162,46 @@ def test_line_dedup(make, monkeypatch, bucket):
         texts.append("\n".join([r.choice(stock) if r.random() < 0.5 else changed(r, r.choice(stock), r.randint(0, 4)) for _ in range(r.randint(1, 5))] + [prose(r.randrange(10**6), 9), "short"]))
     docs = make(texts)
     got = {row["doc_id"]: row["lines"] for row in lines.repeated_lines(docs).collect()}
-    assert got == plain_line_dedup(list(enumerate(texts)), 2, lines.MIN_CHARS)
+    assert got == plain_line_dedup(list(enumerate(texts)))
     left = {row["doc_id"]: row["text"] for row in lines.drop_lines(docs).collect()}
     for i, t in enumerate(texts):
         assert left[i] == (t if i not in got else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in got[i]))
     assert lines.drop_lines(docs).columns == docs.columns and lines.drop_lines(docs.limit(0)).count() == 0
 
 
+def test_keys_reach_across_the_limits():
+    r = random.Random(9)
+    limits = ((4, 1), (8, 2), (14, 3))
+    for _ in range(4000):
+        a = "".join(r.choice("abc") for _ in range(r.randint(3, 18)))
+        b = changed(r, a, r.randint(0, 3))
+        short, long = sorted((a, b), key=len)
+        edits = lines.allowed(len(short), limits)
+        if not edits or distance(a, b) > edits:
+            continue
+        keys = [{(n, i, t[p : p + size], e) for n, i, p, size, e, probe in lines.key_plan(len(t), limits) if not (filed and probe)} for t, filed in ((short, True), (long, False))]
+        assert keys[0] & keys[1], (a, b)
+
+
+@pytest.mark.parametrize("bucket", [2, 64])
+def test_edits_follow_the_length(make, monkeypatch, bucket):
+    monkeypatch.setattr(lines, "BUCKET", bucket)
+    monkeypatch.setattr(lines, "BLOCK", 5)
+    r = random.Random(4)
+    stock = [prose(i, n)[:length] for i, (n, length) in enumerate([(9, 19), (9, 20), (9, 21), (9, 39), (9, 40), (9, 41), (90, 399), (90, 400), (90, 401)])]
+    texts = ["\n".join(changed(r, t, r.randint(0, 4)) for t in stock) for _ in range(9)]
+    got = {row["doc_id"]: row["lines"] for row in lines.repeated_lines(make(texts)).collect()}
+    assert got == plain_line_dedup(list(enumerate(texts)))
+    notice = "Read our terms of use."
+    kept = {row["doc_id"]: row["text"] for row in lines.drop_lines(make([notice, notice.replace("R", "B"), "Page 1", "Page 2"])).collect()}
+    assert kept == {0: notice, 1: "", 2: "Page 1", 3: "Page 2"}
+
+
 def test_full_keys_split(spark, make, monkeypatch):
     orders = [f"the order with number {i * 7919 % 100_000} was shipped to the customer on day {i % 97}" for i in range(400)]
     kind = "key long, h1 long, h2 long, text string, place long"
-    full = spark.createDataFrame([(1, i, i, t, i) for i, t in enumerate(orders)], kind)
-    split = full.mapInArrow(lambda it: lines._by_parity(it, 2), "key long, piece long, h1 long, h2 long, text string, mark long, place long")
+    full = spark.createDataFrame([(2, i, i, t, i) for i, t in enumerate(orders)], kind)
+    split = full.mapInArrow(lines._by_parity, "key long, piece long, h1 long, h2 long, text string, mark long, place long")
     sizes = split.groupBy("piece").count().collect()
     assert all(sum(r["piece"] >> 48 == k for r in sizes) > 1 for k in range(5))
     # no group of two blocks holds much more than two limits, and every two lines of a group meet
@@ -189,7 +218,7 @@ def test_full_keys_split(spark, make, monkeypatch):
     monkeypatch.setattr(lines, "BLOCK", 6)
     docs = make(orders[:120])
     got = {row["doc_id"]: row["lines"] for row in lines.repeated_lines(docs).collect()}
-    assert got == plain_line_dedup(list(enumerate(orders[:120])), 2, lines.MIN_CHARS) and got
+    assert got == plain_line_dedup(list(enumerate(orders[:120]))) and got
 
 
 def test_line_dedup_of_repeated_rows(make):
