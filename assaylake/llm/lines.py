@@ -88,14 +88,15 @@ def _file_lines(batches: Iterator[pa.RecordBatch], limits: tuple[tuple[int, int]
     from xxhash import xxh64_intdigest
 
     seen: set[int] = set()
-    plans: dict[int, list[tuple[int, int, int, int, bool]]] = {}
-    margin, min_chars, clear = MARGIN.encode(), min(n for n, _ in limits), ~((1 << EDIT_BITS) - 1)
+    plans: dict[int, tuple[list[tuple[int, int, int]], bytes, bytes]] = {}
+    margin, min_chars = MARGIN.encode(), min(n for n, _ in limits)
 
     def plan(n: int):
-        return [(4 * p, 4 * (p + s), (length << 8) | i, e, probe) for length, i, p, s, e, probe in key_plan(n, limits)]
+        keys = key_plan(n, limits)
+        return [(4 * p, 4 * (p + s), (length << 8) | i) for length, i, p, s, _, _ in keys], bytes(x[4] for x in keys), bytes(x[5] for x in keys)
 
     for batch in batches:
-        keys, lines, probes = [], [], []
+        keys, lines, sizes, edits, probes = [], [], [], bytearray(), bytearray()
         for t in batch.column(0).cast(pa.binary()):
             for raw in t.as_py().split(b"\n"):
                 b = raw.strip(margin)
@@ -116,18 +117,22 @@ def _file_lines(batches: Iterator[pa.RecordBatch], limits: tuple[tuple[int, int]
                     places = plan(n)
                     if len(plans) < 4096:
                         plans[n] = places
-                keys += [xxh64_intdigest(wide[p:q], seed) & clear | e for p, q, seed, e, _ in places]
-                lines += [line] * len(places)
-                probes += [x[4] for x in places]
+                keys += [xxh64_intdigest(wide[p:q], seed) for p, q, seed in places[0]]
+                lines.append(line)
+                sizes.append(len(places[0]))
+                edits += places[1]
+                probes += places[2]
             if len(keys) > 200_000:
-                yield _rows(keys, lines, probes)
-                keys, lines, probes = [], [], []
+                yield _rows(keys, lines, sizes, edits, probes)
+                keys, lines, sizes, edits, probes = [], [], [], bytearray(), bytearray()
         if keys:
-            yield _rows(keys, lines, probes)
+            yield _rows(keys, lines, sizes, edits, probes)
 
 
-def _rows(keys, lines, probes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(lines, np.uint64).view(np.int64)), pa.array(probes, pa.bool_())], ["key", "line", "probe"])
+def _rows(keys: list[int], lines: list[int], sizes: list[int], edits: bytearray, probes: bytearray) -> pa.RecordBatch:
+    key = np.array(keys, np.uint64) >> np.uint64(EDIT_BITS) << np.uint64(EDIT_BITS) | np.frombuffer(edits, np.uint8)
+    line = np.repeat(np.array(lines, np.uint64), sizes)
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line.view(np.int64)), pa.array(np.frombuffer(probes, np.bool_))], ["key", "line", "probe"])
 
 
 def _pair_runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
