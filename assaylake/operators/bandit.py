@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.functions.features import DIM
 from assaylake.functions.hashing import canonical, digest_aggs, hash32
 from assaylake.operators.validate import validate_exploration
 from assaylake.schemas import FEATURE_SCHEMA_VERSION, REWARD_SCHEMA_VERSION
@@ -22,12 +21,12 @@ def observation_reward_join(observations: DataFrame, rewards: DataFrame) -> Data
     return observations.join(r, "run_id", "left")
 
 
-def exclusion_reason(min_propensity: float) -> Column:
+def exclusion_reason(min_propensity: float, dim: int) -> Column:
     """First exclusion that applies to a joined observation, in the stated order; null keeps the row."""
     p = F.col("obs_propensity")
     return (F.when(F.col("shadow"), "shadow_decision_not_executed").when(p.isNull() | (p <= 0) | (p > 1), "invalid_propensity")
             .when(p < min_propensity, "below_min_propensity").when(~F.array_contains("eligible_actions", F.col("chosen_action")), "action_not_eligible")
-            .when((F.col("feature_schema_version") != FEATURE_SCHEMA_VERSION) | F.col("features").isNull() | (F.size("features") != DIM), "feature_schema_mismatch")
+            .when((F.col("feature_schema_version") != FEATURE_SCHEMA_VERSION) | F.col("features").isNull() | (F.size("features") != dim), "feature_schema_mismatch")
             .when(F.col("has_reward").isNull(), "no_reward").when(F.col("reward_schema") != REWARD_SCHEMA_VERSION, "reward_schema_mismatch")
             .when(F.col("scalar").isNull(), F.concat(F.lit("reward_excluded:"), F.coalesce("excluded_reason", F.lit("unknown")))))
 
@@ -40,9 +39,9 @@ def hash_split(group: Column, seed: int, fractions: tuple[float, float, float] =
     return F.when(frac < fractions[0], "train").when(frac < fractions[0] + fractions[1], "validation").otherwise("test")
 
 
-def bandit_dataset(joined: DataFrame, *, seed: int, min_propensity: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def bandit_dataset(joined: DataFrame, *, seed: int, dim: int, min_propensity: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Examples with their split, and the count of every exclusion."""
-    df = joined.withColumn("exclusion", exclusion_reason(min_propensity))
+    df = joined.withColumn("exclusion", exclusion_reason(min_propensity, dim))
     examples = df.filter("exclusion IS NULL").select(
         "observation_id", "run_id", "k", hash_split(F.coalesce("session_id", "run_id"), seed).alias("split"), "features", "eligible_actions",
         F.col("chosen_action").alias("action"), F.col("obs_propensity").alias("propensity"), F.col("scalar").alias("reward"), "tier", "task_domain", "policy_version",
@@ -133,7 +132,7 @@ def linucb_gram(examples: DataFrame, *, weighted: bool = True, clip: float = 10.
     return cells.agg((total.cast("double") / F.lit(2.0**bits)).alias("v"))
 
 
-def linucb_fit(gram: DataFrame, *, lam: float = 1.0, dim: int = DIM) -> DataFrame:
+def linucb_fit(gram: DataFrame, *, dim: int, lam: float = 1.0) -> DataFrame:
     """theta and the inverse of lambda I + Gram per action.
 
     Each group is the fixed-size statistic of one action (at most dim * dim / 2 + dim + 2
@@ -157,7 +156,7 @@ def linucb_fit(gram: DataFrame, *, lam: float = 1.0, dim: int = DIM) -> DataFram
     return gram.groupBy("action").applyInPandas(solve, "action string, theta array<double>, a_inv array<double>, n bigint, weight_sum double")
 
 
-def linucb_score(examples: DataFrame, model: DataFrame, *, alpha: float, key: str = "observation_id", dim: int = DIM) -> DataFrame:
+def linucb_score(examples: DataFrame, model: DataFrame, *, alpha: float, dim: int, key: str = "observation_id") -> DataFrame:
     """(key, action, score) for the eligible actions the model knows.
 
     The model has one row per action; it is joined by action, and Spark broadcasts it while

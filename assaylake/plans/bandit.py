@@ -22,6 +22,7 @@ from assaylake.sources import views as V
 
 DRAWS, PAIRED_DRAWS, ITEM_DRAWS = 500, 400, 1000
 SEED = 7
+DIM = len(V.FEATURES)
 
 cte("joined", f"""
  SELECT o.*, r.has_reward, reward_schema, scalar, excluded_reason, cost_usd, latency, success, critical, tool_failure_penalty, {features_sql()} AS features
@@ -39,14 +40,14 @@ cte("ex", """
 
 def joined(t):
     facts = V.run_facts(t)
-    r = RW.reward_run(facts, RW.RewardConfig()).selectExpr(
+    r = RW.reward_run(facts, V.REWARDS).selectExpr(
         "run_id", "CASE WHEN k % 131 = 1 THEN 'reward.v0' ELSE schema_version END AS reward_schema", "scalar", "excluded_reason", "CASE WHEN currency = 'USD' THEN final_cost END AS cost_usd",
         "final_latency_ms AS latency", "task_completed AS success", "critical_failure AS critical", "tool_failure_penalty")
-    return B.observation_reward_join(V.observations(t).withColumn("features", FT.routing_features()), r)
+    return B.observation_reward_join(V.observations(t).withColumn("features", FT.routing_features(V.FEATURES)), r)
 
 
 def dataset(t):
-    return B.bandit_dataset(joined(t), seed=SEED, min_propensity=0.05)
+    return B.bandit_dataset(joined(t), seed=SEED, dim=DIM, min_propensity=0.05)
 
 
 def examples(t):
@@ -100,7 +101,7 @@ def _(t):
 @query("linucb_fit", sql("SELECT action, count(*) AS n, round(sum(least(1 / propensity, 10)), 6) AS weight_sum, 34 AS dim, true AS solves FROM ex WHERE split = 'train' GROUP BY 1", "ex"))
 def _(t):
     gram = B.linucb_gram(train(t))
-    fit = B.linucb_fit(gram)
+    fit = B.linucb_fit(gram, dim=DIM)
     # residual of (lambda I + Gram) theta - b, from the same sufficient statistics
     cell = gram.filter("j >= 0").join(fit.select("action", "theta"), "action")
     sym = cell.selectExpr("action", "explode(CASE WHEN i = j THEN array(struct(i AS i, v * theta[j] AS v)) ELSE array(struct(i AS i, v * theta[j] AS v), struct(j AS i, v * theta[i] AS v)) END) AS c").select("action", "c.i", "c.v")
@@ -123,7 +124,7 @@ cte("scores", """
 
 
 def scores(t):
-    return B.linucb_score(examples(t), given_model(t), alpha=0.5)
+    return B.linucb_score(examples(t), given_model(t), alpha=0.5, dim=DIM)
 
 
 @query("linucb_score", sql("SELECT observation_id, action, round(score, 6) AS score FROM scores", "scores"))
@@ -160,7 +161,7 @@ def stored_model(t, fit):
 def reproduced(t):
     """The stored model against one fitted anew from the dataset in another partitioning."""
     tr = train(t)
-    return B.reproduce_check(stored_model(t, B.linucb_fit(B.linucb_gram(tr))), B.linucb_fit(B.linucb_gram(tr.repartition(5))))
+    return B.reproduce_check(stored_model(t, B.linucb_fit(B.linucb_gram(tr), dim=DIM)), B.linucb_fit(B.linucb_gram(tr.repartition(5)), dim=DIM))
 
 
 @query("reproduce_check", sql("SELECT true AS reproducible, true AS checksum_match, 0 AS max_abs_diff, 0 AS unmatched, count(DISTINCT action) AS actions FROM ex WHERE split = 'train'", "ex"))

@@ -25,7 +25,7 @@ WINDOWS = {"lab/m0": 32000, "lab/m1": 128000, "lab/m2": 200000}
 
 
 def with_features(df):
-    return df.withColumn("features", FT.routing_features())
+    return df.withColumn("features", FT.routing_features(V.FEATURES))
 
 
 cte("feat", f"SELECT *, {features_sql()} AS features FROM runs", "runs")
@@ -134,7 +134,7 @@ def scored_rows(facts, points, key):
     f = N.first_seen_tool_combo(N.first_seen_failure_signature(N.first_seen_domain_rarity(facts)))
     f = N.running_outlier(N.running_outlier(f, "final_cost", "unusual_cost"), "final_latency_ms", "unusual_latency")
     near = nearest(points).select(key, "feature_distance")
-    return N.novelty_score(N.row_components(f.join(near, key), WINDOWS))
+    return N.novelty_score(N.row_components(f.join(near, key), WINDOWS, V.LOW_TIERS))
 
 
 @query("first_seen_domain_rarity", sql("SELECT k, round(domain_rarity, 9) AS domain_rarity FROM nov1", "nov1"))
@@ -451,7 +451,7 @@ _ue = """round(CASE WHEN bool_and(coalesce(currency = 'USD', false) AND final_co
 
 @query("unit_economics", sql(f"SELECT session_id, tier, {_ue} FROM rewards GROUP BY ALL", "rewards"))
 def _(t):
-    r = RW.reward_run(V.run_facts(t), RW.RewardConfig())
+    r = RW.reward_run(V.run_facts(t), V.REWARDS)
     u = M.unit_economics(r, ["session_id", "tier"])
     return u.withColumns({c: F.round(c, 8) for c in ("cost_per_successful_run", "reward_per_dollar", "reward_per_second", "mean_reward")})
 
@@ -508,4 +508,4 @@ def _(t):
  UNION ALL SELECT unnest(['cost_per_successful_run','reward_per_dollar','reward_per_second','mean_reward']), round(unnest([cost_per_successful_run, reward_per_dollar, reward_per_second, mean_reward]), 6), NULL, NULL FROM (SELECT {_ue} FROM rewards)""", "fsr", "eff", "psup", "crr", "runs", "rewards"))
 def _(t):
     facts = V.run_facts(t)
-    return r6(M.metrics_scorecard(facts, V.observations(t), RW.reward_run(facts, RW.RewardConfig()), stored_candidates(t), gate_log(t)), "value")
+    return r6(M.metrics_scorecard(facts, V.observations(t), RW.reward_run(facts, V.REWARDS), stored_candidates(t), gate_log(t)), "value")

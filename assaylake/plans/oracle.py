@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from assaylake.functions.features import OPTIONAL, SPEC
+from assaylake.functions.features import OPTIONAL
 from assaylake.schemas import DOMAINS, FEATURE_SCHEMA_VERSION
+from assaylake.sources import views as V
 
 _DOM = "[" + ",".join(f"'{d}'" for d in DOMAINS) + "]"
 H = "('0x' || substr(sha256({x}), 1, 8))::BIGINT"
@@ -202,4 +203,4 @@ def features_sql() -> str:
         if tr == "capped_ratio":
             return f"coalesce(least(1.0::DOUBLE, greatest(0.0::DOUBLE, {s}::DOUBLE / {float(a)}::DOUBLE)), 0)::DOUBLE" if s not in OPTIONAL else f"CASE WHEN {s} IS NULL THEN 0::DOUBLE ELSE least(1.0::DOUBLE, {s}::DOUBLE / {float(a)}::DOUBLE) END"
         return f"least(1.0::DOUBLE, ln(1 + {s}::DOUBLE) / ln({float(a)}::DOUBLE + 1))"
-    return "[" + ", ".join(one(s, tr, a) for _n, s, tr, a in SPEC) + "]"
+    return "[" + ", ".join(one(s, tr, a) for _n, s, tr, a in V.FEATURES) + "]"

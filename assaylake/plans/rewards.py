@@ -10,7 +10,7 @@ from assaylake.plans.catalog import query
 from assaylake.plans.oracle import cte, sql
 from assaylake.sources import views as V
 
-CFG = R.RewardConfig()
+CFG = V.REWARDS
 HASH8 = CFG.digest()[:8]
 
 cte("det", """
@@ -30,7 +30,7 @@ cte("qual", """
  SELECT *, CASE WHEN deterministic IS NOT NULL THEN (greatest(0.6, wu) * deterministic + wu * coalesce(user_signal, 0)) / (greatest(0.6, wu) + wu)
    WHEN user_signal IS NOT NULL THEN user_signal END AS quality,
   CASE WHEN deterministic IS NOT NULL THEN 1.0 WHEN user_strength = 'medium' THEN 0.6 WHEN user_strength = 'weak' THEN 0.3 ELSE 0.0 END::DOUBLE AS base_conf,
-  CASE WHEN currency = 'USD' AND final_cost >= 0 THEN least(final_cost / CASE tier WHEN 't1' THEN 0.002 WHEN 't2' THEN 0.01 WHEN 't3' THEN 0.05 WHEN 't4' THEN 0.1 ELSE 0.01 END::DOUBLE, 1.5) END AS cost_normalized,
+  CASE WHEN currency = 'USD' AND final_cost >= 0 THEN least(final_cost / CASE tier WHEN 't1' THEN 0.005 WHEN 't2' THEN 0.01 WHEN 't3' THEN 0.02 WHEN 't4' THEN 0.04 ELSE 0.02 END::DOUBLE, 1.5) END AS cost_normalized,
   CASE WHEN final_latency_ms >= 0 THEN least(final_latency_ms / CASE WHEN slo > 0 THEN slo ELSE 8000 END::DOUBLE, 1.5) END AS latency_normalized,
   least(1.0, CASE WHEN n_tools > 0 THEN 1 - tool_correct ELSE 0 END + CASE WHEN structured AND structured_output_valid = false THEN 1 ELSE 0 END)::DOUBLE AS tool_failure_penalty,
   least(retry_count, 3) / 3.0::DOUBLE AS retry_penalty FROM wts""", "wts")
@@ -95,19 +95,19 @@ def _(t):
 
 @query("reward_versioning", sql(f"""
  SELECT reward_id, run_id AS subject_id FROM rewards
- UNION ALL SELECT 'rew-' || run_id || '-reward.v1-{R.RewardConfig.merged({"cost_cap": 2.0}).digest()[:8]}', run_id FROM rewards""", "rewards"))
+ UNION ALL SELECT 'rew-' || run_id || '-reward.v1-{R.RewardConfig.merged({"cost_cap": 2.0}, CFG).digest()[:8]}', run_id FROM rewards""", "rewards"))
 def _(t):
     facts = V.run_facts(t)
-    both = R.reward_run(facts, CFG).unionByName(R.reward_run(facts, R.RewardConfig.merged({"cost_cap": 2.0})))
+    both = R.reward_run(facts, CFG).unionByName(R.reward_run(facts, R.RewardConfig.merged({"cost_cap": 2.0}, CFG)))
     return both.select("reward_id", "subject_id")
 
 
 @query("validate_reward_config", sql(f"""
- SELECT '{R.RewardConfig.merged({"weights": {"cost": 0.5}}).digest()}' AS config_hash, round(sum(CASE WHEN critical_failure THEN -1.0 WHEN quality IS NOT NULL THEN quality
+ SELECT '{R.RewardConfig.merged({"weights": {"cost": 0.5}}, CFG).digest()}' AS config_hash, round(sum(CASE WHEN critical_failure THEN -1.0 WHEN quality IS NOT NULL THEN quality
   - 0.5 * coalesce(cost_normalized, 0) - 0.1 * coalesce(latency_normalized, 0) - 0.2 * tool_failure_penalty - 0.1 * retry_penalty END), 4) AS total_reward,
   count(*) AS n FROM qual""", "qual"))
 def _(t):
-    cfg = R.RewardConfig.merged({"weights": {"cost": 0.5}})
+    cfg = R.RewardConfig.merged({"weights": {"cost": 0.5}}, CFG)
     return R.reward_run(V.run_facts(t), cfg).groupBy("config_hash").agg(
         F.round(F.sum("scalar"), 4).alias("total_reward"), F.count(F.lit(1)).alias("n"))
 

@@ -9,13 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.functions.features import feature_spec
 from assaylake.functions.hashing import hash32
 from assaylake.functions.plan import computed_once
+from assaylake.operators.rewards import RewardConfig
 from assaylake.schemas import DOMAINS, FEATURE_SCHEMA_VERSION
 from assaylake.sources.tables import Tables
 
 DOMAIN_ARRAY = "array(" + ",".join(f"'{d}'" for d in DOMAINS) + ")"
 
+# ---- example parameters of the derived tables: a label per market segment, envelopes doubling from half a cent (quotients stay short decimals) ----
+TIERS = ("t1", "t2", "t3", "t4")
+LOW_TIERS = TIERS[:2]
+REWARDS = RewardConfig(cost_envelope={**{tier: 0.005 * 2**i for i, tier in enumerate(TIERS)}, "default": 0.02})
+FEATURES = feature_spec(TIERS)
+
 
 def runs(t: Tables) -> DataFrame:
     """One telemetry run per order, with its routing context and logged decision."""

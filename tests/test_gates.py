@@ -105,7 +105,7 @@ def test_values_beyond_exact_sums_are_refused(spark):
 
 
 def test_an_observation_without_reward_is_excluded(spark):
-    from assaylake.functions.features import DIM
+    DIM = 4
     from assaylake.schemas import FEATURE_SCHEMA_VERSION, REWARD_SCHEMA_VERSION
 
     obs = spark.createDataFrame([(f"o{i}", f"r{i}", i, None, [0.0] * DIM, ["a"], "a", 0.5, False, "t", "d", "p", FEATURE_SCHEMA_VERSION) for i in range(3)],
@@ -113,6 +113,6 @@ def test_an_observation_without_reward_is_excluded(spark):
     rewards = spark.createDataFrame([("r0", REWARD_SCHEMA_VERSION, 0.5, None), ("r1", "old", 0.5, None)], "run_id string, reward_schema string, scalar double, excluded_reason string")
     for c in ("cost_usd", "latency", "success", "critical", "tool_failure_penalty"):
         rewards = rewards.withColumn(c, F.lit(None).cast("double"))
-    rows, excluded = B.bandit_dataset(B.observation_reward_join(obs, rewards), seed=7)
+    rows, excluded = B.bandit_dataset(B.observation_reward_join(obs, rewards), seed=7, dim=DIM)
     assert [x["observation_id"] for x in rows.collect()] == ["o0"]
     assert {x["exclusion"]: x["n"] for x in excluded.collect()} == {"no_reward": 1, "reward_schema_mismatch": 1}

@@ -27,7 +27,7 @@ from assaylake.operators import validate as VD
 from assaylake.sources import readers as RD
 from assaylake.sources import writers as WR
 
-CFG = R.RewardConfig()
+CFG = R.RewardConfig(cost_envelope={"t1": 0.002, "t2": 0.01, "default": 0.01})
 RUN = dict(run_id="r1", k=1, tier="t2", structured=False, structured_output_valid=None, n_tools=0, n_tools_good=0, completed=True, correction_category=None, user_correction=False,
            user_abandon=False, user_retry=False, user_accept=False, final_cost=0.001, currency="USD", final_latency_ms=800.0, slo=None, critical_failure=False, retry_count=0)
 RUN_DDL = ("run_id string, k bigint, tier string, structured boolean, structured_output_valid boolean, n_tools bigint, n_tools_good bigint, completed boolean, correction_category string, "
@@ -390,3 +390,16 @@ def test_refused_requests_use_nothing(spark):
             state[run] = n + 1, used + (cost or 0)
     assert {x["at"]: x["admitted"] for x in budget_admission_replay(df, "run", "at", F.col("gone")).collect()} == want
     assert budget_admission_replay(df.limit(0), "run", "at").count() == 0
+
+
+def test_tiers_and_envelopes_are_parameters(spark):
+    rows = spark.createDataFrame([("gold", 0.5, "USD"), ("tin", 0.5, "USD")], "tier string, final_cost double, currency string")
+    cost = lambda envelope: [r["cost_normalized"] for r in R.normalize_cost(rows, R.RewardConfig(cost_envelope=envelope)).collect()]
+    assert cost({"gold": 1.0}) == [0.5, None]  # a tier without an envelope stays unknown
+    assert cost({"gold": 1.0, "default": 2.0}) == [0.5, 0.25] and cost({}) == [None, None]
+    from assaylake.functions.features import feature_spec
+    names = [n for n, *_ in feature_spec(("gold", "tin"), ("law",))]
+    assert names[1:6] == ["tier=gold", "tier=tin", "tier=other", "task_domain=law", "task_domain=other"]
+    facts = spark.sql("SELECT tier, 31000 AS tokens, array('a') AS eligible, 'a' AS action, 'a' AS shadow_action, 0D AS correction_distance, 0 AS retry_count, 0.1D AS ratio FROM VALUES ('gold'), ('tin') v(tier)")
+    edge = lambda low: [r["tier_edge"] for r in N.row_components(facts, {"a": 32000}, low).collect()]
+    assert edge(("tin",)) == [0.0, 1.0] and edge(()) == [0.0, 0.0]
