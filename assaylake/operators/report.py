@@ -16,30 +16,35 @@ def metric_known_unknown(df: DataFrame, field: str, by: list[str] | None = None)
         F.avg(c).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"))
 
 
-def latency_percentiles(df: DataFrame, value: str, by: list[str], bucket_width: float = 1000.0) -> DataFrame:
+def latency_percentiles(df: DataFrame, value: str, by: list[str], parts: int = 200) -> DataFrame:
     """Exact median (interpolated) and nearest-rank p90/p95 per group.
 
-    Values are counted first, so a task never holds all rows of a group; ranks come from
-    counts over value buckets and then over the distinct values inside one bucket.
+    Selection by refinement: values are counted, approximate quantiles of a group's distinct values are its borders, and
+    the counts between borders tell which ranges hold the four ranks. Only these ranges are sorted, so a task sees about
+    one of ``parts`` shares of a group's distinct values, whatever their scale or crowding. Ranks come from counts, so
+    the borders being approximate changes nothing in the result.
     """
-    known = df.filter(F.col(value).isNotNull())
-    vc = known.groupBy(*by, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", F.floor(F.col("_x") / bucket_width))
-    per = vc.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
+    x = F.col("_x")
+    vc = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    cuts = vc.groupBy(*by).agg(F.percentile_approx("_x", [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts"))
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by]
+    ranged = vc.alias("v").join(cuts.alias("c"), same("v", "c")).select("v.*", F.size(F.filter("_cuts", lambda b: b < x)).alias("_b"))
+    per = ranged.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
     run = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    base = per.select(*by, "_b", F.coalesce(F.sum("_bc").over(run), F.lit(0)).alias("_base"), F.sum("_bc").over(W.partitionBy(*by)).alias("_n"))
-    inside = W.partitionBy(*by, "_b").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
-    r = vc.join(base, [*by, "_b"]).withColumn("_hi", F.col("_base") + F.sum("_c").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_c"))
-
-    def at(rank: Column, name: str) -> Column:
-        return F.max(F.when((F.col("_lo") < rank) & (rank <= F.col("_hi")), F.col("_x"))).alias(name)
-
     n = F.col("_n")
-    ranks = r.groupBy(*by).agg(
-        F.max("_n").alias("known_count"), at(F.floor((n + 1) / 2), "_m1"), at(F.floor((n + 2) / 2), "_m2"),
-        at(F.ceil(n * 0.9), "p90"), at(F.ceil(n * 0.95), "p95"))
+    ranks = {"_m1": F.floor((n + 1) / 2), "_m2": F.floor((n + 2) / 2), "p90": F.ceil(n * 0.9), "p95": F.ceil(n * 0.95)}
+    base = per.select(*by, "_b", "_bc", F.coalesce(F.sum("_bc").over(run), F.lit(0)).alias("_base"), F.sum("_bc").over(W.partitionBy(*by)).alias("_n"))
+    wanted = F.lit(False)
+    for rank in ranks.values():
+        wanted = wanted | ((F.col("_base") < rank) & (rank <= F.col("_base") + F.col("_bc")))
+    inside = W.partitionBy(*by, "_b").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
+    r = ranged.alias("r").join(base.filter(wanted).alias("h"), [*same("r", "h"), F.col("r._b") == F.col("h._b")]).select("r.*", "h._base", "h._n")
+    r = r.withColumn("_hi", F.col("_base") + F.sum("_c").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    at = lambda name, rank: F.max(F.when((F.col("_lo") < rank) & (rank <= F.col("_hi")), x)).alias(name)
+    found = r.groupBy(*by).agg(F.max("_n").alias("known_count"), *[at(name, rank) for name, rank in ranks.items()])
     total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-    return total.join(ranks, by, "left").select(
-        *by, F.coalesce("known_count", F.lit(0)).alias("known_count"), (F.col("_rows") - F.coalesce("known_count", F.lit(0))).alias("unknown_count"),
+    return total.alias("t").join(found.alias("f"), same("t", "f"), "left").select(
+        *[F.col(f"t.{c}") for c in by], F.coalesce("known_count", F.lit(0)).alias("known_count"), (F.col("_rows") - F.coalesce("known_count", F.lit(0))).alias("unknown_count"),
         ((F.col("_m1") + F.col("_m2")) / 2).alias("median"), "p90", "p95", (F.coalesce("known_count", F.lit(0)) < 10).alias("tail_unstable"))
 
 
