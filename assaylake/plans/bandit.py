@@ -487,12 +487,17 @@ def _(t):
     return LN.ancestors(prompt_parents(t))
 
 
+@query("prompt_roots", "SELECT 'hc-' || s_suppkey AS id, 'hc-' || (s_suppkey - s_suppkey % 8) AS root, s_suppkey % 8 AS depth, false AS cyclic FROM supplier")
+def _(t):
+    return LN.roots(prompt_parents(t))
+
+
 @query("harness_split_regression", sql("""
  SELECT r.candidate_id, r.root_id, coalesce(c.v >= b.v AND c.h >= b.h - 0.05, false) AS passed FROM roots r
  LEFT JOIN (SELECT candidate_id, max(pass_rate) FILTER (split = 'calibration') AS v, max(pass_rate) FILTER (split = 'holdout') AS h FROM harness_eval GROUP BY 1) c USING (candidate_id)
  LEFT JOIN (SELECT candidate_id AS root_id, max(pass_rate) FILTER (split = 'calibration') AS v, max(pass_rate) FILTER (split = 'holdout') AS h FROM harness_eval GROUP BY 1) b USING (root_id)""", "roots", "harness_eval"))
 def _(t):
-    roots = LN.ancestors(prompt_parents(t)).filter("depth = 0").select(F.col("id").alias("candidate_id"), F.col("root").alias("root_id"))
+    roots = LN.roots(prompt_parents(t)).select(F.col("id").alias("candidate_id"), F.col("root").alias("root_id"))
     return GT.harness_split_regression(harness_eval(t), roots, 0.05).select("candidate_id", "root_id", "passed")
 
 

@@ -10,6 +10,7 @@ from assaylake.functions.hashing import content_hash
 from assaylake.functions.plan import computed_once
 from assaylake.operators import grading as G
 from assaylake.operators import lineage as LN
+from assaylake.operators import similar as SM
 from assaylake.plans.catalog import query
 from assaylake.plans.oracle import cte, sql
 from assaylake.sources import views as V
@@ -175,3 +176,40 @@ def _(t):
 @query("benchmark_leakage_scan", sql(f"SELECT text_id, item_id::VARCHAR AS target_id FROM (SELECT text_id, {_sq('text')} AS n FROM texts), (SELECT item_id, {_sq('text')} AS g FROM benchmark) WHERE g <> '' AND contains(n, g)", "texts"))
 def _(t):
     return LN.leakage_scan(V.texts(t).select("text_id", "text"), t.benchmark.selectExpr("cast(item_id AS string) AS target_id", "text AS target"))
+
+
+@query("similar_texts", sql(f"""
+ WITH t AS (SELECT text_id, list_sort(coalesce({_tok('text')}, [])) AS toks, coalesce(text, '') <> '' AND len(coalesce({_tok('text')}, [])) = 0 AS alone FROM texts),
+ k AS (SELECT *, min(text_id) OVER (PARTITION BY toks, CASE WHEN alone THEN text_id END) AS class_id FROM t),
+ w AS (SELECT class_id, len(toks) AS n, unnest(toks) AS tok FROM k WHERE text_id = class_id),
+ p AS (SELECT a.class_id AS a, b.class_id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j FROM w a JOIN w b ON a.tok = b.tok AND a.class_id < b.class_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY 1, 2 HAVING 5 * count(*) >= 4 * (any_value(a.n) + any_value(b.n) - count(*))),
+ e AS (SELECT class_id, count(*) AS links, max(j) AS nearest FROM (SELECT a AS class_id, j FROM p UNION ALL SELECT b, j FROM p) GROUP BY 1)
+ SELECT text_id, class_id, coalesce(links, 0) AS links, round(nearest, 6) AS nearest FROM k LEFT JOIN e USING (class_id)""", "texts"))
+def _(t):
+    return SM.near_text_counts(V.texts(t).select("text_id", "text")).withColumn("nearest", F.round("nearest", 6))
+
+
+cte("leak_targets", """
+ SELECT case_id, unnest(CASE WHEN method = 'exact_json' THEN list_concat(['{"brand": "' || p_brand || '", "size": ' || p_size || '}', '{"brand":"' || p_brand || '","size":' || p_size || '}'], CASE WHEN length(p_brand) >= 8 THEN [p_brand] ELSE [] END) ELSE [reference_answer] END) AS target FROM cases
+ UNION SELECT case_id, 'rates ' || domain FROM cases
+ UNION SELECT case_id, 'Valid JSON' FROM cases WHERE method = 'rubric'""", "cases")
+
+
+def leak_targets(t):
+    """Targets of every case; its criteria are a generic one and one on its domain."""
+    return LN.leakage_targets(V.cases(t).withColumn("criteria", F.array(F.lit(" Valid JSON "), F.concat(F.lit("rates "), "domain"))))
+
+
+@query("leakage_targets", sql("SELECT case_id, target FROM leak_targets", "leak_targets"))
+def _(t):
+    return leak_targets(t)
+
+
+@query("case_leakage_scan", sql(f"""
+ SELECT r.text_id, g.target FROM (SELECT DISTINCT sha256(n) AS text_id, n FROM (SELECT {_sq('response_text')} AS n FROM att WHERE response_text IS NOT NULL)) r,
+ (SELECT DISTINCT target, {_sq('target')} AS g FROM leak_targets) g WHERE contains(r.n, g.g)""", "att", "leak_targets"))
+def _(t):
+    """Which distinct responses hold a target of any case."""
+    said = V.attempts_with_text(t).filter("response_text IS NOT NULL").select(X.squeeze(F.col("response_text")).alias("text")).distinct().withColumn("text_id", F.sha2("text", 256))
+    goals = leak_targets(t).select("target").distinct().withColumn("target_id", F.col("target"))
+    return LN.leakage_scan(said, goals).select("text_id", F.col("target_id").alias("target"))

@@ -67,3 +67,5 @@ CATALOG_SCHEMA = ("""
  id string, name string, context_length bigint, supported_parameters array<string>,
  pricing struct<prompt:string,completion:string>
 """)
+# criteria that say nothing about a case (fixed values)
+GENERIC_CRITERIA = ("valid json", "valid exact json", "parses as json array")

@@ -22,7 +22,9 @@ from assaylake.operators import lineage as LN
 from assaylake.operators import nearest as NN
 from assaylake.operators import novelty as N
 from assaylake.operators import ope as O
+from assaylake.operators import report as RPT
 from assaylake.operators import rewards as R
+from assaylake.operators import similar as SM
 from assaylake.operators import validate as VD
 from assaylake.sources import readers as RD
 from assaylake.sources import writers as WR
@@ -403,3 +405,63 @@ def test_tiers_and_envelopes_are_parameters(spark):
     facts = spark.sql("SELECT tier, 31000 AS tokens, array('a') AS eligible, 'a' AS action, 'a' AS shadow_action, 0D AS correction_distance, 0 AS retry_count, 0.1D AS ratio FROM VALUES ('gold'), ('tin') v(tier)")
     edge = lambda low: [r["tier_edge"] for r in N.row_components(facts, {"a": 32000}, low).collect()]
     assert edge(("tin",)) == [0.0, 1.0] and edge(()) == [0.0, 0.0]
+
+
+def test_roots_of_long_chains_cycles_and_missing_parents(spark):
+    nodes = [(f"n{i:03}", f"n{i - 1:03}" if i else None) for i in range(150)] + [("x", "y"), ("y", "x"), ("z", "x"), ("me", "me"), ("o", "gone"), ("oo", "o")]
+    rows = {r["id"]: (r["root"], r["depth"], r["cyclic"]) for r in LN.roots(spark.createDataFrame(nodes, "id string, parent_id string")).collect()}
+    assert len(rows) == len(nodes) and all(rows[f"n{i:03}"] == ("n000", i, False) for i in range(150))
+    assert all(rows[i] == (None, None, True) for i in ("x", "y", "z", "me"))
+    assert rows["o"] == ("gone", 1, False) and rows["oo"] == ("gone", 2, False)
+    assert LN.roots(spark.createDataFrame([], "id string, parent_id string")).count() == 0
+
+
+def test_leakage_in_blocks_of_patterns_with_crowded_grams(spark):
+    texts = [(i, ("the quick brown fox " * 30 + f"item number {i} of the list") if i % 3 else f"item number {i} of the list" + " lorem" * 20) for i in range(80)] + [(98, None), (99, "")]
+    targets = [(f"g{i}", "the quick brown fox the quick brown fox item number %d of the" % i) for i in range(40)] + [(f"h{i}", f"number {i} of") for i in range(40)] + [("e", " "), ("n", None)]
+    norm = lambda s: re.sub(r"\s+", " ", (s or "").lower()).strip()
+    want = {(a, g) for a, t in texts for g, s in targets if norm(s) and norm(s) in norm(t)}
+    got = [tuple(r) for r in LN.leakage_scan(spark.createDataFrame(texts, "text_id bigint, text string"), spark.createDataFrame(targets, "target_id string, target string"), patterns=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_leakage_targets_of_a_nested_reference(spark):
+    cases = spark.createDataFrame([("a", "exact_json", '{"z": ["long leaf text", {"k": "short"}], "b": 1}', ["Valid JSON", " names the river "]), ("b", "rubric", "plain", ["valid json", None]),
+                                   ("c", "exact_text", " ", []), ("d", "exact_text", None, None)], "case_id string, method string, reference_answer string, criteria array<string>")
+    got = {tuple(r) for r in LN.leakage_targets(cases).collect()}
+    assert got == {("a", '{"b": 1, "z": ["long leaf text", {"k": "short"}]}'), ("a", '{"b":1,"z":["long leaf text",{"k":"short"}]}'), ("a", "long leaf text"), ("a", "names the river"),
+                   ("b", "plain"), ("b", "valid json")}
+
+
+@pytest.mark.parametrize("num,den", [(4, 5), (1, 2), (1, 1)])
+def test_similar_texts_equal_all_pairs(spark, num, den):
+    rng = random.Random(num)
+    base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randrange(1, 3) for _ in range(rng.randrange(1, 14))] for _ in range(25)]
+    texts = [" ".join(b) for b in base] + [" ".join(b[:-1] + ["new"]) for b in base] + [" ".join(reversed(base[0]))] * 3 + ["", None, "!!", "!!", "common"] + ["common word"] * 9
+    rows = [(i, x) for i, x in enumerate(texts)]
+    toks = {i: frozenset(re.findall(r"\w+", (x or "").lower())) for i, x in rows}
+    same = lambda i, j: i == j or (toks[i] == toks[j] and (bool(toks[i]) or (not texts[i] and not texts[j])))
+    cls = {i: min(j for j in toks if same(i, j)) for i in toks}
+    reps = sorted(set(cls.values()))
+    want = {(a, b) for a in reps for b in reps if a < b and toks[a] and toks[b] and len(toks[a] & toks[b]) * den >= len(toks[a] | toks[b]) * num}
+    members, links = SM.similar_texts(spark.createDataFrame(rows, "text_id bigint, text string"), num, den)
+    assert {r["text_id"]: r["class_id"] for r in members.collect()} == cls
+    got = {(r["a"], r["b"]): r["similarity"] for r in links.collect()}
+    assert set(got) == want and all(v == pytest.approx(len(toks[a] & toks[b]) / len(toks[a] | toks[b])) for (a, b), v in got.items())
+
+
+@pytest.mark.parametrize("spread", [1e-9, 1.0, 1e12])
+def test_percentiles_at_any_scale_with_crowding_and_null_groups(spark, spread):
+    rng = random.Random(3)
+    groups = {"a": [rng.lognormvariate(0, 3) * spread for _ in range(3000)], "b": [spread] * 500 + [2 * spread], None: [rng.random() * spread for _ in range(9)], "none": [None, None]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs]
+    got = {r["g"]: r for r in RPT.latency_percentiles(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], parts=16).collect()}
+    for g, vs in groups.items():
+        known = sorted(v for v in vs if v is not None)
+        r = got[g]
+        assert (r["known_count"], r["unknown_count"]) == (len(known), len(vs) - len(known))
+        if known:
+            assert r["median"] == pytest.approx(float(np.median(known)), rel=1e-12)
+            assert [r["p90"], r["p95"]] == [known[math.ceil(len(known) * q) - 1] for q in (0.9, 0.95)]
+        else:
+            assert r["median"] is None
