@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assaylake.functions.plan import computed_once
 from assaylake.schemas import ATTEMPT_SCHEMA, CASE_SCHEMA, CATALOG_SCHEMA
+from assaylake.sources.ranges import csv_records, json_records
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
@@ -14,25 +15,26 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.trim("value").alias("doc"))
 
 
-def _wrapped_records(spark: SparkSession, path: str, field: str, bare_list: bool) -> DataFrame:
-    item = ATTEMPT_SCHEMA.simpleString()
-    d = _documents(spark, path)
-    inside = F.get(F.from_json(F.concat(F.lit("["), "doc", F.lit("]")), f"array<struct<{field}:array<{item}>>>"), F.lit(0))[field]
-    records = F.when(F.startswith("doc", F.lit("[")), F.from_json("doc", f"array<{item}>") if bare_list else F.lit(None)).otherwise(inside)
-    checked = F.when(F.try_parse_json("doc").isNull(), F.raise_error(F.lit("cannot parse import: not a JSON document"))).otherwise(records)
-    return computed_once(d, "r", checked).select(F.inline("r"))
+def _records(spark: SparkSession, path: str, field: str, bare_list: bool) -> DataFrame:
+    r = json_records(spark, path, field)
+    if not bare_list:
+        r = r.filter(~F.col("bare"))
+    return r.select(F.from_json("record", ATTEMPT_SCHEMA).alias("r")).select("r.*")
 
 
 def read_attempts(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    """Attempts from jsonl, json (list or {"attempts": [...]}), csv with header, or an aggregate report ({"rows": [...]})."""
+    """Attempts from jsonl, json (list or {"attempts": [...]}), csv with header, or an aggregate report ({"rows": [...]}).
+
+    Every format is read by byte ranges, so one large file is spread over many tasks.
+    """
     if fmt == "jsonl":
         return spark.read.schema(ATTEMPT_SCHEMA).option("mode", "FAILFAST").json(path)
     if fmt == "json":
-        return _wrapped_records(spark, path, "attempts", True)
+        return _records(spark, path, "attempts", True)
     if fmt in ("aggregate-report", "aggregate_report"):
-        return _wrapped_records(spark, path, "rows", False)
+        return _records(spark, path, "rows", False)
     if fmt == "csv":
-        return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        return csv_records(spark, path)
     raise ValueError("format must be jsonl, json, csv, or aggregate-report")
 
 

@@ -1,6 +1,8 @@
 """Operators on small hand-made or random rows, against expected values or brute force."""
 
+import csv
 import hashlib
+import json
 import math
 import random
 import re
@@ -26,6 +28,7 @@ from assaylake.operators import report as RPT
 from assaylake.operators import rewards as R
 from assaylake.operators import similar as SM
 from assaylake.operators import validate as VD
+from assaylake.sources import ranges as RG
 from assaylake.sources import readers as RD
 from assaylake.sources import writers as WR
 
@@ -465,3 +468,50 @@ def test_percentiles_at_any_scale_with_crowding_and_null_groups(spark, spread):
             assert [r["p90"], r["p95"]] == [known[math.ceil(len(known) * q) - 1] for q in (0.9, 0.95)]
         else:
             assert r["median"] is None
+
+
+@pytest.fixture
+def small_ranges(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield spark
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def _odd_records(n):
+    rng = random.Random(n)
+    odd = ['}', '{"', '\\', '"', '],', '"rows":[{', "é\n", "x" * 300, "", "[", "\u2028"]
+    return [{"id": i, "t": "".join(rng.choice(odd) for _ in range(rng.randrange(6))), "deep": [{"a": {"b": rng.choice(odd)}}, [1, {}]]} for i in range(n)]
+
+
+@pytest.mark.parametrize("form", ["list", "wrapped", "indented", "others"])
+def test_json_records_by_byte_ranges_equal_the_whole_parse(small_ranges, tmp_path, form):
+    rows = _odd_records(60)
+    doc = {"list": rows, "indented": rows, "wrapped": {"rows": rows}, "others": {"meta": {"n": {"x": 1}}, "first": [{"no": 1}, {"no": 2}], "rows": rows, "last": [{"no": 3}, {"no": 4}], "end": {}}}[form]
+    for name, part in (("a", doc), ("b", [] if form == "list" else {"rows": []})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(part, ensure_ascii=False, indent=2 if form == "indented" else None) + ("\n" if form != "wrapped" else ""), encoding="utf-8")
+    assert small_ranges.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 20
+    got = RG.json_records(small_ranges, str(tmp_path), "rows").orderBy("no").collect()
+    assert [json.loads(r["record"]) for r in got] == rows
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}, {"a"', '[{"a": 1}', '{"rows": [{"a": 1}', "plain", '[{"a": nope}]'])
+def test_broken_json_documents_are_errors(spark, tmp_path, text):
+    (tmp_path / "x.json").write_text(text)
+    with pytest.raises(Exception, match="not a JSON document"):
+        RG.json_records(spark, str(tmp_path), "rows").collect()
+
+
+def test_csv_records_by_byte_ranges_equal_the_whole_parse(small_ranges, tmp_path):
+    rng = random.Random(5)
+    cell = lambda: rng.choice(["plain", 'a "quoted" word', "two\nlines", "comma, here", "é" * 50, "x,\n\"\n", ""])
+    for name in ("a", "b"):
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator="\n")
+            w.writerow(["id", "one", "two, named"])
+            w.writerows([[f"{name}{i}", cell(), cell()] for i in range(50)])
+    want = small_ranges.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path))
+    got = RG.csv_records(small_ranges, str(tmp_path))
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and got.count() == 100
