@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,22 @@ from assaylake.functions.plan import computed_once
 from assaylake.functions.reasons import let
 
 
-def _verdict(passed: Column, reason: Column) -> Column:
+Grader = Callable[[Column, Column], Column]  # (response text, reference answer) -> verdict
+_GRADERS: dict[str, Grader] = {}
+
+
+def register_grader(method: str, build: Grader) -> None:
+    """Grade every attempt whose case names ``method`` by a builder of verdict columns; it may call an Arrow function.
+
+    The builder gives ``verdict(passed, reason)``; a null ``passed`` abstains. An Arrow function sees every
+    row, null texts and other methods too. A method has one grader.
+    """
+    if method in _GRADERS or method == "schema":
+        raise ValueError(f"method {method} already has a grader")
+    _GRADERS[method] = build
+
+
+def verdict(passed: Column, reason: Column) -> Column:
     """struct(passed, score, failure_reason)"""
     score = F.when(passed, 1.0).when(~passed, 0.0)
     return F.struct(passed.alias("passed"), score.alias("score"), reason.alias("failure_reason"))
@@ -20,11 +37,11 @@ def _verdict(passed: Column, reason: Column) -> Column:
 
 def _fail(passed: Column, text: str) -> Column:
     """Verdict of a condition that is evaluated once per row."""
-    return let(passed, lambda p: _verdict(p, F.when(~p, text)))
+    return let(passed, lambda p: verdict(p, F.when(~p, text)))
 
 
 def _abstain(text: str | Column) -> Column:
-    return _verdict(F.lit(None).cast("boolean"), F.lit(text) if isinstance(text, str) else text)
+    return verdict(F.lit(None).cast("boolean"), F.lit(text) if isinstance(text, str) else text)
 
 
 def grade_exact_text(candidate: Column, reference: Column) -> Column:
@@ -37,7 +54,7 @@ def grade_normalized_text(candidate: Column, reference: Column) -> Column:
 
 def grade_exact_json(candidate: Column, reference: Column, tolerance: float = 0.0) -> Column:
     def judge(pair: Column) -> Column:
-        return (F.when(pair["c"].isNull(), _verdict(F.lit(False), F.lit("candidate output is not valid JSON")))
+        return (F.when(pair["c"].isNull(), verdict(F.lit(False), F.lit("candidate output is not valid JSON")))
                 .when(pair["r"].isNull(), _abstain("reference answer is not valid JSON"))
                 .otherwise(_fail(J.canonical_equal(pair["c"], pair["r"], tolerance), "JSON value differs from reference")))
 
@@ -48,8 +65,8 @@ def grade_schema(candidate: Column, schema: dict | None, extra_keys: bool = Fals
     invalid = _abstain("candidate output is not valid JSON")
     if schema is None:
         return F.when(J.parse_strict(candidate).isNull(), invalid).otherwise(_abstain("schema definition is unavailable"))
-    verdict = lambda bad: _verdict(F.size(bad) == 0, F.when(F.size(bad) > 0, F.array_join(bad, "; ")))
-    judge = lambda v: F.when(v.isNull(), invalid).otherwise(let(J.schema_violations(v, schema, extra_keys=extra_keys), verdict))
+    by_size = lambda bad: verdict(F.size(bad) == 0, F.when(F.size(bad) > 0, F.array_join(bad, "; ")))
+    judge = lambda v: F.when(v.isNull(), invalid).otherwise(let(J.schema_violations(v, schema, extra_keys=extra_keys), by_size))
     return let(J.parse_strict(candidate), judge)
 
 
@@ -64,33 +81,37 @@ def grade_required_fields(candidate: Column, required: list[str]) -> Column:
         fields = F.try_variant_get(v, "$", "map<string,variant>")
         has_all = lambda f: F.size(F.array_except(F.array(*[F.lit(r) for r in required]), F.map_keys(f))) == 0
         return F.when(v.isNull(), _abstain("candidate output is not valid JSON")).otherwise(
-            let(fields, lambda f: F.when(f.isNull(), _verdict(F.lit(False), F.lit("candidate JSON is not an object")))
+            let(fields, lambda f: F.when(f.isNull(), verdict(F.lit(False), F.lit("candidate JSON is not an object")))
                 .otherwise(_fail(has_all(f), "required fields are missing"))))
 
     return let(J.parse_strict(candidate), judge)
 
 
-def grade_attempts(attempts: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
+for _method, _build in (("exact_json", grade_exact_json), ("exact_text", grade_exact_text),
+                        ("rubric", lambda _text, _reference: _abstain("semantic rubric requires blind human review or calibrated judge"))):
+    register_grader(_method, _build)
+
+
+def grade_attempts(attempts: DataFrame, schemas: dict[str, dict] | None = None, graders: Mapping[str, Grader] | None = None) -> DataFrame:
     """Dispatch on the case's method; adds passed, score, failure_reason, grader_id, grade_id.
 
-    ``schemas`` maps a value of the ``schema_name`` column to its JSON schema.
+    ``schemas`` maps a value of the ``schema_name`` column to its JSON schema. ``graders`` add to the registered ones, or
+    take their place, for this call.
     """
     method, text, ref = F.col("method"), F.col("response_text"), F.col("reference_answer")
     by_schema = grade_schema(text, None)
     for name, schema in (schemas or {}).items():
         by_schema = F.when(F.col("schema_name") == name, grade_schema(text, schema)).otherwise(by_schema)
-    verdict = (
-        F.when(F.col("status") != "success", _abstain(F.concat(F.lit("attempt status is "), F.col("status"))))
-        .when(text.isNull(), _abstain("successful attempt has no response text"))
-        .when(method == "exact_json", grade_exact_json(text, ref))
-        .when(method == "exact_text", grade_exact_text(text, ref))
-        .when(method == "schema", by_schema)
-        .when(method == "rubric", _abstain("semantic rubric requires blind human review or calibrated judge"))
-        .otherwise(_abstain(F.concat(F.lit("evaluation method "), method, F.lit(" is not deterministic"))))
-    )
+    known = {**_GRADERS, **(graders or {})}
+    found = F.when(F.col("status") != "success", _abstain(F.concat(F.lit("attempt status is "), F.col("status")))).when(text.isNull(), _abstain("successful attempt has no response text"))
+    for name, build in known.items():
+        found = found.when(method == name, build(text, ref))
+    if "schema" not in known:
+        found = found.when(method == "schema", by_schema)
+    found = found.otherwise(_abstain(F.concat(F.lit("evaluation method "), method, F.lit(" is not deterministic"))))
     grader = (F.when(F.col("status") != "success", "attempt_status").when(text.isNull(), "missing_output")
-              .when(method.isin("exact_json", "exact_text", "schema", "rubric"), method).otherwise("unsupported_method"))
-    return (computed_once(attempts, "_v", verdict).withColumn("grader_id", grader).select("*", "_v.*").drop("_v")
+              .when(method.isin("schema", *known), method).otherwise("unsupported_method"))
+    return (computed_once(attempts, "_v", found).withColumn("grader_id", grader).select("*", "_v.*").drop("_v")
             .withColumn("grade_id", F.concat(F.lit("grade-"), F.substring(content_hash("attempt_id", "grader_id", "failure_reason"), 1, 32))))
 
 

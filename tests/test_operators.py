@@ -26,6 +26,7 @@ from assaylake.operators import novelty as N
 from assaylake.operators import ope as O
 from assaylake.operators import report as RPT
 from assaylake.operators import rewards as R
+from assaylake.operators import routing as RT
 from assaylake.operators import similar as SM
 from assaylake.operators import validate as VD
 from assaylake.sources import ranges as RG
@@ -515,3 +516,28 @@ def test_csv_records_by_byte_ranges_equal_the_whole_parse(small_ranges, tmp_path
     got = RG.csv_records(small_ranges, str(tmp_path))
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and got.count() == 100
+
+
+def test_a_grader_and_a_chooser_are_added_from_outside(spark):
+    @F.pandas_udf("boolean")
+    def palindrome(x):
+        return x.map(lambda v: None if v is None else v == v[::-1])
+
+    if "palindrome" not in G._GRADERS:
+        G.register_grader("palindrome", lambda text, _ref: G.verdict(palindrome(text), F.when(~palindrome(text), "does not read the same backwards")))
+    with pytest.raises(ValueError):
+        G.register_grader("exact_text", G.grade_exact_text)
+    rows = [("a1", "success", "anna", "palindrome", None), ("a2", "success", "bob!", "palindrome", None), ("a3", "success", None, "palindrome", None), ("a4", "failed", "x", "palindrome", None),
+            ("a5", "success", "x", "exact_text", "x"), ("a6", "success", "x", "longer", "ab"), ("a7", "success", "x", "else", "ab")]
+    df = spark.createDataFrame(rows, "attempt_id string, status string, response_text string, method string, reference_answer string").withColumn("schema_name", F.lit(None).cast("string"))
+    longer = {"longer": lambda text, ref: G.verdict(F.length(text) > F.length(ref), F.lit("too short"))}
+    got = {r["attempt_id"]: (r["passed"], r["grader_id"]) for r in G.grade_attempts(df, graders=longer).collect()}
+    assert got == {"a1": (True, "palindrome"), "a2": (False, "palindrome"), "a3": (None, "missing_output"), "a4": (None, "attempt_status"), "a5": (True, "exact_text"), "a6": (False, "longer"),
+                   "a7": (None, "unsupported_method")}
+    for name, build in (("last", lambda e: F.try_element_at(e, F.lit(-1))), ("always_x", lambda e: F.lit("x"))):
+        if name not in RT._CHOOSERS:
+            RT.register_chooser(name, build)
+    c = spark.createDataFrame([(1, ["a", "b"]), (2, ["x"]), (3, [])], "id int, eligible array<string>")
+    assert {(r["id"], r["chooser"]): r["choice"] for r in RT.choose(c, ["last", "always_x"]).collect()} == {(1, "last"): "b", (2, "last"): "x", (3, "last"): None, (1, "always_x"): None, (2, "always_x"): "x", (3, "always_x"): None}
+    with pytest.raises(ValueError):
+        RT.choose(c, ["nobody"])
