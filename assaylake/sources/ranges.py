@@ -22,7 +22,7 @@ def _pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
 
 def _before(df: DataFrame, name: str, amount: Column) -> DataFrame:
     """Sum of an amount over the earlier pieces of the file."""
-    return prior_sums(df, ["file"], "at", {name: amount}, bucket=F.col("start"))
+    return prior_sums(df, ["file"], "at", {name: amount}, bucket="start")
 
 
 def _joined(df: DataFrame, separator: str) -> DataFrame:
@@ -44,13 +44,13 @@ def json_records(spark: SparkSession, path: str, field: str) -> DataFrame:
     error; what stands beside the array is not parsed. An empty file has no records.
     """
     quote = '"'
-    p = _pieces(spark, path, "}").withColumn("bare", F.regexp_replace("value", r"(?s)\\.", ""))
-    p = _before(p, "quotes", _count(F.col("bare"), quote))
+    bare = F.regexp_replace("value", r"(?s)\\.", "")  # no column: it would be dealt out beside the value
+    p = _before(_pieces(spark, path, "}"), "quotes", _count(bare, quote))
     odd = lambda n: n % 2 == 1
-    p = p.withColumn("inside", odd(F.col("quotes") + _count(F.col("bare"), quote)))
-    shape = F.regexp_replace(F.concat(F.when(odd(F.col("quotes")), quote).otherwise(""), "bare", F.when(F.col("inside"), quote).otherwise("")), '"[^"]*"', "")
+    p = p.withColumn("inside", odd(F.col("quotes") + _count(bare, quote)))
+    shape = F.regexp_replace(F.concat(F.when(odd(F.col("quotes")), quote).otherwise(""), bare, F.when(F.col("inside"), quote).otherwise("")), '"[^"]*"', "")
     deeper = _count(shape, "{") + _count(shape, "[") - _count(shape, "]") - F.when(F.col("inside"), 0).otherwise(1)
-    p = _before(p.withColumn("deeper", deeper).drop("bare", "quotes"), "depth", F.col("deeper"))
+    p = _before(p.withColumn("deeper", deeper).drop("quotes"), "depth", F.col("deeper"))
     # the first character of the document tells the form: records end at depth 1 of a list, at depth 2 of an object
     first = p.filter(F.trim(F.regexp_replace("value", r"\s+", " ")) != "").groupBy("file").agg(F.min(F.struct("start", "at", F.substring(F.regexp_replace("value", r"^\s+", ""), 1, 1).alias("c")))["c"].alias("opening"))
     wrapped = F.col("opening") == "{"
