@@ -10,9 +10,10 @@ from assaylake.schemas import ATTEMPT_SCHEMA, CASE_SCHEMA, CATALOG_SCHEMA
 from assaylake.sources.ranges import csv_records, json_records
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file; each file is one bounded JSON document."""
-    return spark.read.text(path, wholetext=True).select(F.trim("value").alias("doc"))
+def _documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """One row per file, each file one bounded JSON document; or one row per line that is not blank."""
+    docs = spark.read.text(path, wholetext=not lines).select(F.trim("value").alias("doc"))
+    return docs.filter("doc <> ''") if lines else docs
 
 
 def _records(spark: SparkSession, path: str, field: str, bare_list: bool) -> DataFrame:
@@ -38,9 +39,13 @@ def read_attempts(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     raise ValueError("format must be jsonl, json, csv, or aggregate-report")
 
 
-def read_telemetry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Batch documents as envelopes, runs with their index, and registry entries."""
-    d = computed_once(_documents(spark, path), "batch", F.try_parse_json("doc"))
+def read_telemetry(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Batch documents as envelopes, runs with their index, and registry entries.
+
+    A file is one batch document. Many small batches are better kept with ``lines``: one document a line, any number in a
+    file, so that files and their listing do not grow with the batches.
+    """
+    d = computed_once(_documents(spark, path, lines), "batch", F.try_parse_json("doc"))
     field = lambda n, kind: F.try_variant_get("batch", f"$.{n}", kind)
     batch_id = field("batch_id", "string").alias("batch_id")
     envelopes = d.select(batch_id, *[field(n, "string").alias(n) for n in ("schema", "schema_version", "generated_at", "feature_schema_version")],
