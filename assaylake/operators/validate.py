@@ -336,15 +336,17 @@ def validate_exploration(mode: str, epsilon: float) -> tuple[str, float]:
 def reconcile_fixture_results(manifest: DataFrame, results: DataFrame) -> DataFrame:
     """Returned results against the exported manifest, per artifact; any finding rejects the artifact.
 
-    manifest(artifact_id, case_id, prompt_hash), results(artifact_id, case_id, prompt_hash, output_kind, position).
+    manifest(artifact_id, case_id, prompt_hash), results(artifact_id, case_id, prompt_hash, output_kind, position). All three
+    sides have a row per case, so they are merged: Spark takes derived texts for smaller than they are and would send them
+    through the driver.
     """
     first = results.groupBy("artifact_id", "case_id").agg(F.min("position").alias("_first"))
-    j = (results.join(first, ["artifact_id", "case_id"])
-         .join(manifest.select("artifact_id", "case_id", F.col("prompt_hash").alias("_expected")), ["artifact_id", "case_id"], "left"))
+    j = (results.join(first.hint("merge"), ["artifact_id", "case_id"])
+         .join(manifest.select("artifact_id", "case_id", F.col("prompt_hash").alias("_expected")).hint("merge"), ["artifact_id", "case_id"], "left"))
     code = (F.when(F.col("_expected").isNull(), "unknown_case").when(F.col("position") > F.col("_first"), "duplicate_case")
             .when(F.col("prompt_hash") != F.col("_expected"), "prompt_hash_mismatch").when(F.col("output_kind") == "other", "output_not_text"))
     found = j.select("artifact_id", "case_id", code.alias("finding")).filter("finding IS NOT NULL")
-    missing = manifest.join(results, ["artifact_id", "case_id"], "left_anti").select("artifact_id", "case_id", F.lit("missing_result").alias("finding"))
+    missing = manifest.join(results.hint("merge"), ["artifact_id", "case_id"], "left_anti").select("artifact_id", "case_id", F.lit("missing_result").alias("finding"))
     return found.unionByName(missing)
 
 
