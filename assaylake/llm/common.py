@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.session import cut_lineage, shared_dir
+from assaylake.session import cut_lineage, frozen  # noqa: F401  (others take frozen from here)
 
 
 def whole_text(column: str = "text") -> Column:
@@ -33,17 +33,6 @@ def unboxed(carry: Sequence[str]) -> list[Column]:
     return [F.col("box").getField(c).alias(c) for c in carry]
 
 
-def frozen(df: DataFrame, purpose: str) -> DataFrame:
-    """Write the rows as Parquet into the cluster's shared folder and read them back.
-
-    The table cuts the lineage, survives the loss of any executor and is column-pruned by later reads.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_remainder(column: str, divisor: int) -> Column:
     """crc32 of the value as text, modulo a divisor; a null counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
