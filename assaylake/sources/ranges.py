@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.functions.prefix import prior_sums
-from assaylake.session import cut_lineage
+from assaylake.session import frozen
 
 
 def _pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
     """(file, start, at, value): pieces between separators; ``start`` is the byte range, ``at`` grows within it."""
     t = spark.read.option("lineSep", separator).text(path)
-    return cut_lineage(t.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value"))
+    # as a table: a file's name is written once and not beside each of its pieces
+    return frozen(t.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value"), "pieces")
 
 
 def _before(df: DataFrame, name: str, amount: Column) -> DataFrame:
@@ -45,31 +46,33 @@ def json_records(spark: SparkSession, path: str, field: str) -> DataFrame:
     """
     quote = '"'
     bare = F.regexp_replace("value", r"(?s)\\.", "")  # no column: it would be dealt out beside the value
-    p = _before(_pieces(spark, path, "}"), "quotes", _count(bare, quote))
+    pieces = _pieces(spark, path, "}")
+    # the first character of the document tells the form: records end at depth 1 of a list, at depth 2 of an object
+    first = frozen(pieces.filter(F.trim(F.regexp_replace("value", r"\s+", " ")) != "").groupBy("file").agg(F.min(F.struct("start", "at", F.substring(F.regexp_replace("value", r"^\s+", ""), 1, 1).alias("c")))["c"].alias("opening")), "openings")
+    p = _before(pieces, "quotes", _count(bare, quote))
     odd = lambda n: n % 2 == 1
     p = p.withColumn("inside", odd(F.col("quotes") + _count(bare, quote)))
     shape = F.regexp_replace(F.concat(F.when(odd(F.col("quotes")), quote).otherwise(""), bare, F.when(F.col("inside"), quote).otherwise("")), '"[^"]*"', "")
     deeper = _count(shape, "{") + _count(shape, "[") - _count(shape, "]") - F.when(F.col("inside"), 0).otherwise(1)
     p = _before(p.withColumn("deeper", deeper).drop("quotes"), "depth", F.col("deeper"))
-    # the first character of the document tells the form: records end at depth 1 of a list, at depth 2 of an object
-    first = p.filter(F.trim(F.regexp_replace("value", r"\s+", " ")) != "").groupBy("file").agg(F.min(F.struct("start", "at", F.substring(F.regexp_replace("value", r"^\s+", ""), 1, 1).alias("c")))["c"].alias("opening"))
     wrapped = F.col("opening") == "{"
     p = p.join(first, "file").withColumn("ends", ~F.col("inside") & (F.col("depth") + F.col("deeper") == F.when(wrapped, 2).otherwise(1)))
-    r = cut_lineage(_joined(p, "}").join(first, "file"))
+    r = frozen(_joined(p, "}").join(first, "file"), "records")
     key = rf'(?s)^.*?"{field}"\s*:\s*\[\s*(?=\{{)'
-    from_field = r.groupBy("file").agg(F.min(F.when(F.col("whole") & (~wrapped | F.col("text").rlike(key)), F.col("no"))).alias("low"))
-    j = r.join(from_field, "file")
-    past = j.filter(wrapped & (F.col("no") > F.col("low")) & F.col("text").rlike(r"^\s*\]")).groupBy("file").agg(F.min("no").alias("high"))
-    j = j.join(past, "file", "left")
     # what is left after the last record must close the array
     tail = ~F.col("whole") & F.col("text").rlike(r"(?s)^\s*(\[\s*\]|\]|\{.*\[\s*\])")
-    sound = r.groupBy("file").agg((F.first("opening").isin("[", "{") & F.bool_or(tail)).alias("sound"))
+    # a row per file, kept as tables of known size: the texts are not moved to meet them where files are few
+    from_field = frozen(r.groupBy("file").agg(F.min(F.when(F.col("whole") & (~wrapped | F.col("text").rlike(key)), F.col("no"))).alias("low"),
+                                              (F.first("opening").isin("[", "{") & F.bool_or(tail)).alias("sound")), "files")
+    j = r.join(from_field, "file")
+    past = frozen(j.filter(wrapped & (F.col("no") > F.col("low")) & F.col("text").rlike(r"^\s*\]")).groupBy("file").agg(F.min("no").alias("high")), "ends")
+    j = j.join(past, "file", "left")
     fail = lambda kind: F.raise_error(F.lit("cannot parse import: not a JSON document")).cast(kind)
     used = F.col("whole") & (F.col("no") >= F.col("low")) & (F.col("high").isNull() | (F.col("no") < F.col("high")))
     lead = F.when(~wrapped, F.regexp_replace("text", r"^[\s,\[]+", "")).when(F.col("no") == F.col("low"), F.regexp_replace("text", key, "")).otherwise(F.regexp_replace("text", r"^[\s,]+", ""))
     record = F.concat(lead, F.lit("}"))
     checked = F.when(F.try_parse_json(record).isNull(), fail("string")).otherwise(record)
-    return j.join(sound, "file").filter(F.when(~F.col("sound"), fail("boolean")).otherwise(used)).select("file", "no", (~wrapped).alias("bare"), checked.alias("record"))
+    return j.filter(F.when(~F.col("sound"), fail("boolean")).otherwise(used)).select("file", "no", (~wrapped).alias("bare"), checked.alias("record"))
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.session import cut_lineage
+from assaylake.session import frozen
 
 PREFERENCE_FIELDS = ("pair_id", "prompt_or_context_ref", "chosen", "rejected", "confidence", "reason", "source_run_id", "approval_state")
 
@@ -32,15 +32,15 @@ def write_preference_jsonl(pairs: DataFrame, states: DataFrame, path: str) -> No
     ok.select(*PREFERENCE_FIELDS).orderBy("pair_id").write.json(path)
 
 
-def write_json_documents(records: DataFrame, path: str, field: str, per_document: int = 500) -> None:
+def write_json_documents(records: DataFrame, path: str, field: str, per_document: int = 500, compression: str | None = None) -> None:
     """Records as JSON documents of bounded size ({field: [...]}), one document per file.
 
-    Row numbers are taken over checkpointed files, so a task that runs again after a lost
+    Row numbers are taken over kept files, so a task that runs again after a lost
     executor numbers the same rows the same way.
     """
-    records = cut_lineage(records)
+    records = frozen(records, "numbered")
     rec = F.struct(*records.columns)
     chunk = F.expr(f"monotonically_increasing_id() div {per_document}")
     docs = records.withColumn("_c", chunk).groupBy("_c").agg(F.collect_list(rec).alias(field)).select(F.to_json(F.struct(field)).alias("value"), "_c")
     # one document per file: the folder name is the chunk
-    docs.repartition(F.col("_c")).write.partitionBy("_c").text(path)
+    docs.repartition(F.col("_c")).write.partitionBy("_c").text(path, compression=compression)
